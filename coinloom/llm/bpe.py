@@ -12,6 +12,7 @@ and the text column are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
@@ -26,12 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .affix import EndingEntries
 from .common import rows_batches, text_bytes
 
-#: Chunks kept between batches of a worker; when full, the store is emptied, nothing is dropped.
-CACHE_CHUNKS = 400_000
+#: Chunks kept between batches and tasks of a worker; when full, those of the current batch stay.
+CACHE_CHUNKS = 200_000
 #: Longer chunks are encoded each time they occur, so the store's memory is bounded.
 CACHE_CHARS = 80
+#: Token pairs whose fit is remembered.
+MOST_PAIRS = 400_000
+BATCH_BYTES = 2 << 20
+END = "\n"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -82,11 +88,9 @@ class BpeModel:
             self.made[ids[a], ids[b]] = (rank, out)
             self.parts.setdefault(out, (rank, ids[a], ids[b]))
         end = len(self.suffix)
-        self.inner = {t: i for t, i in ids.items() if not (end and t.endswith(self.suffix))}
-        self.final = {t[:-end] if end else t: i for t, i in ids.items() if not end or t.endswith(self.suffix)}
-        self.longest = max(map(len, self.inner), default=1)
-        self.longest_final = max(map(len, self.final), default=1)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        # END stands for the word's end, so that what may end a word is an entry of its own
+        self.ending = EndingEntries({t[:-end] + END if end and t.endswith(self.suffix) else t: i for t, i in ids.items() if t not in self.special})
         self.names = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         self.alphabet = {b: c for b, c in byte_alphabet().items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -98,14 +102,14 @@ class BpeModel:
         self.specials = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         # letter by letter: no final sigma
         self.lower = newer_lower_case() | {ord("Σ"): ord("σ")}
-        self._pairs: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.store: dict[str, bytes] = {}
 
     def keeps(self, left: int, right: int) -> bool:
         """Whether the merges leave the tokens left, right side by side: no pair across the seam merges before both are whole."""
-        key = left << 32 | right
-        known = self._pairs.get(key)
-        if known is None:
-            known = self._pairs[key] = self._seam(left, right)
+        if len(self.pairs) >= MOST_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left << 20 | right] = self._seam(left, right)
         return known
 
     def _seam(self, left: int, right: int) -> bool:
@@ -133,43 +137,38 @@ class BpeModel:
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Token ids of each distinct word (in the byte alphabet)."""
         root: dict = {}
+        deepest = 0
         for word in words:
             node = root
             for c in word[:-1]:
                 node = node.setdefault(c, {})
             node.setdefault("", []).append(word)
+            deepest = max(deepest, len(word))
         out: dict[str, list[int]] = {}
-        inner, final, keeps, longest, longest_final = self.inner, self.final, self.keeps, self.longest, self.longest_final
-        path: list[str] = []
-        last: list[int] = [-1]  # last token of each prefix on the path
-        size: list[int] = [0]  # and that token's length
-        stack: list[tuple[dict, int, str]] = [(root, 0, "")]
+        ending, pairs, seam = self.ending, self.pairs, self.keeps
+        last, size = [-1] * (deepest + 1), [0] * (deepest + 1)  # of each prefix on the path: its last token, that token's length
+        stack: list[tuple[dict, int, str, int, int]] = [(root, 0, "", -1, 0)]
         while stack:
-            node, depth, c = stack.pop()
-            del path[max(depth - 1, 0) :], last[max(depth, 1) :], size[max(depth, 1) :]
-            if depth:
-                path.append(c)
-                text = "".join(path[-longest:])
-                k = len(text)
-                for i in range(k):
-                    token = inner.get(text[i:])
-                    if token is not None and ((before := last[depth - k + i]) < 0 or keeps(before, token)):
-                        last.append(token)
-                        size.append(k - i)
-                        break
-            for word in node.get("", ()):
-                tail = word[-longest_final:]
-                k, n = len(tail), len(word)
-                for i in range(k):
-                    token = final.get(tail[i:])
-                    if token is not None and ((before := last[n - k + i]) < 0 or keeps(before, token)):
-                        ids, at = [token], n - k + i
-                        break
-                while at:
-                    ids.append(last[at])
-                    at -= size[at]
-                out[word] = ids[::-1]
-            stack.extend((child, depth + 1, c) for c, child in node.items() if c)
+            node, depth, state, last[depth], size[depth] = stack.pop()
+            for c, child in node.items():
+                if c:
+                    after, tokens = ending[state + c]
+                    for length, token in tokens:
+                        before = last[depth + 1 - length]
+                        if before < 0 or (pairs[k] if (k := before << 20 | token) in pairs else seam(before, token)):
+                            stack.append((child, depth + 1, after, token, length))
+                            break
+                    continue
+                for word in child:
+                    for length, token in ending[state + word[-1] + END][1]:
+                        before = last[depth + 2 - length]
+                        if before < 0 or (pairs[k] if (k := before << 20 | token) in pairs else seam(before, token)):
+                            break
+                    ids, at = [token], depth + 2 - length
+                    while at:
+                        ids.append(last[at])
+                        at -= size[at]
+                    out[word] = ids[::-1]
         return out
 
     def _normal(self, chunk: str) -> str:
@@ -213,10 +212,11 @@ def _chunks(text: str) -> list[str]:
 def encode_texts(model: BpeModel, texts: list[str], store: dict[str, bytes]) -> list[bytes]:
     """The ids of each text as int32 bytes; store keeps the chunks met before."""
     split = [_chunks(t) for t in texts]
-    new = set().union(*split) - store.keys()
+    used = set().union(*split)
+    new = used - store.keys()
     if len(store) + len(new) > CACHE_CHUNKS:
-        store.clear()
-        new = set().union(*split)
+        for chunk in store.keys() - used:
+            del store[chunk]
     found = model.encode_chunks(new)
     store.update((c, ids) for c, ids in found.items() if len(c) <= CACHE_CHARS)
     get = store.__getitem__
@@ -231,10 +231,11 @@ def encode(df: DataFrame, tokenizer_json: str, text_col: str = "text", keep: tup
     names = [*keep, "token_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, store = load_model(spec.value), {}
-        for batch in rows_batches(batches):
+        model = load_model(spec.value)
+        gc.disable()  # tries are freed by reference counts; walking them for cycles takes a quarter of the time
+        for batch in rows_batches(batches, BATCH_BYTES):
             texts = [b.decode("utf-8", "replace") for b in text_bytes(batch.column(batch.num_columns - 1))]
-            ids = encode_texts(model, texts, store)
+            ids = encode_texts(model, texts, model.store)
             offsets = np.zeros(len(ids) + 1, np.int64)
             np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
             values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
@@ -252,7 +253,7 @@ def decode(df: DataFrame, tokenizer_json: str, ids_col: str = "token_ids") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = load_model(spec.value).names.__getitem__
-        for batch in rows_batches(batches):
+        for batch in rows_batches(batches, BATCH_BYTES):
             texts = [" ".join(map(get, ids.values.to_numpy(zero_copy_only=False).tolist())) if ids.is_valid else "" for ids in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .affix import EndingEntries
 from .common import rows_batches, text_bytes, unit_hash
 
 #: Bounds of the training sample: documents a language, and languages.
@@ -40,7 +41,8 @@ FLOOR = 1e-8
 #: Letter runs longer than this are scored in consecutive parts of this length.
 PART = 48
 MARK = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+BATCH_BYTES = 2 << 20
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -99,18 +101,18 @@ class LanguageModel:
     """Piece probabilities by language and the words scored so far."""
 
     def __init__(self, langs: list[str], table: dict[str, list[float]]):
-        self.langs, self.table = langs, table
-        self.longest = max(map(len, table), default=1)
+        self.langs = langs
+        self.ending = EndingEntries(table)
         self.floor = [FLOOR] * len(langs)
         self.words: dict[str, int] = {}
-        self.scores = np.zeros((0, len(langs)))
+        self.scores = np.zeros((0, len(langs) + 1))
 
     def word_log_probs(self, words: list[str]) -> np.ndarray:
         """Natural logarithms of the sum over all segmentations, a row a word, a column a language."""
-        table, longest, floor, zero = self.table, self.longest, self.floor, [0.0] * len(self.langs)
+        ending, zero, floor = self.ending, [0.0] * len(self.langs), self.floor
         order = sorted(range(len(words)), key=words.__getitem__)
         out = np.zeros((len(words), len(self.langs)))
-        before, forward = "", [[1.0] * len(self.langs)]
+        before, forward, states = "", [[1.0] * len(self.langs)], [""]
         for k in order:
             word = words[k]
             at = 0
@@ -118,17 +120,17 @@ class LanguageModel:
                 if a != b:
                     break
                 at += 1
-            del forward[at + 1 :]
+            del forward[at + 1 :], states[at + 1 :]
+            state = states[at]
             for j in range(at + 1, len(word) + 1):
+                state, pieces = ending[state + word[j - 1]]
                 sums = zero
-                for i in range(max(0, j - longest), j):
-                    p = table.get(word[i:j])
-                    if p is not None:
-                        f = forward[i]
-                        sums = [s + x * y for s, x, y in zip(sums, f, p)]
-                    elif i == j - 1:
-                        sums = [s + x * y for s, x, y in zip(sums, forward[i], floor)]
+                for length, p in pieces:
+                    sums = [s + x * y for s, x, y in zip(sums, forward[j - length], p)]
+                if not pieces or pieces[-1][0] > 1:  # no piece for the character alone
+                    sums = [s + x * y for s, x, y in zip(sums, forward[j - 1], floor)]
                 forward.append(sums)
+                states.append(state)
             before = word
             out[k] = forward[-1]
         with np.errstate(divide="ignore"):
@@ -137,10 +139,12 @@ class LanguageModel:
     def text_log_probs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihoods (a row a text) and whether the text has letters."""
         split = [t.lower().split() for t in texts]
-        new = list(set().union(*split) - self.words.keys()) if split else []
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words, self.scores = {}, np.zeros((0, len(self.langs)))
-            new = list(set().union(*split))
+        used = set().union(*split)
+        new = list(used - self.words.keys())
+        if len(self.words) + len(new) > CACHE_WORDS:  # those of the current batch stay
+            kept = list(used & self.words.keys())
+            self.scores = self.scores[[self.words[c] for c in kept]]
+            self.words = {c: i for i, c in enumerate(kept)}
         runs = [word_parts(c) for c in new]
         parts = list(dict.fromkeys(p for r in runs for p in r))
         number = {p: i for i, p in enumerate(parts)}
@@ -152,8 +156,6 @@ class LanguageModel:
         rows[:, -1] = np.bincount(owner, minlength=len(new))
         first = len(self.words)
         self.words.update((c, first + i) for i, c in enumerate(new))
-        if len(self.scores) == 0:
-            self.scores = np.zeros((0, rows.shape[1]))
         self.scores = np.concatenate((self.scores, rows))
         get = self.words.__getitem__
         out = np.zeros((len(texts), rows.shape[1]))
@@ -213,7 +215,7 @@ def classify(df: DataFrame, model: tuple[list[str], dict[str, list[float]]], tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = LanguageModel(*shared.value)
-        for batch in rows_batches(batches):
+        for batch in rows_batches(batches, BATCH_BYTES):
             langs, scores = scorer.predict([b.decode("utf-8", "replace") for b in text_bytes(batch.column(at))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
