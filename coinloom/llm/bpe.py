@@ -16,6 +16,7 @@ import gc
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -31,7 +32,7 @@ from .affix import EndingEntries
 from .common import rows_batches, text_bytes
 
 #: Chunks kept between batches and tasks of a worker; when full, those of the current batch stay.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 300_000
 #: Longer chunks are encoded each time they occur, so the store's memory is bounded.
 CACHE_CHARS = 80
 #: Token pairs whose fit is remembered.
@@ -91,7 +92,6 @@ class BpeModel:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         # END stands for the word's end, so that what may end a word is an entry of its own
         self.ending = EndingEntries({t[:-end] + END if end and t.endswith(self.suffix) else t: i for t, i in ids.items() if t not in self.special})
-        self.names = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         self.alphabet = {b: c for b, c in byte_alphabet().items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # the tokenizer's classes are those of Unicode 16; chunks hold no white space
@@ -134,41 +134,70 @@ class BpeModel:
             else:
                 b = rights.pop()
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Token ids of each distinct word (in the byte alphabet)."""
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Token ids, as int32 bytes, of each distinct word (in the byte alphabet).
+
+        A trie node maps a character to a node, or to the word itself where only one goes on;
+        "" holds the words whose last character comes next.
+        """
         root: dict = {}
         deepest = 0
         for word in words:
-            node = root
-            for c in word[:-1]:
-                node = node.setdefault(c, {})
-            node.setdefault("", []).append(word)
-            deepest = max(deepest, len(word))
-        out: dict[str, list[int]] = {}
+            node, end = root, len(word) - 1
+            deepest = max(deepest, end)
+            for i, c in enumerate(word):
+                if i == end:
+                    node.setdefault("", []).append(word)
+                    break
+                child = node.get(c)
+                if child is None:
+                    node[c] = word
+                    break
+                if child.__class__ is str:
+                    lone, child = child, {}
+                    node[c] = child
+                    if len(lone) == i + 2:
+                        child[""] = [lone]
+                    else:
+                        child[lone[i + 1]] = lone
+                node = child
+        out: dict[str, bytes] = {}
         ending, pairs, seam = self.ending, self.pairs, self.keeps
-        last, size = [-1] * (deepest + 1), [0] * (deepest + 1)  # of each prefix on the path: its last token, that token's length
+        last, size = [-1] * (deepest + 2), [0] * (deepest + 2)  # of each prefix on the path: its last token, that token's length
+
+        def finish(word: str, depth: int, state: str) -> None:
+            for length, token in ending[state + word[-1] + END][1]:
+                before = last[depth + 2 - length]
+                if before < 0 or (pairs[k] if (k := before << 20 | token) in pairs else seam(before, token)):
+                    break
+            ids, at = [token], depth + 2 - length
+            while at:
+                ids.append(last[at])
+                at -= size[at]
+            ids.reverse()
+            out[word] = array("i", ids).tobytes()
+
         stack: list[tuple[dict, int, str, int, int]] = [(root, 0, "", -1, 0)]
         while stack:
             node, depth, state, last[depth], size[depth] = stack.pop()
             for c, child in node.items():
-                if c:
-                    after, tokens = ending[state + c]
-                    for length, token in tokens:
-                        before = last[depth + 1 - length]
-                        if before < 0 or (pairs[k] if (k := before << 20 | token) in pairs else seam(before, token)):
-                            stack.append((child, depth + 1, after, token, length))
-                            break
+                if not c:
+                    for word in child:
+                        finish(word, depth, state)
                     continue
-                for word in child:
-                    for length, token in ending[state + word[-1] + END][1]:
-                        before = last[depth + 2 - length]
+                at, after, rest = depth, state, c if child.__class__ is dict else child[depth:-1]
+                for c in rest:
+                    after, tokens = ending[after + c]
+                    at += 1
+                    for length, token in tokens:
+                        before = last[at - length]
                         if before < 0 or (pairs[k] if (k := before << 20 | token) in pairs else seam(before, token)):
                             break
-                    ids, at = [token], depth + 2 - length
-                    while at:
-                        ids.append(last[at])
-                        at -= size[at]
-                    out[word] = ids[::-1]
+                    last[at], size[at] = token, length
+                if child.__class__ is dict:
+                    stack.append((child, at, after, token, length))
+                else:
+                    finish(child, at, after)
         return out
 
     def _normal(self, chunk: str) -> str:
@@ -176,21 +205,27 @@ class BpeModel:
             chunk = unicodedata.normalize("NFC", chunk).translate(self.lower)
         return chunk.lower()
 
-    def encode_chunks(self, chunks: Iterable[str]) -> dict[str, np.ndarray]:
-        """Token ids of pieces of text without white space."""
-        split: dict[str, list] = {}
-        for chunk in chunks:
-            parts: list = []
-            at = 0
-            for found in self.specials.finditer(chunk) if self.specials and "<" in chunk else ():
-                parts += self._words(chunk[at : found.start()])
-                parts.append(self.special[found[0]])
-                at = found.end()
-            split[chunk] = parts + self._words(chunk[at:])
-        known = self.encode_words({w for parts in split.values() for w in parts if isinstance(w, str)})
-        return {c: np.array(list(chain.from_iterable(known[w] if isinstance(w, str) else (w,) for w in parts)), np.int32).tobytes() for c, parts in split.items()}
+    def encode_chunks(self, chunks: Iterable[str]) -> dict[str, bytes]:
+        """Token ids, as int32 bytes, of pieces of text without white space."""
+        words = self._words
+        split = {c: self._with_specials(c) if "<" in c else words(c) for c in chunks}
+        known = self.encode_words(set(chain.from_iterable(split.values())) - self.special.keys())
+        known |= {name: array("i", [i]).tobytes() for name, i in self.special.items()}
+        get = known.__getitem__
+        return {c: get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for c, parts in split.items()}
+
+    def _with_specials(self, chunk: str) -> list[str]:
+        """Words and special tokens; no word equals a special, as the split pattern parts a special's marks from its letters."""
+        parts: list[str] = []
+        at = 0
+        for found in self.specials.finditer(chunk) if self.specials else ():
+            parts += [*self._words(chunk[at : found.start()]), found[0]]
+            at = found.end()
+        return parts + self._words(chunk[at:])
 
     def _words(self, text: str) -> list[str]:
+        if text.isascii() and text.isprintable():
+            return self.pieces.findall(text.lower())
         letters = self.alphabet
         return [w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in self.pieces.findall(self._normal(text))]
 
@@ -200,6 +235,13 @@ def load_model(file_text: str) -> BpeModel:
     return BpeModel(file_text)
 
 
+@lru_cache(maxsize=4)
+def token_names(file_text: str) -> dict[int, str]:
+    """The string of every id, specials included."""
+    spec = json.loads(file_text)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
+
+
 #: White space that the tokenizer's \s takes; the four separators U+001C-1F, which str.split() takes too, are not among it.
 _GAP = regex.compile(r"\s+")
 _ODD = regex.compile("[\x1c-\x1f]")
@@ -252,7 +294,7 @@ def decode(df: DataFrame, tokenizer_json: str, ids_col: str = "token_ids") -> Da
     at = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = load_model(spec.value).names.__getitem__
+        get = token_names(spec.value).__getitem__
         for batch in rows_batches(batches, BATCH_BYTES):
             texts = [" ".join(map(get, ids.values.to_numpy(zero_copy_only=False).tolist())) if ids.is_valid else "" for ids in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
