@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 BUCKET_BYTES = 8 << 20
 SEED = 20240229
+#: Partitions: one a bucket up to LEAST_PARTS, for larger tables PART_BUCKETS buckets in each.
+LEAST_PARTS = 64
+PART_BUCKETS = 32
 _GROUP = 1024
 
 
@@ -52,10 +55,12 @@ def shard(df: DataFrame, shards: int, key_cols: tuple[str, ...] = ("doc_id", "te
     df = df.drop("law", "shard", "slot", "grown_shard")
     buckets = max(1, -(-volume // bucket_bytes))
     bucket = F.pmod(F.xxhash64(F.lit(seed), *key_cols), F.lit(buckets)).alias("__bucket")
-    table = bucket_table(df.select(bucket), seed, min(buckets, 4096))
+    parts = min(buckets, max(LEAST_PARTS, buckets // PART_BUCKETS))
+    table = bucket_table(df.select(bucket), seed, parts)
     # ties in the key columns are alike rows: which of them gets which slot doesn't show
     order = Window.partitionBy("__bucket").orderBy(F.xxhash64(F.lit(seed + 1), *key_cols), *key_cols)
-    dealt = df.select("*", bucket).withColumn("__index", F.row_number().over(order))
+    # dealt out like the bucket table, so that the join moves no row again
+    dealt = df.select("*", bucket).repartition(parts, "__bucket").withColumn("__index", F.row_number().over(order))
     place = (F.col("__offset") + F.element_at("__order", F.col("__index"))).alias("__place")
     dealt = dealt.join(table, "__bucket").select(*[F.col(f"`{c}`") for c in df.columns], place)
     at = F.expr(f"cast((__place * {shards}L) div {max(rows, 1)}L as int)")
