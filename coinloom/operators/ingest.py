@@ -48,7 +48,7 @@ def dedupe(inputs: DataFrame, existing: DataFrame | None = None, within_ms: int
     clash = lambda taken, x: F.exists(taken, lambda y: F.abs(y["__ms"] - x["__ms"]) <= within_ms)
     none = F.expr("cast(array() as array<struct<__seq:bigint,__row:string,__ms:bigint>>)")
     fold = F.aggregate("__all", none, lambda taken, x: F.when((x["__seq"] >= 0) & clash(taken, x), taken).otherwise(F.concat(taken, F.array(x))))
-    kept = groups.select(F.explode(fold).alias("k")).select("k.__row").withColumn("__kept", F.lit(True))
+    kept = groups.select(F.explode_outer(fold).alias("k")).where("k IS NOT NULL").select("k.__row").withColumn("__kept", F.lit(True))
     marked = rows.join(kept, "__row", "left")
     return marked.withColumn("kept", F.coalesce("__kept", F.lit(False)) | F.col("__ms").isNull()).drop("__row", "__seq", "__kept", "__party", "__ms")
 

@@ -149,4 +149,6 @@ def parse_many(df: DataFrame, text_col: str, as_of: str, boilerplate: Callable[[
     mixed = F.col("many") & (F.size("rows") > 1) & (good <= 1) & (good < F.size("rows"))
     whole = F.when(mixed, parse_one(F.col(text_col), as_of))
     rows = parsed.withColumn("whole", whole).withColumn("rows", F.when(F.coalesce(F.col("whole.ok"), F.lit(False)), F.array("whole")).otherwise(F.col("rows")))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.posexplode("rows").alias("pos", "__row")).select(*[F.col(f"`{c}`") for c in df.columns], "pos", "__row.*")
+    # the outer form: Spark would push the plain one's "rows isn't empty" below, and parse every text again for it
+    each = rows.select(*[F.col(f"`{c}`") for c in df.columns], F.posexplode_outer("rows").alias("pos", "__row")).where("pos IS NOT NULL")
+    return each.select(*[F.col(f"`{c}`") for c in df.columns], "pos", "__row.*")

@@ -91,7 +91,7 @@ def read_backup(spark: SparkSession, path: str) -> DataFrame:
     inside = F.when(F.ltrim("value").startswith("{"), F.coalesce(F.from_json("value", wrapped)["transactions"], F.when(F.get_json_object("value", "$.transactions").isNull() & F.get_json_object("value", "$").isNotNull(), F.array().cast(rows))))
     found = F.coalesce(plain, inside)
     checked = text.select("__file", F.when(found.isNull(), F.raise_error(F.lit("Invalid JSON backup"))).otherwise(found).alias("rows"))
-    return checked.select("__file", F.posexplode("rows").alias("seq", "t")).select("seq", "t.*")
+    return checked.select("__file", F.posexplode_outer("rows").alias("seq", "t")).where("seq IS NOT NULL").select("seq", "t.*")
 
 
 def write_backup(txns: DataFrame, path: str) -> None:
