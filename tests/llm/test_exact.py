@@ -46,6 +46,15 @@ def test_bpe_is_the_librarys(spark, docs, sf_dir):
         assert r.decoded == lib.decode(r.token_ids, skip_special_tokens=False)
 
 
+def test_bpe_trie_shares_splits_and_ends_anywhere():
+    lib, model = library(), bpe.load_model(queries.tokenizer_json())
+    words = ["a", "an", "ant", "ants", "anthem", "b", "zebra", "zebrafish", "q", "qqqqqqqq"]
+    for some in (words, words[::-1], words[3:5], words[-1:]):
+        got = model.encode_words(some)
+        assert {w: np.frombuffer(x, np.int32).tolist() for w, x in got.items()} == {w: lib.encode(w, add_special_tokens=False).ids for w in some}
+    assert model.encode_words([]) == {}
+
+
 def test_bpe_splits_at_the_librarys_white_space():
     lib, model = library(), bpe.load_model(queries.tokenizer_json())
     texts = [f"a{chr(c)}b" for c in [*range(0x3100), *range(0xA000, 0xAC00), *range(0x10000, 0x20000, 3)]]
