@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,26 +32,55 @@ def _islands(rows: DataFrame, within_ms: int) -> DataFrame:
     return rows.withColumn("__island", F.coalesce(F.max("__start").over(inside), "__carried"))
 
 
+def _in_reach(old: DataFrame, rows: DataFrame, within_ms: int) -> DataFrame:
+    """Old rows whose key and time, to a bucket either way, some row of `rows` shares: no other can refuse one."""
+    bucket = F.floor(F.col("__ms") / max(within_ms, 1))
+    near = F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__near")
+    asked = rows.where("__ms is not null").select(*[F.col(c).alias(f"__asked_{c}") for c in KEY], near).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"__asked_{c}")) for c in KEY]
+    return old.withColumn("__bucket", bucket).join(asked, [*same, F.col("__bucket") == F.col("__near")], "left_semi").drop("__bucket")
+
+
+def accepted(batches: Iterator[pa.RecordBatch], within_ms: int) -> Iterator[pa.RecordBatch]:
+    """`__row` of the rows that the greedy pass accepts; rows come island by island, in order.
+
+    Of an island only the first and last accepted time of each window-wide bucket are held:
+    a row meets three buckets, however long the island.
+    """
+    width, island, spans = max(within_ms, 1), None, {}
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in (*KEY, "__island", "__seq", "__ms")]
+        taken = []
+        for *group, seq, ms in zip(*columns):
+            if group != island:
+                island, spans = group, {}
+            at = ms // width
+            before, after = spans.get(at - 1), spans.get(at + 1)
+            clash = at in spans or (before and ms - before[1] <= within_ms) or (after and after[0] - ms <= within_ms)
+            taken.append(seq < 0 or not clash)
+            if taken[-1]:
+                low, high = spans.get(at, (ms, ms))
+                spans[at] = min(low, ms), max(high, ms)
+        yield batch.select(["__row"]).filter(pa.array(taken, pa.bool_()))
+
+
 def dedupe(inputs: DataFrame, existing: DataFrame | None = None, within_ms: int = WINDOW_MS, order: str = "seq") -> DataFrame:
     """Inputs with `kept`, in the order of column `order`.
 
     A row is refused when an accepted or existing row of its type, amount, party (any case)
     and channel lies at most within_ms away; refused rows refuse nothing. Rows without a
-    valid date are accepted. Rows conflict only inside an island, so the greedy pass is a
-    fold over one island's times.
+    valid date are accepted. Rows conflict only inside an island, so islands are dealt out
+    and the greedy pass reads each in order, as a stream.
     """
     rows = with_key(inputs).withColumn("__row", F.concat(F.lit("n"), F.col(order).cast("string"))).withColumn("__seq", F.col(order).cast("long"))
     need = ["id", *KEY, "__ms", "__row", "__seq"]
     line = rows.select(*need)
     if existing is not None:
         old = with_key(existing).withColumn("__row", F.concat(F.lit("o"), "id")).withColumn("__seq", F.lit(-1).cast("long"))
-        line = line.unionByName(old.select(*need))
+        line = line.unionByName(_in_reach(old.select(*need), rows, within_ms))
     islands = _islands(line.where("__ms is not null"), within_ms)
-    groups = islands.groupBy(*KEY, "__island").agg(F.array_sort(F.collect_list(F.struct("__seq", "__row", "__ms"))).alias("__all"))
-    clash = lambda taken, x: F.exists(taken, lambda y: F.abs(y["__ms"] - x["__ms"]) <= within_ms)
-    none = F.expr("cast(array() as array<struct<__seq:bigint,__row:string,__ms:bigint>>)")
-    fold = F.aggregate("__all", none, lambda taken, x: F.when((x["__seq"] >= 0) & clash(taken, x), taken).otherwise(F.concat(taken, F.array(x))))
-    kept = groups.select(F.explode_outer(fold).alias("k")).where("k IS NOT NULL").select("k.__row").withColumn("__kept", F.lit(True))
+    dealt = islands.select(*KEY, "__island", "__seq", "__ms", "__row").repartition(*KEY, "__island").sortWithinPartitions(*KEY, "__island", "__seq", "__row")
+    kept = dealt.mapInArrow(lambda it: accepted(it, within_ms), "__row string").withColumn("__kept", F.lit(True))
     marked = rows.join(kept, "__row", "left")
     return marked.withColumn("kept", F.coalesce("__kept", F.lit(False)) | F.col("__ms").isNull()).drop("__row", "__seq", "__kept", "__party", "__ms")
 

@@ -123,6 +123,32 @@ def test_dedupe_keeps_0_and_16(spark):
     assert ingest.dedupe(rows.withColumn("date", F.lit("no date"))).where("kept").count() == 3
 
 
+def test_dedupe_of_a_key_that_never_pauses(spark):
+    rng = random.Random(8)
+    rows = [(f"n{i}", "in", 1, None if i % 2 else "p", T0 + i * 1000) for i in range(3000)]
+    rng.shuffle(rows)
+    got = ingest.dedupe(txns(spark, rows, seq=True)).where("kept").collect()
+    assert {r.id for r in got} == set(greedy([(*r[:3], r[3] or "", r[4]) for r in rows]))
+
+
+@pytest.mark.parametrize("within", [0, 1, 7])
+def test_accepted_in_small_windows(within):
+    import pyarrow as pa
+
+    rng = random.Random(within)
+    times = [rng.randint(-40, 40) for _ in range(60)]
+    n = len(times)
+    names = [*ingest.KEY, "__island", "__seq", "__ms", "__row"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (["in"] * n, [1] * n, ["p"] * n, ["c"] * n, [0] * n, range(n), times, map(str, range(n)))], names)
+    got = [r for b in ingest.accepted(iter([batch.slice(0, 25), batch.slice(25)]), within) for r in b.column(0).to_pylist()]
+    near, want = [], []
+    for i, ms in enumerate(times):
+        if all(abs(ms - x) > within for x in near):
+            near.append(ms)
+            want.append(str(i))
+    assert got == want
+
+
 def test_bucketed_neighbours_match_global_lag(spark):
     rng = random.Random(5)
     rows = [(f"t{i}", "out", 1, "p", T0 + rng.randint(0, 2000) * MIN) for i in range(300)]
