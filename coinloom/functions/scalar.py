@@ -72,16 +72,31 @@ def millis_iso(ms: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def local_time(ms: Column, tz: str) -> Column:
+    """Wall-clock time in zone tz of epoch milliseconds, without a zone."""
+    at = F.timestamp_add("MILLISECOND", ms, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), at)
+
+
 def local_day(ms: Column, tz: str) -> Column:
     """Calendar day in zone tz of epoch milliseconds."""
-    at = F.timestamp_add("MILLISECOND", ms, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(tz), at))
+    return F.to_date(local_time(ms, tz))
+
+
+def start_of_day(ms: Column, tz: str) -> Column:
+    """ISO date in UTC of the midnight that began the local day."""
+    midnight = F.convert_timezone(F.lit(tz), F.lit("UTC"), local_day(ms, tz).cast("timestamp_ntz"))
+    return F.date_format(midnight, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def format_day(ms: Column, tz: str) -> Column:
     return F.date_format(local_day(ms, tz), "MMM dd, yyyy")
 
 
+def format_moment(ms: Column, tz: str) -> Column:
+    return F.date_format(local_time(ms, tz), "MMM dd, yyyy, HH:mm")
+
+
 def utc_day(date) -> Column:
     return F.substring(as_column(date), 1, 10)
 

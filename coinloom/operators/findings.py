@@ -67,10 +67,16 @@ def large_outflows(txns: DataFrame, as_of_ms: int, days: int = 30, times: int =
     return hits.select(*_finding(F.concat(F.lit("large:"), "id"), "high", "large_outflow", "Unusually large outflow", "More than 3× your 30-day median outflow.", F.array("id")))
 
 
+def airtime_days(txns: DataFrame) -> DataFrame:
+    """(day, total, n) of every UTC day with airtime."""
+    airtime = txns.where(F.col("type") == "airtime").withColumn("day", utc_day("date"))
+    return airtime.groupBy("day").agg(F.sum("amountSantim").alias("total"), F.count("*").alias("n"))
+
+
 def airtime_spikes(txns: DataFrame, times: int = 3, floor_santim: int = 5000, min_rows: int = 4) -> DataFrame:
     """Days whose airtime is above so many times the average over days with airtime."""
     airtime = txns.where(F.col("type") == "airtime").withColumn("day", utc_day("date"))
-    days = airtime.groupBy("day").agg(F.sum("amountSantim").alias("total"), F.count("*").alias("n"))
+    days = airtime_days(txns)
     overall = days.agg((F.sum("total") / F.count("*")).alias("average"), F.sum("n").alias("rows"))  # one row
     spikes = days.join(F.broadcast(overall), (F.col("rows") >= min_rows) & (F.col("total") > F.col("average") * times) & (F.col("total") > floor_santim))
     members = airtime.join(spikes.select("day"), "day").groupBy("day").agg(F.array_sort(F.collect_list("id")).alias("ids"))

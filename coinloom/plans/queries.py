@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import entry_to_santim, format_etb, text_to_santim, type_label
+from ..functions.scalar import DAY_MS, entry_to_santim, format_day, format_etb, format_moment, iso_millis, local_day, signed_etb, start_of_day, text_to_santim, type_label
 from ..operators import findings as rules
 from ..operators import ingest, listing, ocr, sms
 from ..sources import store
+from ..schema import TRANSACTION
+from ..sources.adapters import form_entries as entries
 from ..sources.adapters import messages, screenshots, transactions
 
 #: 2024-01-31 and 2024-03-10, midnight UTC.
@@ -212,6 +214,19 @@ def ingest_counts(spark, sf_dir):
     return ingest.ingest_counts(ingest.dedupe(_numbered(spark, sf_dir)))
 
 
+_KNOWN = COARSE.replace("WITH txn AS (", "every AS (") + """, txn AS (SELECT * FROM every a WHERE id[2:]::BIGINT % 5 <> 0 AND NOT EXISTS (
+        SELECT 1 FROM every b WHERE b.id[2:]::BIGINT % 5 = 0 AND a.type = b.type AND a.amount = b.amount AND lower(a.party) = lower(b.party) AND a.channel = b.channel AND abs(a.ms - b.ms) <= 600000))"""
+
+
+@query("WITH RECURSIVE " + _KNOWN + _DEDUPE + """, g AS (SELECT key, id, next_ms FROM r WHERE pos = 1
+        UNION ALL SELECT r.key, r.id, r.next_ms FROM g JOIN r ON r.key = g.key AND r.ms = g.next_ms)
+    SELECT id, id IN (SELECT id FROM g) AS kept FROM every WHERE id[2:]::BIGINT % 5 <> 0""")
+def ingest_dedupe_known(spark, sf_dir):
+    """Every fifth row is in the ledger already."""
+    t = _numbered(spark, sf_dir)
+    return ingest.dedupe(t.where("seq % 5 <> 0"), t.where("seq % 5 = 0").drop("seq")).select("id", "kept")
+
+
 @query(FINE + f"SELECT {ROW.replace('amount AS', 'CASE WHEN type = $$out$$ THEN 7 ELSE amount END AS')} FROM txn")
 def upsert_by_id(spark, sf_dir):
     t = transactions(spark, sf_dir)

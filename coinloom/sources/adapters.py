@@ -71,3 +71,16 @@ def screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = F.format_number(F.col("o_totalprice"), 2)
     entry = lambda h, n: F.concat(day, F.lit(f" {h}:05 PM\n{n} Abebe\n"), amount, F.lit(" Birr\n"))
     return o.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Refill History\n===\n"), entry(1, "Almaz"), entry(2, "Kebede"), entry(3, "Sara"), F.lit("Birr\n")).alias("text"))
+
+
+def form_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed entries made from customers: signed amounts with separators, padded and blank parties."""
+    c = read(spark, sf_dir, "customer")
+    name = F.concat(F.lit(" \t"), F.regexp_replace("c_name", "#", " "), F.lit("\u00a0"))
+    return c.select(
+        "c_custkey",
+        F.concat(F.lit("ETB "), F.format_number("c_acctbal", 2)).alias("amount"),
+        F.when(F.col("c_custkey") % 7 == 0, "  ").otherwise(name).alias("party"),
+        F.lit("").alias("reference"),
+        F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(" ").alias("note"),
+    )

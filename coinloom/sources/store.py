@@ -18,34 +18,42 @@ IGNORED = T.StructType([T.StructField("id", T.StringType())])
 class Ledger:
     """Transactions and dismissed findings under one path.
 
-    Every change writes a new version folder; the newest one that Spark has marked complete
-    is the table, so a failed write changes nothing and readers keep what they read.
+    A change writes a numbered folder: `v` replaces the table, `a` appends to it. The newest
+    complete `v` and the complete `a` after it are the table, so inserting costs what is
+    inserted, a failed write changes nothing and readers keep what they read. compact()
+    makes one `v` of them.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self, table: str) -> list[int]:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/v*/_SUCCESS"))
-        return sorted(int(s.getPath().getParent().getName()[1:]) for s in done or [])
+    def _versions(self, table: str) -> list[str]:
+        """Names of the complete folders, in the order they were written."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/*/_SUCCESS")
+        done = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at)
+        return sorted((s.getPath().getParent().getName() for s in done or []), key=lambda name: name[1:])
 
     def _read(self, table: str, schema: T.StructType) -> DataFrame:
-        versions = self._versions(table)
-        if not versions:
+        names = self._versions(table)
+        if not names:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/v{versions[-1]:08d}")
+        start = max((i for i, name in enumerate(names) if name[0] == "v"), default=0)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{table}/{name}" for name in names[start:]])
 
-    def _write(self, table: str, rows: DataFrame, schema: T.StructType) -> None:
-        version = (self._versions(table) or [0])[-1] + 1
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(f"{self.path}/{table}/v{version:08d}")
+    def _write(self, table: str, rows: DataFrame, schema: T.StructType, kind: str = "v") -> None:
+        number = max((int(name[1:]) for name in self._versions(table)), default=0) + 1
+        columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        rows.select(*columns).write.parquet(f"{self.path}/{table}/{kind}{number:08d}")
 
     def transactions(self) -> DataFrame:
         return self._read("transactions", TRANSACTION)
 
     def add(self, rows: DataFrame) -> None:
-        self._write("transactions", self.transactions().unionByName(rows, allowMissingColumns=True), TRANSACTION)
+        self._write("transactions", rows, TRANSACTION, "a")
+
+    def compact(self) -> None:
+        """The same rows in one folder."""
+        self._write("transactions", self.transactions(), TRANSACTION)
 
     def add_deduped(self, rows: DataFrame, order: str = "seq") -> tuple[int, int]:
         """(inserted, skipped)"""
@@ -94,10 +102,15 @@ def read_backup(spark: SparkSession, path: str) -> DataFrame:
     return checked.select("__file", F.posexplode_outer("rows").alias("seq", "t")).where("seq IS NOT NULL").select("seq", "t.*")
 
 
+def backup_rows(txns: DataFrame) -> DataFrame:
+    """`value`: the JSON record of each transaction, missing fields left out, with its date and id."""
+    fields = [n for n in TRANSACTION.names if n in txns.columns]
+    return txns.select("id", "date", F.to_json(F.struct(*fields)).alias("value"))
+
+
 def write_backup(txns: DataFrame, path: str) -> None:
     """JSON lines of transactions, newest first; Spark writes one file a task, each line a record of the backup."""
-    lines = txns.select(*TRANSACTION.names).orderBy(F.desc("date"), "id")
-    lines.select(F.to_json(F.struct(*TRANSACTION.names)).alias("value")).write.text(path)
+    backup_rows(txns).orderBy(F.desc("date"), "id").select("value").write.text(path)
 
 
 def backup_document(txns: DataFrame) -> DataFrame:

@@ -220,6 +220,11 @@ def test_store(spark, tmp_path):
         (tmp_path / "bad.json").write_text(bad)
         with pytest.raises(Exception, match="Invalid JSON backup"):
             store.read_backup(spark, f"file://{tmp_path}/bad.json").count()
+    ledger.add(ledger.transactions().where("id = 'z'").withColumn("id", F.lit("y")).drop("note"))
+    assert [n[0] for n in ledger._versions("transactions")] == ["a", "v", "a"] and ledger.transactions().count() == 4
+    ledger.compact()
+    assert ledger._versions("transactions")[-1][0] == "v" and ledger.transactions().count() == 4
+    ledger.delete(spark.createDataFrame([("y",)], "id string"))
     ledger.delete(spark.createDataFrame([("c",), ("none",)], "id string"))
     assert ledger.transactions().count() == 2
     ledger.clear()
