@@ -248,6 +248,54 @@ def _cell(x: str) -> str:
     return f"""(CASE WHEN regexp_matches({guarded}, '[",\\n]') THEN '"' || replace({guarded}, '"', '""') || '"' ELSE {guarded} END)"""
 
 
+@query(FINE + f"SELECT coalesce(median(amount), 0)::DOUBLE AS median FROM txn WHERE type = 'out' AND {AS_OF} - ms < 2592000000")
+def outflow_median(spark, sf_dir):
+    recent = transactions(spark, sf_dir).where((F.col("type") == "out") & (F.lit(AS_OF) - iso_millis("date") < 30 * DAY_MS))
+    return rules.exact_median(recent, "amountSantim")
+
+
+@query(FINE + "SELECT date[1:10] AS day, sum(amount)::BIGINT AS total, count(*) AS n FROM txn WHERE type = 'airtime' GROUP BY 1")
+def airtime_days(spark, sf_dir):
+    return rules.airtime_days(transactions(spark, sf_dir))
+
+
+@query(COARSE + f"SELECT id FROM ({_IGNORED}) UNION SELECT id FROM ({_aging('txn', AS_OF_CREDIT)})")
+def ignored_add(spark, sf_dir):
+    t = transactions(spark, sf_dir, coarse=True)
+    return rules.ignore(ignored_ids(t), rules.aging_credits(t, AS_OF_CREDIT))
+
+
+@query(COARSE + f"SELECT id FROM ({_IGNORED}) WHERE id NOT IN (SELECT id FROM ({_aging('txn', AS_OF_CREDIT)}))")
+def ignored_remove(spark, sf_dir):
+    t = transactions(spark, sf_dir, coarse=True)
+    return rules.restore(ignored_ids(t), rules.aging_credits(t, AS_OF_CREDIT))
+
+
+@query(FINE + f"SELECT {ROW} FROM txn")
+def backup_round_trip(spark, sf_dir):
+    t = transactions(spark, sf_dir)
+    return store.backup_rows(t).select(F.from_json("value", TRANSACTION).alias("t")).select("t.*").select(*t.columns)
+
+
+@query(r"""SELECT c_custkey, replace(c_name, '#', ' ') AS party, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS note,
+    floor(round(abs(c_acctbal), 2)::DOUBLE * 100 + 0.5)::BIGINT AS "amountSantim" FROM customer WHERE c_custkey % 7 <> 0 AND floor(round(abs(c_acctbal), 2)::DOUBLE * 100 + 0.5) > 0""")
+def form_entries(spark, sf_dir):
+    return store.from_form(entries(spark, sf_dir)).select("c_custkey", "party", "note", "amountSantim")
+
+
+@query(FINE + r"""SELECT id, (CASE WHEN type = 'in' THEN '+' ELSE '−' END) || regexp_replace((amount // 100)::VARCHAR, '(\d)(\d{3})$', '\1,\2') || '.' || lpad((amount % 100)::VARCHAR, 2, '0') || ' ETB' AS text FROM txn""")
+def signed_amounts(spark, sf_dir):
+    return transactions(spark, sf_dir).select("id", signed_etb(F.col("type") == "in", "amountSantim").alias("text"))
+
+
+@query(FINE + """, l AS (SELECT id, ms + 10800000 AS here FROM txn), z AS (SELECT id, here, make_timestamp(here * 1000) AS clock FROM l)
+    SELECT id, clock::DATE::VARCHAR AS day, strftime(clock, '%b %d, %Y') AS day_text, strftime(clock, '%b %d, %Y, %H:%M') AS moment_text,
+        strftime(make_timestamp((here // 86400000 * 86400000 - 10800000) * 1000), '%Y-%m-%dT%H:%M:%S.000Z') AS day_start FROM z""")
+def local_dates(spark, sf_dir):
+    ms = iso_millis("date")
+    return transactions(spark, sf_dir).select("id", local_day(ms, ZONE).cast("string").alias("day"), format_day(ms, ZONE).alias("day_text"), format_moment(ms, ZONE).alias("moment_text"), start_of_day(ms, ZONE).alias("day_start"))
+
+
 @query(FINE + "SELECT id, date, " + " || ',' || ".join(_cell(x) for x in ("date", "type", "(amount::DECIMAL(20,0) / 100)::DECIMAL(20,2)::VARCHAR", "party", "channel", "reference", "note", "(CASE WHEN type = 'credit' THEN CASE WHEN settled THEN 'yes' ELSE 'no' END END)")) + " AS value FROM txn")
 def csv_rows(spark, sf_dir):
     return store.csv_rows(transactions(spark, sf_dir))
