@@ -334,6 +334,12 @@ def sms_import(spark, sf_dir):
     return rows.select("msg_id", "type", "amountSantim", "party", "channel", "reference")
 
 
-@query()
+@query("""WITH o AS (SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%d/%m/%Y') AS dm, format('{:,.2f}', o_totalprice) AS a FROM orders WHERE o_custkey % 3 = 0),
+    e AS (SELECT *, unnest([0, 1, 2]) AS pos, floor(replace(a, ',', '')::DOUBLE * 100 + 0.5)::BIGINT AS cents FROM o),
+    n AS (SELECT *, ['Almaz Abebe', 'Kebede Abebe', 'Sara Abebe'][pos + 1] AS party FROM e WHERE NOT (cents BETWEEN 200000 AND 210000 AND cents % 100 = 0))
+    SELECT doc_id, pos, true AS ok, CASE WHEN pos > 0 THEN a || ' Birr' || chr(10) ELSE '' END || d || ' ' || (pos + 1) || ':05 PM' || chr(10) || party || chr(10) || a || ' Birr'
+            || CASE WHEN pos < 2 THEN chr(10) || d || ' ' || (pos + 2) || ':05 PM' ELSE '' END AS raw,
+        'airtime_evd' AS type, cents AS "amountSantim", party, 'Other' AS channel, NULL::VARCHAR AS reference, d || 'T' || (10 + pos) || ':05:00.000Z' AS date,
+        'EVD refill to ' || party || ' — ' || dm || ', ' || (13 + pos) || ':05:00' AS note, cents < 100000 AS "needsReview" FROM n""")
 def ocr_parse(spark, sf_dir):
     return ocr.parse_ocr(screenshots(spark, sf_dir), "doc_id", "text")
