@@ -1,0 +1,200 @@
+"""Passage dedup: winnowing over word hashes, across and inside lines.
+
+A word goes if and only if it lies in a run of min_words words or more that occurred
+earlier (by id, then word); where in its lines a run starts or ends does not matter. Lines
+that lose all their words go with their line end, other lines keep their remaining words,
+blank lines stay. Words are the runs between ASCII white space and are compared as bytes.
+A text that repeats itself with overlaps keeps only the words before its second occurrence.
+
+Every sequence of min_words words (a window) has its least k-gram hash as fingerprint.
+Consecutive windows with one fingerprint place make a span. Spans with a fingerprint that
+occurs once are no repeats. Of spans of equal content all but the earliest are cut whole.
+Where a fingerprint has several span contents, the windows of the earliest span of each
+are compared one by one: only there a run starts or ends. The earliest place of a window
+always lies in the earliest span of its content, so no repeat is lost.
+
+Null texts stay null; texts of which every word goes become empty, but for blank lines;
+rows without an id keep their text and lend none; rows that share an id count as one
+document (equal places delete nothing); very long texts are read whole; an empty table
+gives an empty table. Equality is that of 64-bit hashes. Other columns pass through;
+internal names begin with two underscores.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import materialize, rows_batches, text_bytes
+from .linededup import MIN_WORDS
+
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+_BITMAP = 1 << 15  # bits of one native bitmap
+
+
+class WordHashes:
+    """Prefix sums over a text's word hashes, from which any run's hash follows."""
+
+    powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def __init__(self, text: bytes):
+        words = text.split()
+        self.n = len(words)
+        if len(self.powers[0]) <= self.n:
+            WordHashes.powers = tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(2 * self.n, b, np.uint64)))) for b in (_BASE, _BACK))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, self.n)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * self.powers[0][: self.n])))
+
+    def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        x = (self.sums[ends] - self.sums[starts]) * self.powers[1][starts]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(29))
+
+
+def spans(text: bytes, min_words: int = MIN_WORDS) -> np.ndarray:
+    """(first window, last window, fingerprint, content hash) of each span; windows are numbered by their first word."""
+    words = WordHashes(text)
+    if words.n < min_words:
+        return np.zeros((0, 4), np.int64)
+    k = max(1, min_words // 5)
+    at = np.arange(words.n - k + 1)
+    grams = words.runs(at, at + k)
+    least, width, reach = grams, 1, min_words - k + 1
+    while width < reach:
+        step = min(width, reach - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    new = (least[1:] != least[:-1]) | (grams[: len(least) - 1] == least[:-1])
+    first = np.concatenate(([0], np.flatnonzero(new) + 1))
+    last = np.concatenate((first[1:] - 1, [len(least) - 1]))
+    return np.stack([first, last, least[first].view(np.int64), words.runs(first, last + min_words).view(np.int64)], 1)
+
+
+def all_spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(id, first, last, print, content) of every span of every document with an id."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_batches(batches):
+            found = [spans(t, min_words) for t in text_bytes(batch.column(1))]
+            rows = np.concatenate(found)
+            owner = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *(pa.array(rows[:, i].copy()) for i in range(4))], ["id", "first", "last", "print", "content"])
+
+    return df.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, first long, last long, print long, content long")
+
+
+def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df (id, text) whose id is in ids, and a few others: a bitmap of about 8 bits an id decides before the shuffle."""
+    size = ids.count() * 8 // _BITMAP + 1
+    place = F.pmod(F.xxhash64("id"), F.lit(size * _BITMAP))
+    maps = ids.select(place.alias("p")).groupBy(F.expr(f"p div {_BITMAP}").alias("k")).agg(F.bitmap_construct_agg(F.expr(f"p % {_BITMAP}")).alias("m")).collect()
+    bits = np.zeros((size, _BITMAP // 8), np.uint8)
+    for r in maps:
+        bits[r.k] = np.frombuffer(bytes(r.m), np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(2).to_numpy()
+            yield batch.filter(pa.array((shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))).select([0, 1])
+
+    return df.select("id", "text", place.alias("p")).mapInArrow(run, df.schema)
+
+
+def _windows(df: DataFrame, ranges: DataFrame, min_words: int) -> DataFrame:
+    """(id, first, content) of each window in the listed ranges (id, first, last) of df (id, text)."""
+    listed = materialize(ranges.groupBy("id").agg(F.collect_list("first").alias("a"), F.collect_list("last").alias("b")), "ranges")  # disjoint, of one document
+    kind = df.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(text_bytes(batch.column(1))):
+                words = WordHashes(text)
+                a, b = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
+                first = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(a, b)]))
+                first = first[first + min_words <= words.n]  # rows that share an id may be shorter
+                content = words.runs(first, first + min_words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(first), i))), pa.array(first), pa.array(content)], ["id", "first", "content"])
+
+    texts = _only(df, listed.select("id")).join(listed, "id")
+    return texts.select("id", "text", "a", "b").mapInArrow(run, f"id {kind}, first long, content long")
+
+
+def _later(rows: DataFrame, keys: list[str], origins: DataFrame) -> DataFrame:
+    repeated = origins.where("n > 1").select(*keys, "origin")
+    return rows.join(repeated, keys).where(F.struct("id", "first") > F.col("origin"))
+
+
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, first, end): word ranges of windows that occurred earlier."""
+    found = materialize(all_spans(df, id_col, text_col, min_words), "spans")
+    prints = found.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    joined = materialize(found.join(prints, "print", "left_semi"), "repeated")
+    origin = F.min(F.struct("id", "first")).alias("origin")
+    earliest = materialize(joined.groupBy("print", "content").agg(F.count("*").alias("n"), origin, F.min(F.col("last") - F.col("first")).alias("more")), "earliest")
+    whole = _later(joined, ["print", "content"], earliest).select("id", "first", (F.col("last") + min_words).alias("end"))
+    several = earliest.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    ranges = earliest.join(several, "print", "left_semi").select("origin.id", "origin.first", (F.col("origin.first") + F.col("more")).alias("last"))
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    single = materialize(_windows(texts, ranges, min_words), "windows")
+    borders = _later(single, ["content"], single.groupBy("content").agg(F.count("*").alias("n"), origin))
+    return whole.unionByName(borders.select("id", "first", (F.col("first") + min_words).alias("end")))
+
+
+def cut_words(text: bytes, first: np.ndarray, end: np.ndarray) -> tuple[bytes, int]:
+    """The text without the words in the ranges, and the number of lines that went."""
+    edges = np.zeros(len(text.split()) + 1, np.int64)
+    np.add.at(edges, np.minimum(first, len(edges) - 1), 1)
+    np.add.at(edges, np.minimum(end, len(edges) - 1), -1)
+    gone = np.cumsum(edges) > 0
+    out, at, deleted = [], 0, 0
+    for line in text.split(b"\n"):
+        words = line.split()
+        lost = gone[at : at + len(words)]
+        at += len(words)
+        if not lost.any():
+            out.append(line)
+        elif lost.all():
+            deleted += 1
+        else:
+            kept, place = [], 0
+            for word, cut in zip(words, lost):
+                begin = line.index(word, place)
+                if not cut:
+                    kept.append(line[place:begin] + word if kept else word)
+                place = begin + len(word)
+            out.append(b"".join(kept))
+    return b"\n".join(out), deleted
+
+
+def drop_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """All rows and columns of df, texts without the later copies of repeated runs, `__deleted_words` and `__deleted_lines`."""
+    places = repeated_passages(df, id_col, text_col, min_words).groupBy("id", "first").agg(F.max("end").alias("end"))
+    cuts = places.groupBy("id").agg(F.collect_list("first").alias("__first"), F.collect_list("end").alias("__end")).withColumnRenamed("id", "__id")
+    joined = df.join(cuts, F.col(f"`{id_col}`") == F.col("__id"), "left").drop("__id")
+    names, at, n = df.columns, df.columns.index(text_col), len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.flatnonzero(batch.column(n).is_valid().to_numpy(zero_copy_only=False))
+            texts = batch.column(at).to_pylist() if len(hit) else batch.column(at)
+            words, lines = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for i in hit:
+                if texts[i] is not None:
+                    old = texts[i].encode()
+                    new, lines[i] = cut_words(old, *(batch.column(c)[int(i)].values.to_numpy() for c in (n, n + 1)))
+                    words[i] = len(old.split()) - len(new.split())
+                    texts[i] = new.decode()
+            columns = list(batch.columns[:n])
+            columns[at] = pa.array(texts, batch.schema.field(at).type) if len(hit) else texts
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(words), pa.array(lines)], [*names, "__deleted_words", "__deleted_lines"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("__deleted_words", T.LongType()), T.StructField("__deleted_lines", T.LongType())])
+    return joined.mapInArrow(run, schema)

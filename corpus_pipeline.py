@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coinloom.llm import bpe, langid, linededup, mixing, simhash
+from coinloom.llm import bpe, langid, mixing, passages, simhash
 from coinloom.llm.common import materialize, table
 from coinloom.llm.queries import learn_languages, tokenizer_json
 
@@ -16,9 +16,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go; every document stays, n_chars follows its text."""
-    kept = linededup.drop_repeated_lines(docs)
-    return kept.withColumn("n_chars", F.when(F.col("__deleted_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Later copies of repeated passages go, whole lines or not; every document stays, n_chars follows its text."""
+    kept = passages.drop_repeated_passages(docs)
+    return kept.withColumn("n_chars", F.when(F.col("__deleted_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from coinloom.llm import bpe, linededup, mixing, queries, sharding, simhash, topk, warc
+from coinloom.llm import bpe, linededup, mixing, passages, queries, sharding, simhash, topk, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "\n\n", "a", "a b", "same text here", "same text here", "x" * 5000, "word " * 4000, "İstanbul ΣΑΣ ǅ ﬁ é́   z", "it's we'll 12½ ²Ⅷ <|endoftext|>a<|startoftext|> b", "\x00\x1c\x7f\x85 tab\tend", "日本語のテキスト 😀😀", "é Å ẛ̣"]
@@ -174,6 +174,41 @@ def test_line_dedup_matches_all_runs(spark, docs):
     assert linededup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_passages_match_all_windows(spark, docs):
+    rng = random.Random(4)
+    runs = [rng.choices("abcdef", k=rng.choice([3, 7, 12])) for _ in range(8)]
+    texts = {}
+    for i in range(80):
+        words = [w for _ in range(rng.randint(0, 5)) for w in (rng.choice(runs) if rng.random() < 0.6 else rng.choices("abcdefghij", k=rng.randint(1, 9)))]
+        texts[i] = "".join(w + rng.choice(["  ", " ", " ", "\n", "\n\n"]) for w in words)
+    texts |= {100: "z " * 40, 101: "q w e r t y u i\no p", 102: "1 2 q w e r t\ny u i o p 3"}
+    seen, gone = set(), set()
+    for d in sorted(texts):
+        words = texts[d].split()
+        for a in range(len(words) - 5):
+            if (part := tuple(words[a : a + 6])) in seen:
+                gone |= {(d, j) for j in range(a, a + 6)}
+            seen.add(part)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    out = {r.doc_id: r for r in passages.drop_repeated_passages(frame, min_words=6).collect()}
+    assert len(out) == len(texts) and len(gone) > 200
+    for d, text in texts.items():
+        assert out[d].text.split() == [w for j, w in enumerate(text.split()) if (d, j) not in gone], d
+        assert out[d]["__deleted_words"] == sum(x == d for x, _ in gone)
+    assert out[102].text == "1 2\n3" and out[102]["__deleted_lines"] == 0
+    kept = passages.drop_repeated_passages(docs).collect()
+    assert len(kept) == docs.count() and {r.text for r in kept if r.doc_id is None} == {"no id"} and any(r.text is None for r in kept)
+    assert passages.drop_repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_op7_cuts_a_passage_inside_lines(spark, tmp_path):
+    passage = [f"w{i}" for i in range(54)]
+    one = "x y " + " ".join(passage[:12]) + "\n" + " ".join(passage[12:36]) + "\n" + " ".join(passage[36:])
+    two = "other " + " ".join(passage) + " end"
+    spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in queries.op7_line_dedup(spark, f"file://{tmp_path}").collect()} == {1: one, 2: "other end"}
+
+
 def plain_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
