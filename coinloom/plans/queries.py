@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,6 @@ from ..functions.scalar import DAY_MS, entry_to_santim, format_day, format_etb,
 from ..operators import findings as rules
 from ..operators import ingest, listing, ocr, sms
 from ..sources import store
-from ..schema import TRANSACTION
 from ..sources.adapters import form_entries as entries
 from ..sources.adapters import messages, screenshots, transactions
 
@@ -274,7 +275,10 @@ def ignored_remove(spark, sf_dir):
 @query(FINE + f"SELECT {ROW} FROM txn")
 def backup_round_trip(spark, sf_dir):
     t = transactions(spark, sf_dir)
-    return store.backup_rows(t).select(F.from_json("value", TRANSACTION).alias("t")).select("t.*").select(*t.columns)
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="coinloom-")
+    path = f"{base.rstrip('/')}/coinloom/backup-{uuid.uuid4().hex}"
+    store.write_backup(t, path)
+    return store.read_backup(spark, path).select(*t.columns)
 
 
 @query(r"""SELECT c_custkey, replace(c_name, '#', ' ') AS party, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS note,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from ..operators.ingest import dedupe, delete, ingest_counts, upsert
 from ..schema import TRANSACTION
 
 CSV_HEADER = "date,type,amount_etb,party,channel,reference,note,settled"
+#: Transactions of one file of a backup; read_backup reads a file as one text.
+BACKUP_ROWS = 50_000
 IGNORED = T.StructType([T.StructField("id", T.StringType())])
 
 
@@ -91,15 +96,23 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_backup(spark: SparkSession, path: str) -> DataFrame:
-    """Transactions of JSON backups, an array or an object with `transactions`; `seq` is their order."""
+    """Transactions of JSON backups, an array or an object with `transactions`; `seq` is their order, by file name and place.
+
+    An object without `transactions` is empty; one that is a transaction itself (JSON lines) is an error.
+    """
     rows = T.ArrayType(TRANSACTION)
     wrapped = T.StructType([T.StructField("version", T.LongType()), T.StructField("transactions", rows)])
-    text = read_texts(spark, path).withColumn("__file", F.input_file_name())
+    read = read_texts(spark, path)
+    files = F.array(*[F.lit(f) for f in sorted(read.inputFiles())]).cast("array<string>")
+    text = read.withColumn("__file", F.array_position(files, F.input_file_name()) - 1)
     plain = F.when(F.ltrim("value").startswith("["), F.from_json("value", rows))
-    inside = F.when(F.ltrim("value").startswith("{"), F.coalesce(F.from_json("value", wrapped)["transactions"], F.when(F.get_json_object("value", "$.transactions").isNull() & F.get_json_object("value", "$").isNotNull(), F.array().cast(rows))))
+    lone = F.coalesce(*[F.get_json_object("value", f"$.{c}") for c in ("id", "amountSantim", "type")]).isNotNull()
+    empty = F.get_json_object("value", "$.transactions").isNull() & F.get_json_object("value", "$").isNotNull() & ~lone
+    inside = F.when(F.ltrim("value").startswith("{"), F.coalesce(F.from_json("value", wrapped)["transactions"], F.when(empty, F.array().cast(rows))))
     found = F.coalesce(plain, inside)
     checked = text.select("__file", F.when(found.isNull(), F.raise_error(F.lit("Invalid JSON backup"))).otherwise(found).alias("rows"))
-    return checked.select("__file", F.posexplode_outer("rows").alias("seq", "t")).where("seq IS NOT NULL").select("seq", "t.*")
+    placed = checked.select("__file", F.posexplode_outer("rows").alias("__at", "t")).where("__at IS NOT NULL")
+    return placed.select((F.col("__file") * (1 << 32) + F.col("__at")).alias("seq"), "t.*")
 
 
 def backup_rows(txns: DataFrame) -> DataFrame:
@@ -108,9 +121,23 @@ def backup_rows(txns: DataFrame) -> DataFrame:
     return txns.select("id", "date", F.to_json(F.struct(*fields)).alias("value"))
 
 
-def write_backup(txns: DataFrame, path: str) -> None:
-    """JSON lines of transactions, newest first; Spark writes one file a task, each line a record of the backup."""
-    backup_rows(txns).orderBy(F.desc("date"), "id").select("value").write.text(path)
+def write_backup(txns: DataFrame, path: str, part_rows: int = BACKUP_ROWS) -> None:
+    """A folder of JSON backups for read_backup, newest first by file name, each a document of about part_rows transactions."""
+    lines = backup_rows(txns)
+    order = [F.desc("date"), F.asc("id")]
+    parts = lines.repartitionByRange(lines.count() // part_rows + 1, *order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = '{"version":1,"transactions":['
+        for batch in batches:
+            out = []
+            for value in batch.column(0).to_pylist():
+                out.append(before + value)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]}" if before == "," else before + "]}"])], ["value"])
+
+    parts.select("value").mapInArrow(run, "value string").write.option("maxRecordsPerFile", 0).text(path)
 
 
 def backup_document(txns: DataFrame) -> DataFrame:

@@ -254,3 +254,18 @@ def test_entry_without_corpus_operators(spark):
 
     assert set(e.LEDGER) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_backup_parts_restore(spark, tmp_path):
+    rows = txns(spark, [(f"i{k}", "in", k, 'q,"\n', T0 + k * DAY) for k in range(100)])
+    for name, frame, size in (("many", rows, 9), ("one", rows, 1000), ("none", rows.limit(0), 9)):
+        store.write_backup(frame, f"file://{tmp_path}/{name}", size)
+        back = store.read_backup(spark, f"file://{tmp_path}/{name}")
+        assert sorted(map(tuple, back.drop("seq").collect()), key=str) == sorted(map(tuple, frame.select(*[F.col(c) if c in frame.columns else F.lit(None).alias(c) for c in TRANSACTION.names]).collect()), key=str)
+        assert [r.amountSantim for r in back.orderBy("seq").collect()] == sorted((r.amountSantim for r in frame.collect()), reverse=True)
+    assert len(list((tmp_path / "many").glob("part-*"))) > 1
+    for part in (tmp_path / "many").glob("part-*"):
+        assert set(json.loads(part.read_text())) == {"version", "transactions"}
+    (tmp_path / "lines.json").write_text('{"id":"a","type":"in"}\n{"id":"b","type":"in"}\n')
+    with pytest.raises(Exception, match="Invalid JSON backup"):
+        store.read_backup(spark, f"file://{tmp_path}/lines.json").count()
