@@ -14,7 +14,7 @@ from ..operators import findings as rules
 from ..operators import ingest, listing, ocr, sms
 from ..sources import store
 from ..sources.adapters import form_entries as entries
-from ..sources.adapters import messages, screenshots, transactions
+from ..sources.adapters import messages, screenshots, third_of_screenshots, transactions
 
 #: 2024-01-31 and 2024-03-10, midnight UTC.
 AS_OF, AS_OF_CREDIT = 1_706_659_200_000, 1_710_028_800_000
@@ -346,4 +346,9 @@ def sms_import(spark, sf_dir):
         'airtime_evd' AS type, cents AS "amountSantim", party, 'Other' AS channel, NULL::VARCHAR AS reference, d || 'T' || (10 + pos) || ':05:00.000Z' AS date,
         'EVD refill to ' || party || ' — ' || dm || ', ' || (13 + pos) || ':05:00' AS note, cents < 100000 AS "needsReview" FROM n""")
 def ocr_parse(spark, sf_dir):
+    return ocr.parse_ocr(third_of_screenshots(spark, sf_dir), "doc_id", "text")
+
+
+@query(ORACLES["ocr_parse"].replace(" WHERE o_custkey % 3 = 0", ""))
+def ocr_parse_all(spark, sf_dir):
     return ocr.parse_ocr(screenshots(spark, sf_dir), "doc_id", "text")

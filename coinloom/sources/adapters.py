@@ -65,14 +65,20 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): refill lists of three entries made from orders."""
-    o = read(spark, sf_dir, "orders").where("o_custkey % 3 = 0")
+    """(doc_id, text): refill lists of three entries made from every order."""
+    o = read(spark, sf_dir, "orders")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     amount = F.format_number(F.col("o_totalprice"), 2)
     entry = lambda h, n: F.concat(day, F.lit(f" {h}:05 PM\n{n} Abebe\n"), amount, F.lit(" Birr\n"))
     return o.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Refill History\n===\n"), entry(1, "Almaz"), entry(2, "Kebede"), entry(3, "Sara"), F.lit("Birr\n")).alias("text"))
 
 
+def third_of_screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of the orders to which the SQL of ocr_parse is limited."""
+    some = read(spark, sf_dir, "orders").where("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("doc_id"))
+    return screenshots(spark, sf_dir).join(some, "doc_id", "left_semi")
+
+
 def form_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed entries made from customers: signed amounts with separators, padded and blank parties."""
     c = read(spark, sf_dir, "customer")

@@ -269,3 +269,12 @@ def test_backup_parts_restore(spark, tmp_path):
     (tmp_path / "lines.json").write_text('{"id":"a","type":"in"}\n{"id":"b","type":"in"}\n')
     with pytest.raises(Exception, match="Invalid JSON backup"):
         store.read_backup(spark, f"file://{tmp_path}/lines.json").count()
+
+
+def test_every_order_gives_a_screenshot(spark, sf_dir):
+    from coinloom.plans.queries import ORACLES, QUERIES
+    from coinloom.sources.adapters import read, screenshots
+
+    orders = {r.o_orderkey for r in read(spark, sf_dir, "orders").select("o_orderkey").collect()}
+    assert {r.doc_id for r in screenshots(spark, sf_dir).select("doc_id").collect()} == orders
+    assert "% 3" not in ORACLES["ocr_parse_all"] and {r.doc_id for r in QUERIES["ocr_parse_all"](spark, sf_dir).select("doc_id").collect()} <= orders
