@@ -1,0 +1,101 @@
+"""Near-duplicates by five-word shingles: MinHash candidates, then the exact similarity.
+
+Two texts are linked if the Jaccard similarity of their sets of lower-cased five-word
+shingles is 0.8 or more; groups are the components. 32 bands of 4 minima find a pair at
+0.8 with a probability of 1 - 5e-8, a more similar one sooner. A band's bucket of at most
+`bucket_cap` distinct texts gives all its pairs; in a fuller one each text is compared with
+the bucket's `leaders` least ones only, so there a chain of links can break.
+
+Null texts count as empty, empty texts are equal, texts under five words are one shingle.
+Equality of texts and shingles is that of 64-bit hashes. Rows without an id take part;
+very long texts are read whole; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize, rows_batches, text_bytes
+from .passages import WordHashes, _only
+from .simhash import components
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 32, 4
+BUCKET_CAP, LEADERS = 32, 16
+_RANDOM = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+_RANDOM[0] |= np.uint64(1)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    words = WordHashes(text.lower())
+    width = min(SHINGLE, words.n)
+    if not width:
+        return np.zeros(0, np.uint64)
+    at = np.arange(words.n - width + 1)
+    return np.unique(words.runs(at, at + width))
+
+
+def bands(text: bytes) -> np.ndarray:
+    """One hash a band."""
+    found = shingles(text)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for a in range(0, len(found), 4096):
+        x = found[a : a + 4096, None] * _RANDOM[0] + _RANDOM[1]
+        least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(0))
+    least *= np.uint64(0xD6E8FEB86659FD93)
+    least ^= least >> np.uint64(32)
+    parts = least.reshape(BANDS, ROWS)
+    value = np.arange(BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        value = (value + parts[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+    return value.view(np.int64)
+
+
+def _pairs(buckets: Iterator[pa.RecordBatch], bucket_cap: int, leaders: int) -> Iterator[pa.RecordBatch]:
+    for batch in buckets:
+        for keys in batch.column(0):
+            x = np.sort(keys.values.to_numpy())
+            v, u = np.triu_indices(len(x), 1) if len(x) <= bucket_cap else (a.reshape(-1) for a in np.indices((leaders, len(x))))
+            yield pa.RecordBatch.from_arrays([pa.array(x[u[u > v]]), pa.array(x[v[u > v]])], ["u", "v"])
+
+
+def _similar(rows: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        keep = []
+        for s, t in zip(text_bytes(batch.column(2)), text_bytes(batch.column(3))):
+            a, b = shingles(s), shingles(t)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(both >= similarity * (len(a) + len(b) - both))
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, bucket_cap: int = BUCKET_CAP, leaders: int = LEADERS) -> DataFrame:
+    """(doc_id, component_id) of df (doc_id, text): the smallest id of each row's group."""
+    texts = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.xxhash64("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_batches(batches):
+            found = [bands(t) for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "bands"])
+
+    rows = materialize(texts.select("doc_id", "id"), "keys")
+    sketches = materialize(texts.select("id", "text").mapInArrow(sketch, "id long, bands array<long>").dropDuplicates(["id"]), "bands")
+    buckets = sketches.select("id", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_list("id").alias("ids")).where("size(ids) > 1")
+    pairs = materialize(buckets.select("ids").mapInArrow(lambda it: _pairs(it, bucket_cap, leaders), "u long, v long").distinct(), "pairs")
+    used = materialize(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "id"), "used")
+    some = materialize(_only(texts.select("id", "text"), used).dropDuplicates(["id"]), "texts")
+    one, two = (some.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text")) for c in "uv")
+    both = pairs.join(one, "u").join(two, "v").select("u", "v", "u_text", "v_text")
+    edges = materialize(both.mapInArrow(lambda it: _similar(it, similarity), "u long, v long"), "edges")
+    groups = rows.groupBy("id").agg(F.min("doc_id").alias("least"))
+    roots = components(edges)
+    rooted = materialize(groups.join(roots, groups["id"] == roots["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(rooted.join(named, "root").select("id", "component_id"), "id").select("doc_id", "component_id")

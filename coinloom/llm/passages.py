@@ -135,7 +135,8 @@ def _later(rows: DataFrame, keys: list[str], origins: DataFrame) -> DataFrame:
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, first, end): word ranges of windows that occurred earlier."""
     found = materialize(all_spans(df, id_col, text_col, min_words), "spans")
-    prints = found.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    # written first: a join straight on an aggregate is not cut where one print is very common
+    prints = materialize(found.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "prints")
     joined = materialize(found.join(prints, "print", "left_semi"), "repeated")
     origin = F.min(F.struct("id", "first")).alias("origin")
     earliest = materialize(joined.groupBy("print", "content").agg(F.count("*").alias("n"), origin, F.min(F.col("last") - F.col("first")).alias("more")), "earliest")

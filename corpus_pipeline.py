@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coinloom.llm import bpe, langid, mixing, passages, simhash
+from coinloom.llm import bpe, langid, mixing, neardup, passages
 from coinloom.llm.common import materialize, table
 from coinloom.llm.queries import learn_languages, tokenizer_json
 
@@ -22,8 +22,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; documents without an id stay."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest id stays; documents without an id stay, and so do all rows that share that id."""
+    found = neardup.near_duplicates(docs)
     later = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 

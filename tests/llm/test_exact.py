@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from coinloom.llm import bpe, linededup, mixing, passages, queries, sharding, simhash, topk, warc
+from coinloom.llm import bpe, linededup, mixing, neardup, passages, queries, sharding, simhash, topk, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "\n\n", "a", "a b", "same text here", "same text here", "x" * 5000, "word " * 4000, "İstanbul ΣΑΣ ǅ ﬁ é́   z", "it's we'll 12½ ²Ⅷ <|endoftext|>a<|startoftext|> b", "\x00\x1c\x7f\x85 tab\tend", "日本語のテキスト 😀😀", "é Å ẛ̣"]
@@ -209,6 +209,29 @@ def test_op7_cuts_a_passage_inside_lines(spark, tmp_path):
     assert {r.doc_id: r.text for r in queries.op7_line_dedup(spark, f"file://{tmp_path}").collect()} == {1: one, 2: "other end"}
 
 
+def test_near_dedup_links_all_similar_pairs(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    texts = {0: None, 1: "", 2: "a b", 3: "A  b"}
+    for g in range(30):
+        base = rng.choices([f"w{i}" for i in range(500)], k=rng.randint(60, 300))
+        for _ in range(4):
+            copy = [w if rng.random() > g / 900 else rng.choice("xyz") for w in base]
+            texts[len(texts)] = " ".join(copy)
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in texts.items() for w in [(t or "").lower().split()]}
+    least = {d: d for d in texts}
+    links = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(9):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert 60 < len(links) < 180
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(frame).collect()} == least
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()} == set(least.values())
+    assert neardup.near_duplicates(docs.limit(0)).count() == 0 and neardup.near_duplicates(docs).count() == docs.count()
+
+
 def plain_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
