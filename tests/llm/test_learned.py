@@ -114,3 +114,12 @@ def test_pipeline_stages(spark, odd):
     for name, stage in p.STAGES[1:]:
         for frame in (some, some.limit(0)):
             stage(spark, frame, "/root/testdata/sf0.001").collect()
+
+
+def test_language_stage_without_labels(spark, odd):
+    import corpus_pipeline as p
+
+    frame = odd.selectExpr("doc_id", "text", "cast(null as string) lang", "cast(null as string) source", "cast(null as long) n_chars")
+    out = p.language_id(spark, frame, "")
+    want = [r.text for r in frame.collect() if any(c.isalpha() for c in r.text or "")]
+    assert want and sorted(r.text for r in out.collect()) == sorted(want) and out.columns == frame.columns
