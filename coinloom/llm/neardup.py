@@ -67,7 +67,7 @@ def _pairs(buckets: Iterator[pa.RecordBatch], bucket_cap: int, leaders: int) ->
 
 
 def _similar(rows: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
+    for batch in rows_batches(rows, 2 << 20):
         keep = []
         for s, t in zip(text_bytes(batch.column(2)), text_bytes(batch.column(3))):
             a, b = shingles(s), shingles(t)
