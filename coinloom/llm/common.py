@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and executors are local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder its executors share")
         base = "file://" + tempfile.mkdtemp(prefix="coinloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -88,3 +91,41 @@ def rows_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 8 << 20) ->
         step = max(1, int(n * max_bytes / max(batch.nbytes, 1)))
         for at in range(0, n, step):
             yield batch.slice(at, step)
+
+
+def join_by_count(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", share: int = 500) -> DataFrame:
+    """rows joined by keys to `unique`, which has one row a key and in `n` the key's number of rows.
+
+    Keys with over one in `share` of all rows are broadcast, so that none of them is a task's;
+    there can't be `share` of them. The others are shuffled.
+    """
+    most = max(rows.count() // share, 1)
+    hot = F.broadcast(unique.where(F.col("n") > most))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(unique.where(F.col("n") <= most), keys, how)
+    return rows.join(hot, keys, how).unionByName(rest)
+
+
+#: Bits of one native bitmap, and most bitmaps of a filter (16 MB).
+_BITMAP, _MOST_BITMAPS = 1 << 15, 1 << 12
+
+
+def maybe_in(df: DataFrame, listed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The rows of df whose keys are in `listed`, and some others, fewer the fewer keys are listed.
+
+    A bitmap of 16 MB at most decides before a shuffle; the join itself must follow.
+    """
+    size = min(listed.count() * 8 // _BITMAP + 1, _MOST_BITMAPS)
+    place = F.pmod(F.xxhash64(*keys), F.lit(size * _BITMAP))
+    maps = listed.select(place.alias("p")).groupBy(F.expr(f"p div {_BITMAP}").alias("k")).agg(F.bitmap_construct_agg(F.expr(f"p % {_BITMAP}")).alias("m")).collect()
+    bits = np.zeros((size, _BITMAP // 8), np.uint8)
+    for r in maps:
+        bits[r.k] = np.frombuffer(bytes(r.m), np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+    n = len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(n).to_numpy()
+            yield batch.filter(pa.array((shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))).select(range(n))
+
+    return df.select("*", place.alias("__place")).mapInArrow(run, df.schema)

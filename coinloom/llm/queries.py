@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gam, langid, mixing, passages, quality_rules, sharding, simhash, topk, warc
+from . import bpe, gam, langid, linededup, mixing, quality_rules, sharding, simhash, topk, warc
 from .common import crc_mod, scratch_path, table
 
 SHARDS = 24
@@ -64,7 +64,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = passages.drop_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = linededup.drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "text", F.col("__deleted_lines").cast("long").alias("deleted_lines"))
 
 

@@ -75,10 +75,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def covering_masks(radius: int = RADIUS) -> list[int]:
-    """Kept places of each table, as signed numbers."""
+def covering_masks(radius: int = RADIUS, bits: int = _BITS) -> list[int]:
+    """Kept places, of the first `bits`, of each table, as signed numbers."""
     size = (1 << radius + 1) - 1
-    vectors = [1 + i % size for i in range(_BITS)]
+    vectors = [1 + i % size for i in range(bits)]
     return [_signed(sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1)) for v in range(1, size + 1)]
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from coinloom.llm import bpe, linededup, mixing, neardup, passages, queries, sharding, simhash, topk, warc
+from coinloom.llm import bpe, linededup, mixing, queries, sharding, similar, simhash, topk, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "\n\n", "a", "a b", "same text here", "same text here", "x" * 5000, "word " * 4000, "İstanbul ΣΑΣ ǅ ﬁ é́   z", "it's we'll 12½ ²Ⅷ <|endoftext|>a<|startoftext|> b", "\x00\x1c\x7f\x85 tab\tend", "日本語のテキスト 😀😀", "é Å ẛ̣"]
@@ -140,41 +140,7 @@ def test_covering_masks_cover():
     assert len(masks) == 15 and all(any(not d & m for m in masks) for d in (sum(1 << x for x in rng.sample(range(64), 3)) for _ in range(20000)))
 
 
-def plain_repeats(texts, min_words):
-    """Lines in runs of min_words words or more that equal an earlier run, by comparing all runs."""
-    rows = {d: [(i, line.strip(), len(line.split())) for i, line in enumerate(t.split("\n")) if line.split()] for d, t in texts.items()}
-    seen, gone = {}, set()
-    for d in sorted(rows):
-        for a in range(len(rows[d])):
-            for b in range(a + 1, len(rows[d]) + 1):
-                if sum(x[2] for x in rows[d][a:b]) >= min_words:
-                    seen.setdefault(tuple(x[1] for x in rows[d][a:b]), (d, rows[d][a][0]))
-    for d in rows:
-        for a in range(len(rows[d])):
-            for b in range(a + 1, len(rows[d]) + 1):
-                part = rows[d][a:b]
-                if sum(x[2] for x in part) >= min_words and seen[tuple(x[1] for x in part)] < (d, part[0][0]):
-                    gone |= {(d, x[0]) for x in part}
-    return gone
-
-
-def test_line_dedup_matches_all_runs(spark, docs):
-    rng = random.Random(3)
-    pool = [" ".join(rng.choices("abcdef", k=rng.choice([1, 2, 3, 6]))) for _ in range(9)] + ["", "  "]
-    texts = {i: "\n".join(rng.choices(pool, k=rng.randint(0, 9))) for i in range(60)}
-    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    gone = plain_repeats(texts, 6)
-    assert gone
-    for r in linededup.drop_repeated_lines(frame, min_words=6).collect():
-        lines = texts[r.doc_id].split("\n")
-        assert r.text == "\n".join(x for i, x in enumerate(lines) if (r.doc_id, i) not in gone)
-        assert r["__deleted_lines"] == sum(d == r.doc_id for d, _ in gone)
-    out = linededup.drop_repeated_lines(docs).collect()
-    assert len(out) == docs.count() and {r.text for r in out if r.doc_id is None} == {"no id"} and any(r.text is None for r in out)
-    assert linededup.drop_repeated_lines(docs.limit(0)).count() == 0
-
-
-def test_passages_match_all_windows(spark, docs):
+def test_line_dedup_matches_all_windows(spark, docs):
     rng = random.Random(4)
     runs = [rng.choices("abcdef", k=rng.choice([3, 7, 12])) for _ in range(8)]
     texts = {}
@@ -190,15 +156,15 @@ def test_passages_match_all_windows(spark, docs):
                 gone |= {(d, j) for j in range(a, a + 6)}
             seen.add(part)
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    out = {r.doc_id: r for r in passages.drop_repeated_passages(frame, min_words=6).collect()}
+    out = {r.doc_id: r for r in linededup.drop_repeated_runs(frame, min_words=6).collect()}
     assert len(out) == len(texts) and len(gone) > 200
     for d, text in texts.items():
         assert out[d].text.split() == [w for j, w in enumerate(text.split()) if (d, j) not in gone], d
         assert out[d]["__deleted_words"] == sum(x == d for x, _ in gone)
     assert out[102].text == "1 2\n3" and out[102]["__deleted_lines"] == 0
-    kept = passages.drop_repeated_passages(docs).collect()
+    kept = linededup.drop_repeated_runs(docs).collect()
     assert len(kept) == docs.count() and {r.text for r in kept if r.doc_id is None} == {"no id"} and any(r.text is None for r in kept)
-    assert passages.drop_repeated_passages(docs.limit(0)).count() == 0
+    assert linededup.drop_repeated_runs(docs.limit(0)).count() == 0
 
 
 def test_op7_cuts_a_passage_inside_lines(spark, tmp_path):
@@ -209,27 +175,97 @@ def test_op7_cuts_a_passage_inside_lines(spark, tmp_path):
     assert {r.doc_id: r.text for r in queries.op7_line_dedup(spark, f"file://{tmp_path}").collect()} == {1: one, 2: "other end"}
 
 
-def test_near_dedup_links_all_similar_pairs(spark, docs):
-    import corpus_pipeline
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    run, other, lone = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(1, run), (5, run), (5, lone), (6, other), (6, other), (None, run), (None, None), (7, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in linededup.drop_repeated_runs(frame).collect())
+    assert got == Counter([(1, run), (5, ""), (5, lone), (6, other), (6, other), (None, run), (None, None), (7, None)])
+
+
+def test_line_dedup_needs_the_extension(spark, monkeypatch):
+    run = [f"w{i}" for i in range(55)]
+    frame = spark.createDataFrame([(1, " ".join(["a", "b", *run, "c"])), (2, " ".join(["d", *run, "e", "f"]))], "doc_id long, text string")
+    cut = lambda: {r.doc_id: r.text for r in linededup.drop_repeated_runs(frame).collect()}[2]
+    assert cut() == "d e f"
+    whole = linededup.extend
+    monkeypatch.setattr(linededup, "extend", lambda docs, ranges, n: whole(docs, ranges, n).limit(0))
+    assert len(cut().split()) > 3
+
 
-    rng = random.Random(6)
+def test_line_dedup_splits_common_fingerprints(spark):
+    from coinloom.llm.common import join_by_count
+
+    rows = spark.createDataFrame([(1 if i % 3 == 0 else i, i) for i in range(900)], "k long, v long")
+    unique = rows.groupBy("k").count().withColumnRenamed("count", "n").where("k % 2 = 1")
+    for share in (2, 500):
+        for how in ("inner", "left_semi"):
+            assert {r.v for r in join_by_count(rows, unique, ["k"], how, share).collect()} == {i for i in range(900) if i % 3 == 0 or i % 2}
+
+
+def similar_frame(spark, groups, copies, seed=6):
+    rng = random.Random(seed)
     texts = {0: None, 1: "", 2: "a b", 3: "A  b"}
-    for g in range(30):
+    for g in range(groups):
         base = rng.choices([f"w{i}" for i in range(500)], k=rng.randint(60, 300))
-        for _ in range(4):
-            copy = [w if rng.random() > g / 900 else rng.choice("xyz") for w in base]
-            texts[len(texts)] = " ".join(copy)
+        for _ in range(copies):
+            texts[len(texts)] = " ".join(w if rng.random() > g / (30 * groups) else rng.choice("xyz") for w in base)
+    return texts, spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+
+
+def test_similar_groups_hold_all_similar_pairs(spark, docs):
+    texts, frame = similar_frame(spark, 30, 4)
     sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in texts.items() for w in [(t or "").lower().split()]}
-    least = {d: d for d in texts}
-    links = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    pairs = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in texts for b in texts if a < b and sets[a] & sets[b]}
+    assert 60 < sum(j >= 0.8 for j in pairs.values()) < 180
+    group = {r.doc_id: r.component_id for r in similar.similar_groups(frame).collect()}
+    close = [group[a] == group[b] for (a, b), j in pairs.items() if j >= 0.8]
+    assert sum(close) >= 0.95 * len(close) and all(group[a] == group[b] for (a, b), j in pairs.items() if j >= 0.9)
+    assert group[0] == group[1] and group[2] == group[3]
+    members = defaultdict(set)
+    for d, c in group.items():
+        members[c].add(d)
+    for c, m in members.items():  # what is linked is near: every member to some other
+        assert c == min(m) and all(len(m) == 1 or max(pairs.get((min(a, b), max(a, b)), 0) for b in m if b != a) >= 0.66 for a in m if a > 3)
+    assert similar.similar_groups(docs.limit(0)).count() == 0 and similar.similar_groups(docs).count() == docs.count()
+
+
+def test_full_buckets_link_the_same_groups(spark):
+    _, frame = similar_frame(spark, 4, 60, 7)
+    groups = lambda cap: {(r.doc_id, r.component_id) for r in similar.similar_groups(frame, cap).collect()}
+    assert groups(5) == groups(similar.CAP)
+
+
+def test_keep_first_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a, "s"), (5, a, "s"), (2, b, "s"), (5, b, "t"), (None, b, "s"), (None, c, "s"), (None, c, "s"), (7, c.upper(), "u"), (9, None, "s"), (8, "", "s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    out = corpus_pipeline.near_dedup(spark, frame, "").collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([(5, a), (2, b), (7, c.upper()), (8, "")])
+    assert corpus_pipeline.near_dedup(spark, frame.limit(0), "").count() == 0
+
+
+def test_linked_sets_are_components():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 63, (5, 2), np.uint64)[rng.integers(0, 5, 120)]
     for _ in range(9):
-        for a, b in links:
-            least[a] = least[b] = min(least[a], least[b])
-    assert 60 < len(links) < 180
-    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(frame).collect()} == least
-    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()} == set(least.values())
-    assert neardup.near_duplicates(docs.limit(0)).count() == 0 and neardup.near_duplicates(docs).count() == docs.count()
+        words[np.arange(120), rng.integers(0, 2, 120)] ^= np.uint64(1) << rng.integers(0, 64, 120).astype(np.uint64)
+    label = similar.linked_sets(words, 12)
+    near = np.bitwise_count(words[:, None] ^ words[None]).sum(2) <= 12
+    reach = near.copy()
+    for _ in range(7):
+        reach = (reach.astype(int) @ reach.astype(int)) > 0
+    assert (label == reach.argmax(1)).all() and 1 < len(set(label)) < 60
+
+
+def test_tables_meet_as_often_as_planned():
+    rng = np.random.default_rng(4)
+    masks = np.array(simhash.covering_masks(3, 34), np.int64).view(np.uint64)
+    p = similar.differing_share()
+    flips = (rng.random((20_000, 34)) < p) @ (np.uint64(1) << np.arange(34, dtype=np.uint64))
+    assert abs((flips[:, None] & masks == 0).any(1).mean() - similar.meets(34, p)) < 0.02
 
 
 def plain_targets(sizes):
