@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coinloom.llm import bpe, langid, mixing, neardup, passages
+from coinloom.llm import bpe, langid, linededup, mixing, similar
 from coinloom.llm.common import materialize, table
 from coinloom.llm.queries import learn_languages, tokenizer_json
 
@@ -20,15 +20,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated passages go, whole lines or not; every document stays, n_chars follows its text."""
-    kept = passages.drop_repeated_passages(docs)
+    kept = linededup.drop_repeated_runs(docs)
     return kept.withColumn("n_chars", F.when(F.col("__deleted_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest id stays; documents without an id stay, and so do all rows that share that id."""
-    found = neardup.near_duplicates(docs)
-    later = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates (SimHash of five-word shingles, similarity 0.8) the document with the smallest id stays, of repeated rows one."""
+    return similar.keep_first(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
