@@ -12,11 +12,13 @@ order and words that begin alike share them.
 `und` with score 0 where the text is null or has no letters. Empty texts have none; very
 long texts are scored whole; equal likelihoods go to the language first in code-point
 order; repeated rows are scored alike; an empty table gives an empty table. Null
-languages are not learned. Only the named columns are read, so others can't clash.
+languages are not learned; where no language was learned every text is `und`. Only the
+named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,17 +33,19 @@ from pyspark.sql import types as T
 from .affix import EndingEntries
 from .common import rows_batches, text_bytes, unit_hash
 
-#: Bounds of the training sample: documents a language, and languages.
+#: Bound of the training sample: documents a language.
 DOCS_PER_LANG = 250
-MAX_LANGS = 200
+#: Languages of one model; more languages are several models, whose likelihoods stand side by side.
+BLOCK_LANGS = 200
 ROUNDS = 3
 SEED = 6
 #: Probability of one character that no piece covers.
 FLOOR = 1e-8
-#: Letter runs longer than this are scored in consecutive parts of this length.
-PART = 48
 MARK = "▁"
-CACHE_WORDS = 200_000
+#: Chunks between white space kept from batch to batch, those of at most so many characters.
+CACHE_WORDS, CACHE_CHARS = 200_000, 80
+#: Letter runs that are longer, and all whose sums fall below the least number, are summed in logarithms.
+LINEAR_CHARS, LEAST = 40, 1e-250
 BATCH_BYTES = 2 << 20
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -56,21 +60,41 @@ def vocabulary_pieces(model_file: str) -> list[str]:
 
 
 def word_parts(text: str) -> list[str]:
-    """Lower-cased letter runs with the word mark before each; long runs in parts."""
-    out = []
-    for run in _LETTERS.findall(text.lower()):
-        run = MARK + run
-        out += [run] if len(run) <= PART else [run[i : i + PART] for i in range(0, len(run), PART)]
-    return out
+    """Lower-cased letter runs with the word mark before each."""
+    return [MARK + run for run in _LETTERS.findall(text.lower())]
+
+
+def _piece_shares(n: int, arcs: list[tuple[int, int, str]], prob: dict[str, float]) -> Iterator[tuple[str, float]]:
+    """Each arc's piece and the arc's share in all segmentations of a word of n characters."""
+    forward = [1.0] + [0.0] * n
+    for i, j, piece in arcs:
+        forward[j] += forward[i] * prob[piece]
+    if forward[n] > LEAST:
+        backward = [0.0] * n + [1.0]
+        for i, j, piece in reversed(arcs):
+            backward[i] += backward[j] * prob[piece]
+        for i, j, piece in arcs:
+            yield piece, forward[i] * prob[piece] * backward[j] / forward[n]
+        return
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    logs = {piece: math.log(prob[piece]) for _, _, piece in arcs}
+    none = -1e300
+    before, after = [0.0] + [none] * n, [none] * n + [0.0]
+    for i, j, piece in arcs:
+        before[j] = add(before[j], before[i] + logs[piece])
+    for i, j, piece in reversed(arcs):
+        after[i] = add(after[i], after[j] + logs[piece])
+    for i, j, piece in arcs:
+        yield piece, math.exp(before[i] + logs[piece] + after[j] - before[n])
 
 
 def learn_pieces(words: dict[str, int], pieces: list[str], rounds: int = ROUNDS) -> dict[str, float]:
     """Piece probabilities of one language by expectation maximisation over word counts."""
-    known = set(pieces)
+    known, longest = set(pieces), max(map(len, pieces), default=1)
     spans = {}
     for word in words:
         n = len(word)
-        spans[word] = [(i, j, word[i:j]) for i in range(n) for j in range(i + 1, min(n, i + 16) + 1) if j == i + 1 or word[i:j] in known]
+        spans[word] = [(i, j, word[i:j]) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if j == i + 1 or word[i:j] in known]
     prob: dict[str, float] = {}
     for word, count in words.items():
         for _, _, piece in spans[word]:
@@ -80,18 +104,8 @@ def learn_pieces(words: dict[str, int], pieces: list[str], rounds: int = ROUNDS)
     for _ in range(rounds):
         expected: dict[str, float] = dict.fromkeys(prob, 0.0)
         for word, count in words.items():
-            n, arcs = len(word), spans[word]
-            forward = [1.0] + [0.0] * n
-            for i, j, piece in arcs:
-                forward[j] += forward[i] * prob[piece]
-            if forward[n] <= 0:
-                continue
-            backward = [0.0] * n + [1.0]
-            for i, j, piece in reversed(arcs):
-                backward[i] += backward[j] * prob[piece]
-            scale = count / forward[n]
-            for i, j, piece in arcs:
-                expected[piece] += scale * forward[i] * prob[piece] * backward[j]
+            for piece, share in _piece_shares(len(word), spans[word], prob):
+                expected[piece] += count * share
         total = sum(expected.values()) or 1.0
         prob = {p: max(c / total, 1e-12) for p, c in expected.items()}
     return prob
@@ -103,6 +117,7 @@ class LanguageModel:
     def __init__(self, langs: list[str], table: dict[str, list[float]]):
         self.langs = langs
         self.ending = EndingEntries(table)
+        self.longest = max(map(len, table), default=1) + 1
         self.floor = [FLOOR] * len(langs)
         self.words: dict[str, int] = {}
         self.scores = np.zeros((0, len(langs) + 1))
@@ -115,6 +130,9 @@ class LanguageModel:
         before, forward, states = "", [[1.0] * len(self.langs)], [""]
         for k in order:
             word = words[k]
+            if len(word) > LINEAR_CHARS:
+                out[k] = self._in_logs(word)
+                continue
             at = 0
             for a, b in zip(word, before):
                 if a != b:
@@ -132,15 +150,29 @@ class LanguageModel:
                 forward.append(sums)
                 states.append(state)
             before = word
-            out[k] = forward[-1]
-        with np.errstate(divide="ignore"):
-            return np.maximum(np.log(out), -700.0)
+            out[k] = self._in_logs(word) if min(forward[-1]) < LEAST else [math.log(x) for x in forward[-1]]
+        return out
+
+    def _in_logs(self, word: str) -> np.ndarray:
+        """The same sums in logarithms, for words of any length."""
+        floor, state = math.log(FLOOR), ""
+        forward = [np.zeros(len(self.langs))]  # of the last prefixes
+        for c in word:
+            state, pieces = self.ending[state + c]
+            terms = [forward[-length] + np.log(p) for length, p in pieces]
+            if not pieces or pieces[-1][0] > 1:
+                terms.append(forward[-1] + floor)
+            forward.append(np.logaddexp.reduce(terms))
+            if len(forward) > 2 * self.longest:
+                del forward[: self.longest]
+        return forward[-1]
 
     def text_log_probs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihoods (a row a text) and whether the text has letters."""
         split = [t.lower().split() for t in texts]
         used = set().union(*split)
-        new = list(used - self.words.keys())
+        # long chunks last: they leave the store after the batch
+        new = sorted(used - self.words.keys(), key=lambda c: len(c) > CACHE_CHARS)
         if len(self.words) + len(new) > CACHE_WORDS:  # those of the current batch stay
             kept = list(used & self.words.keys())
             self.scores = self.scores[[self.words[c] for c in kept]]
@@ -162,35 +194,35 @@ class LanguageModel:
         for k, chunks in enumerate(split):
             if chunks:
                 out[k] = self.scores[np.fromiter(map(get, chunks), np.int64, len(chunks))].sum(0)
+        while new and len(new[-1]) > CACHE_CHARS:
+            del self.words[new.pop()]
+        self.scores = self.scores[: first + len(new)]
         return out[:, :-1], out[:, -1] > 0
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        logs, lettered = self.text_log_probs(texts)
-        if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        best = logs.argmax(1)
-        with np.errstate(under="ignore"):
-            share = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered)], np.where(lettered, share, 0.0)
 
+def predict(models: list[LanguageModel], texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The likeliest language of each text over all models, and its share in the likelihoods."""
+    if not models:
+        return ["und"] * len(texts), np.zeros(len(texts))
+    langs = [lang for m in models for lang in m.langs]
+    parts = [m.text_log_probs(texts) for m in models]
+    logs, lettered = np.concatenate([p[0] for p in parts], 1), parts[0][1]
+    best = logs.argmax(1)
+    with np.errstate(under="ignore"):
+        share = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+    return [langs[b] if ok else "und" for b, ok in zip(best, lettered)], np.where(lettered, share, 0.0)
 
-def train(df: DataFrame, pieces: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> tuple[list[str], dict[str, list[float]]]:
-    """Languages and piece probabilities learned from at most docs_per_lang documents a language.
+
+def train(df: DataFrame, pieces: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, block_langs: int = BLOCK_LANGS) -> list[tuple[list[str], dict[str, list[float]]]]:
+    """Languages and piece probabilities, block_langs languages a block, learned from at most docs_per_lang documents a language.
 
     A hash threshold by the language's row count leaves little more than the sample, a
-    window over those few rows makes the bound strict. The result is bounded by the
-    vocabulary and MAX_LANGS.
+    window over those few rows makes the bound strict. What comes to the driver is bounded by
+    the vocabulary and the number of languages.
     """
     df = df.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r.lang: r.n for r in df.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not counts:
-        return [], {}
-    h = unit_hash(F.col("id"), SEED)
-    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.2 * docs_per_lang / n))) for k, n in counts.items()])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))
-    sample = df.withColumn("h", h).where(F.col("h") < rate).withColumn("r", rank).where(F.col("r") <= docs_per_lang)
+    counts = {r.lang: r.n for r in df.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(counts)
     vocabulary = df.sparkSession.sparkContext.broadcast(pieces)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -198,25 +230,30 @@ def train(df: DataFrame, pieces: list[str], id_col: str = "doc_id", text_col: st
         prob = learn_pieces(dict(sorted(words.items())), vocabulary.value)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "piece": list(prob), "p": list(prob.values())})
 
-    learned = sample.select("lang", "text").groupBy("lang").applyInPandas(fit, "lang string, piece string, p double").toArrow()
-    langs = sorted(counts)
-    table: dict[str, list[float]] = {}
-    place = {k: i for i, k in enumerate(langs)}
-    for lang, piece, p in zip(*(learned.column(c).to_pylist() for c in ("lang", "piece", "p"))):
-        table.setdefault(piece, [1e-9 if len(piece) > 1 else FLOOR] * len(langs))[place[lang]] = p
-    return langs, table
+    def block(some: list[str]) -> tuple[list[str], dict[str, list[float]]]:
+        rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.2 * docs_per_lang / counts[k]))) for k in some])
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))
+        sample = df.withColumn("h", unit_hash(F.col("id"), SEED)).where(F.col("lang").isin(some) & (F.col("h") < rate)).withColumn("r", rank).where(F.col("r") <= docs_per_lang)
+        learned = sample.select("lang", "text").groupBy("lang").applyInPandas(fit, "lang string, piece string, p double").toArrow()
+        table: dict[str, list[float]] = {}
+        place = {k: i for i, k in enumerate(some)}
+        for lang, piece, p in zip(*(learned.column(c).to_pylist() for c in ("lang", "piece", "p"))):
+            table.setdefault(piece, [1e-9 if len(piece) > 1 else FLOOR] * len(some))[place[lang]] = p
+        return some, table
+
+    return [block(langs[at : at + block_langs]) for at in range(0, len(langs), block_langs)]
 
 
-def classify(df: DataFrame, model: tuple[list[str], dict[str, list[float]]], text_col: str = "text") -> DataFrame:
+def classify(df: DataFrame, models: list[tuple[list[str], dict[str, list[float]]]], text_col: str = "text") -> DataFrame:
     """All rows and columns of df with `lang_pred` and `score`; columns of these names are replaced."""
     df = df.drop("lang_pred", "score")
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(models)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = LanguageModel(*shared.value)
+        scorers = [LanguageModel(*m) for m in shared.value]
         for batch in rows_batches(batches, BATCH_BYTES):
-            langs, scores = scorer.predict([b.decode("utf-8", "replace") for b in text_bytes(batch.column(at))])
+            langs, scores = predict(scorers, [b.decode("utf-8", "replace") for b in text_bytes(batch.column(at))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

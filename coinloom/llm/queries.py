@@ -53,7 +53,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(quality_rules.measure(docs, model))
 
 
-def learn_languages(docs: DataFrame) -> tuple:
+def learn_languages(docs: DataFrame) -> list:
     return langid.train(docs.where(crc_mod("doc_id", 4) != 2), langid.vocabulary_pieces(vocabulary_file("piece_bpe_32k.model")))
 
 

@@ -41,7 +41,7 @@ from .textbatch import mix
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fewest words of a fingerprint, least probability of meeting at SIMILARITY, one in so many bits may differ.
-WORDS, RECALL, BITS_A_LINK = 12, 0.97, 6
+WORDS, RECALL, BITS_A_LINK = 12, 0.98, 6
 CAP, MOST_CUTS = 32_768, 3
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = "key long, id long, word long"

@@ -78,6 +78,48 @@ def test_forward_sums_all_segmentations():
         assert abs(row[0] - math.log(total)) < 1e-9
 
 
+def test_forward_sums_long_runs_and_trains_on_them():
+    from fractions import Fraction
+
+    rng = np.random.default_rng(1)
+    pieces = {"▁a": 1e-3, "a": 3e-3, "b": 1e-3, "ab": 2e-3, "ba": 5e-4, "▁": 5e-3, "abab": 1e-4}
+    model = langid.LanguageModel(["x", "y"], {p: [v, v / 64] for p, v in pieces.items()})
+    words = ["▁" + "".join(rng.choice(list("abc"), n)) for n in (30, 39, 40, 41, 100, 300)] + ["▁" + "c" * 38]
+
+    def plain(word, share):
+        sums = [Fraction(1)]
+        for j in range(1, len(word) + 1):
+            parts = {word[i:j]: i for i in range(max(0, j - 4), j)}
+            sums.append(sum(sums[i] * Fraction(pieces[p] / share if p in pieces else langid.FLOOR) for p, i in parts.items() if p in pieces or len(p) == 1))
+        return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+    for word, row in zip(words, model.word_log_probs(words)):
+        assert abs(row[0] - plain(word, 1)) < 1e-6 and abs(row[1] - plain(word, 64)) < 1e-6, word
+    for word in ("▁" + "ab" * 5, "▁" + "abcab" * 60):  # the shares of the arcs of each position add up to one
+        arcs = [(i, j, word[i:j]) for i in range(len(word)) for j in range(i + 1, min(len(word), i + 4) + 1) if j == i + 1 or word[i:j] in pieces]
+        shares = list(langid._piece_shares(len(word), arcs, {a[2]: pieces.get(a[2], 1e-8) for a in arcs}))
+        assert abs(sum(s * len(p) for p, s in shares) - len(word)) < 1e-6
+    learned = langid.learn_pieces({"▁" + "cd" * 600: 1, "▁ab": 2}, ["ab", "cdcdcdcdcdcdcdcdcdcdcd"])
+    assert learned["cdcdcdcdcdcdcdcdcdcdcd"] > 0.01
+
+
+def test_more_languages_than_a_block(spark):
+    langs = [f"l{i:03d}" for i in range(7)]
+    rows = [(i * 10 + k, f"{x}{x} word{x} " * 9, x) for i, x in enumerate(langs) for k in range(3)]
+    frame = spark.createDataFrame([(d, t.translate(str.maketrans("0123456789", "ghijklmnop")), x) for d, t, x in rows], "doc_id long, text string, lang string")
+    told = [sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.classify(frame, langid.train(frame, ["wo", "rd"], block_langs=n)).collect()) for n in (2, 200)]
+    assert told[0] == told[1] and all(p == langs[d // 10] for d, p, _ in told[0])
+    assert langid.classify(frame.limit(0), langid.train(frame, ["wo"])).count() == 0
+
+
+def test_store_forgets_long_chunks():
+    model = langid.LanguageModel(["x"], {"a": [0.5]})
+    texts = ["a" * 500 + " a aa", "aa", "a" * 500, "", "a" * 500 + " a aa"]
+    want = [langid.LanguageModel(["x"], {"a": [0.5]}).text_log_probs([t])[0][0, 0] for t in texts]
+    got = np.concatenate([model.text_log_probs(texts[:2])[0], model.text_log_probs(texts[2:])[0]])[:, 0]
+    assert np.allclose(got, want) and set(model.words) == {"a", "aa"} and len(model.scores) == 2
+
+
 def test_languages_held_out(spark, odd):
     rows = queries.op6_langid(spark, BIG).collect()
     lang = {r.doc_id: (r.lang, len(WORD.findall(r.text))) for r in spark.read.parquet(f"{BIG}/documents.parquet").collect()}
