@@ -13,7 +13,7 @@ from coinloom.llm.queries import learn_languages, tokenizer_json
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which the language model finds no language go; where none could be learned, those without letters. All columns stay."""
     model = learn_languages(docs)
-    if not model[0]:
+    if not model:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     return langid.classify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
 
