@@ -63,6 +63,27 @@ def test_bpe_splits_at_the_librarys_white_space():
     assert not bad
 
 
+def test_bpe_composes_marks_as_the_library():
+    import unicodedata
+
+    lib, model = library(), bpe.load_model(queries.tokenizer_json())
+    marks = [c for c in range(0x300, 0x110000) if unicodedata.category(chr(c))[0] == "M"]
+    others = [c for c in range(0x300, 0x20000) if unicodedata.category(chr(c)) == "Cn"]
+    texts = [s for c in map(chr, marks + others) for s in (f"e{c}\u0301", f"a{c}\u0323", f"\u00e9{c}", f"a\u0301{c}\u0323", f"{c}\u0301\u0323")]
+    texts += ["\U00011935\U00011930", "\U00011938\u0301", "x\U00011935\u0323\U00011930"]
+    got = bpe.encode_texts(model, texts, {})
+    assert not [t for t, g, w in zip(texts, got, lib.encode_batch(texts, add_special_tokens=False)) if np.frombuffer(g, np.int32).tolist() != w.ids]
+
+
+def test_bpe_leaves_the_collector_on(spark):
+    import gc
+
+    spec = queries.tokenizer_json()
+    frame = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    bpe.encode(frame, spec).count()
+    assert all(r.on for r in frame.mapInPandas(lambda it: (f.assign(on=gc.isenabled())[["on"]] for f in it), "on boolean").collect())
+
+
 def test_sharding_law_rows(spark, docs):
     for frame in (docs, docs.limit(0), spark.range(1000).selectExpr("id doc_id", "cast(id % 3 as string) text")):
         out = sharding.shard(frame, 7, bucket_bytes=100).toPandas()
