@@ -65,13 +65,24 @@ def margins(block: TextBlock, words: tuple, weights: np.ndarray, bias: float) ->
     return out
 
 
-def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 40, rate: float = 0.6, decay: float = 1e-4) -> tuple[np.ndarray, float, float, float]:
-    """Weights, bias and the calibration's slope and intercept; every fifth row is left to the calibration."""
+def text_features(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct features, each one's share in its group and text, and the offsets of the texts in them."""
+    size, keys, shares = GROUPS << BITS, [], []
+    for index, offsets in feature_groups(block, block.words()):
+        n = np.diff(offsets)
+        key, count = np.unique(np.repeat(np.arange(block.n), n) * size + index, return_counts=True)
+        keys.append(key)
+        shares.append(count / n[key // size])
+    key, share = np.concatenate(keys), np.concatenate(shares)
+    order = np.argsort(key)
+    return (key[order] % size).astype(np.int32), share[order].astype(np.float32), np.searchsorted(key[order], np.arange(block.n + 1) * size)
+
+
+def fit(index: np.ndarray, share: np.ndarray, offsets: np.ndarray, labels: np.ndarray, rounds: int = 40, rate: float = 0.6, decay: float = 1e-4) -> tuple[np.ndarray, float, float, float]:
+    """Weights, bias and the calibration's slope and intercept from text_features; every fifth row is left to the calibration."""
     if len(labels) == 0 or labels.min() == labels.max():
         return np.zeros(GROUPS << BITS, np.float32), 0.0, 0.0, 50.0
-    parts = []
-    for first, last, block in blocks(texts):
-        parts.append((first, last, list(feature_groups(block, block.words()))))
+    row = np.repeat(np.arange(len(labels)), np.diff(offsets))
     learn = np.arange(len(labels)) % 5 != 4
     if len(set(labels[learn])) < 2 or len(set(labels[~learn])) < 2:
         learn[:] = True
@@ -81,23 +92,13 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 40, rate: float = 0.6
     moment, square, steps = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
 
     def margin() -> np.ndarray:
-        m = np.full(len(y), bias)
-        for first, last, groups in parts:
-            for index, offsets in groups:
-                total = np.concatenate(([0.0], np.cumsum(w[index])))
-                m[first:last] += (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
-        return m
+        return bias + np.bincount(row, w[index] * share, minlength=len(y))
 
     for _ in range(rounds):
         wrong = per_class * (1 / (1 + np.exp(-np.clip(margin(), -30, 30))) - y)
         gradient = np.zeros(len(w) + 1)
-        gradient[:-1] = decay * w / len(w)
+        gradient[:-1] = decay * w / len(w) + np.bincount(index, wrong[row] * share, minlength=len(w))
         gradient[-1] = wrong.sum()
-        for first, last, groups in parts:
-            for index, offsets in groups:
-                counts = np.diff(offsets)
-                share = np.repeat(wrong[first:last] / np.maximum(counts, 1), counts)
-                gradient[:-1] += np.bincount(index, share, minlength=len(w))
         steps += 1
         moment = 0.9 * moment + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
@@ -128,17 +129,28 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     sample = bounded_sample(known, "__id", rows, SEED)
     joined = df.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col(id_col) == F.col("__id"))
-    # repeated document rows: one each, so the bound holds
-    joined = joined.groupBy("__id", "__label").agg(F.min("text").alias("text"))
+
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_batches(batches):
+            for first, last, block in blocks(batch.column(2)):
+                index, share, offsets = text_features(block)
+                lists = (pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (index, share))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, last - first) for c in (0, 1)), *lists], ["id", "label", "f", "s"])
+
+    # one task gathers features, at most GROUPS << BITS a row whatever its text; repeated document rows: one each, so the bound holds
+    counted = joined.select(F.col("__id").alias("id"), F.col("__label").alias("label"), "text").mapInArrow(count, f"id {kind}, label int, f array<int>, s array<float>")
+    gathered = counted.groupBy("id").agg(F.min(F.struct("label", "f", "s")).alias("r")).select("id", "r.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("id", kind), ("label", pa.int32()), ("text", pa.string())]))
-        table = table.sort_by("id").combine_chunks()
-        w, bias, slope, intercept = fit(table["text"].combine_chunks(), table["label"].to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([[bias, slope, intercept]])], ["w", "rest"])
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            table = pa.Table.from_batches(batches).sort_by("id").combine_chunks()
+            f, s = (table[c].combine_chunks() for c in "fs")
+            w, bias, slope, intercept = fit(f.flatten().to_numpy(), s.flatten().to_numpy(), f.offsets.to_numpy() - f.offsets[0].as_py(), table["label"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([[bias, slope, intercept]])], ["w", "rest"])
 
-    kind = pa.int64()
-    gathered = joined.select(F.col("__id").cast("long").alias("id"), F.col("__label").alias("label"), "text")
     row = gathered.repartition(1).mapInArrow(run, "w binary, rest array<double>").first()
     if row is None:
         return np.zeros(GROUPS << BITS, np.float32), 0.0, 0.0, 50.0

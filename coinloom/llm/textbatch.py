@@ -9,9 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Longest span whose hash is a polynomial.
+SHORT = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -54,7 +57,10 @@ class TextBlock:
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        """64-bit hashes of byte spans: a polynomial taken from prefix sums, scrambled with the length."""
+        """64-bit hashes of byte spans: of short ones a polynomial taken from prefix sums, scrambled with the length; of others XXH64.
+
+        Polynomials modulo a power of two make different long spans equal (such as a Thue-Morse word and its complement).
+        """
         powers, inverse = _power_tables(len(self.data) + 1)
         name = "_prefix_lower" if lower else "_prefix"
         prefix = getattr(self, name)
@@ -63,7 +69,11 @@ class TextBlock:
             prefix = np.zeros(len(data) + 1, np.uint64)
             np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=prefix[1:])
             setattr(self, name, prefix)
-        return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        out = mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        for i in np.flatnonzero(ends - starts > SHORT):
+            span = self.data[starts[i] : ends[i]]
+            out[i] = xxhash.xxh64_intdigest((_LOWER[span] if lower else span).tobytes())
+        return out
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text number of each word."""

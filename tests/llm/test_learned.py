@@ -43,6 +43,110 @@ def test_measures_match_plain_counts(spark, odd):
         assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and r.kept == (not r.base_failed) for r in rows)
 
 
+def thue_morse(n, a="a", b="b"):
+    word = [a if i.bit_count() % 2 == 0 else b for i in range(n)]
+    return word, [b if x == a else a for x in word]
+
+
+def test_hashes_tell_long_spans_apart(spark):
+    one, two = map("".join, thue_morse(4096))
+    texts = [f"{one}\n{two}", f"{one} {two} {one} {two} x y z w {two} {one} {two} {one} x y z w", f"{one}\n{one}", f"{one.upper()} {two}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blank = (np.zeros(quality_rules.GROUPS << quality_rules.BITS, np.float32), 0.0, 0.0, 50.0)
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.measure(frame, blank).collect()}
+    assert got == {i: plain_measures(t) for i, t in enumerate(texts)}
+
+
+def plain_grams(text):
+    """The regression's features without hashing: byte n-grams by place, words and pairs, each with its share."""
+    data = (text or "").encode()
+    words = [bytes(w).lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", data)]
+    groups = [[data[i : i + n] for i in range(len(data) - n + 1)] for n in (3, 4)] + [words, list(zip(words, words[1:]))]
+    return [{(g, x): c / len(grams) for x, c in Counter(grams).items()} for g, grams in enumerate(groups)]
+
+
+def test_regression_features_and_fit_match_a_plain_version():
+    texts = [t or "" for t in ODD] + ["good words in a row %d" % i for i in range(20)] + ["b@d $$ || %d" % i for i in range(20)]
+    from coinloom.llm.textbatch import blocks
+
+    (_, _, block), = blocks(pa.array(texts))
+    index, share, offsets = quality_rules.text_features(block)
+    for k, t in enumerate(texts):
+        want = {x: s for group in plain_grams(t) for x, s in group.items()}
+        got = dict(zip(index[offsets[k] : offsets[k + 1]].tolist(), share[offsets[k] : offsets[k + 1]]))
+        if len(got) == len(want):  # no two features of this text share a place
+            assert np.allclose(sorted(got.values()), sorted(want.values()))
+        assert abs(sum(got.values()) - sum(want.values())) < 1e-3
+    labels = np.array([1] * len(ODD) + [1] * 20 + [0] * 20)
+    w, bias, slope, intercept = quality_rules.fit(index, share, offsets, labels)
+    # a plain gradient descent's own steps, row by row
+    learn = [i for i in range(len(labels)) if i % 5 != 4]
+    weight = {1: 0.5 / sum(labels[i] for i in learn), 0: 0.5 / sum(1 - labels[i] for i in learn)}
+    v, b = np.zeros(len(w)), 0.0
+    m, q = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    rows = [(index[offsets[i] : offsets[i + 1]], share[offsets[i] : offsets[i + 1]].astype(float)) for i in range(len(labels))]
+    for step in range(1, 41):
+        g = np.append(1e-4 * v / len(v), 0.0)
+        for i in learn:
+            f, s = rows[i]
+            wrong = weight[labels[i]] * (1 / (1 + math.exp(-(b + v[f] @ s))) - labels[i])
+            g[f] += wrong * s
+            g[-1] += wrong
+        m, q = 0.9 * m + 0.1 * g, 0.99 * q + 0.01 * g * g
+        d = 0.6 * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-7)
+        v, b = v - d[:-1], b - d[-1]
+    margins = np.array([b + v[f] @ s for f, s in rows])
+    mine = quality_rules.margins(block, block.words(), w, bias)
+    assert np.allclose(mine, margins, atol=1e-2) and slope > 0
+    told = slope * mine + intercept > 0
+    assert (told == labels.astype(bool)).mean() > 0.9
+
+
+def plain_gam(model, row):
+    """A score by walking the tables one by one."""
+    total = model["base"]
+    for i, cuts in enumerate(model["cuts"]):
+        total += model["tables"][i][sum(row[i] > c for c in cuts)]
+    for i, j, table in model["pairs"]:
+        total += table[sum(row[i] > c for c in model["pair_cuts"][i])][sum(row[j] > c for c in model["pair_cuts"][j])]
+    return 1 / (1 + math.exp(-total))
+
+
+def plain_tree(g, h, leaves=3):
+    """Best-first tree by trying every cut of every leaf."""
+    gain = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + 1)
+    spans = [(0, len(g))]
+    while len(spans) < leaves:
+        best = max(((gain(a, c) + gain(c, b) - gain(a, b), -k, -c) for k, (a, b) in enumerate(spans) for c in range(a + 1, b)), default=(0, 0, 0))
+        if best[0] <= 1e-12:
+            break
+        a, b = spans.pop(-best[1])
+        spans += [(a, -best[2]), (-best[2], b)]
+    return [next(sum(g[a:b]) / (sum(h[a:b]) + 1) for a, b in spans if a <= i < b) for i in range(len(g))]
+
+
+def test_gam_matches_plain_tables_and_trees(spark, odd):
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        g, h = rng.normal(size=9), rng.random(9)
+        assert np.allclose(gam.tree(g, h), plain_tree(g, h))
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    model = gam.train(docs, spark.read.parquet(f"{BIG}/labels.parquet"))
+    assert len(model["pairs"]) == gam.PAIRS and all(np.abs(t).max() > 0 for _, _, t in model["pairs"])
+    from coinloom.llm.textbatch import blocks
+
+    texts = [r.text for r in odd.collect()] + [r.text for r in docs.limit(100).collect()]
+    x = np.concatenate([gam.features(b) for _, _, b in blocks(pa.array(texts, pa.string()))])
+    assert np.allclose(gam.predict(model, x), [plain_gam(model, row) for row in x])
+    rows = gam.score(odd, model).collect()  # a trained model on odd texts
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows) and gam.score(odd.limit(0), model).count() == 0
+    # boosting lowers the loss of the model without tables
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{BIG}/labels.parquet").collect()}
+    pairs = [(r.score, labels[r.doc_id]) for r in gam.score(docs, model).collect() if labels.get(r.doc_id) is not None]
+    loss = lambda p: -np.mean([math.log(s if y else 1 - s) for s, y in p])
+    assert loss(pairs) < 0.2 * loss([(np.mean([y for _, y in pairs]), y) for _, y in pairs])
+
+
 def test_quality_rules_on_labels(spark):
     rows = {r.doc_id: r for r in queries.op5_quality_rules(spark, BIG).collect()}
     labels = spark.read.parquet(f"{BIG}/labels.parquet").where(crc_mod("doc_id", 3) == 1).collect()
