@@ -326,19 +326,48 @@ def test_mixing_contract(spark, docs, sf_dir):
         assert copies.count() == out.copies.sum() and set(frame.columns) - {"size"} <= set(copies.columns)
 
 
+def plain_top(rows, k=10):
+    """All scores of the valid rows; a query's own are all rows with its id."""
+    ok = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for q in sorted({i for i, _ in ok if i % 100 == 0}):
+        scores = sorted((-sum(a * b for a, b in zip(w, v)), j) for i, w in ok if i == q for j, v in ok if j != q and len(v) == len(w) and v)
+        out += [(q, r, j, -s) for r, (s, j) in enumerate(scores[:k], 1)]
+    return sorted(out)
+
+
 def test_topk_matches_all_scores(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 0.1, (700, 16)).astype(np.float32)
-    x[50:60] = x[100]
-    rows = [(i, v.tolist(), "c") for i, v in enumerate(x)] + [(9001, None, "c"), (9002, [float("nan")] * 16, "c"), (9003, [float("inf")] * 16, "c"), (9004, [None] * 16, "c"), (9005, [1.0], "c"), (5, x[5].tolist(), "c")]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    q = np.floor(1024 * x.astype(np.float64)).astype(np.int64)
-    got = topk.top_k(frame, frame.where("vec_id % 100 = 0")).toPandas()
-    for i in range(0, 700, 100):
-        want = sorted(((-int(q[i] @ q[j]), j) for j in range(700) if j != i))[:10]
-        mine = got[got.query_id == i].sort_values("rank")
-        assert list(zip(-mine.score, mine.vec_id)) == want and mine["rank"].tolist() == list(range(1, 11))
-    assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
+    x[50:90] = x[100]
+    x[300] *= 1000  # an outlier
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9002, [float("nan")] * 16), (9003, [float("inf")] * 16), (9004, [None] * 16), (9005, [1.0]), (None, [1.0] * 16)]
+    rows += [(5, x[5].tolist()), (7, x[9].tolist()), (100, x[3].tolist()), (8000, [1.0, 2.0]), (8001, [3.0, -1.0]), (8002, [3.0, -1.0]), (8100, []), (8200, [1.0, 2.0, 3.0])]
+    frame = spark.createDataFrame([(i, v, "c") for i, v in rows], "vec_id long, embedding array<float>, score string").repartition(3)
+    for block in (3, 4096):
+        got = topk.top_k(frame, frame.where("vec_id % 100 = 0"), query_block=block).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == plain_top(rows)
+    few = spark.createDataFrame([(100, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<float>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(few, few.where("vec_id = 100")).orderBy("rank").collect()] == [(1, 2 << 20), (2, 2 << 20)]
+    assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0 and topk.top_k(frame, frame.limit(0)).count() == 0
+
+
+def test_topk_of_a_common_vector(spark):
+    rows = [(i, [0.5, 0.25] if i % 3 else [float(i % 7), 1.0]) for i in range(900)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors = topk.least_ids(topk.integer_vectors(frame), 10)
+    assert vectors.where(vectors.v == vectors.v).count() <= 8 * 11
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, frame.where("vec_id % 100 = 0")).collect()) == plain_top(rows)
+
+
+def test_topk_bounds_hold():
+    rng = np.random.default_rng(9)
+    v = rng.integers(-5000, 5000, (200, 7)) * rng.integers(0, 50, 7)
+    q = rng.integers(-9000, 9000, (20, 7))
+    low = v.min(0)
+    width = (v.max(0) - low) // topk.CELLS + 1
+    lower, upper = topk.bounds(((v - low) // width).astype(np.uint8), low, width, q)
+    assert (lower <= q @ v.T).all() and (q @ v.T <= upper).all() and (upper - lower).max() < 0.2 * (np.abs(q) @ np.abs(v.T)).max()
 
 
 def test_warc_round_trip(spark, tmp_path):
