@@ -1,14 +1,17 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Every document draws an exponential key -ln(u) / w, u from a hash of its id and w its
-quality weight; small keys go first. A source's token budget pays for complete epochs
+Every document draws an exponential key -ln(u) / w, u from a hash of its id and text and w
+its quality weight; small keys go first. A source's token budget pays for complete epochs
 over all of it; the rest pays for documents in key order up to the prefix sum nearest to
 the budget. Keys fall into bins that keep their order, so a source is never sorted in one
-task: bin sums find the one bin where the budget ends, and only its rows are sorted.
+task: bin sums find the one bin where the budget ends, and only its rows are sorted. Texts
+are counted once; draws are written to the shared folder.
 
 Null texts have size 0 and take nothing; null sources form the last source; empty texts,
-ties (by key, then id) and repeated rows are documents like any other; an empty table
-gives an empty table; other columns pass through, those named like a result are replaced.
+ties (by key, then id, then a hash of the text) and repeated rows are documents like any
+other, rows alike in id and text draw one key; reruns agree however the rows come; an empty
+table gives an empty table; other columns pass through, those named like a result are
+replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialize
 
 #: Fixed values of the mix: weights by source order, share of all sizes, most epochs.
 WEIGHTS = (5, 2, 1)
@@ -36,9 +39,11 @@ def quality_weight(text_col: str = "text", size_col: str = "size") -> Column:
     return F.when(mean.between(3, 9), 1.0).otherwise(0.25)
 
 
-def uniform(id_col: str, seed: str) -> Column:
-    """In (0, 1), decided by id and seed: 52 bits of an MD5."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13)
+def uniform(id_col: str, text_col: str, seed: str) -> Column:
+    """In (0, 1), decided by id, text and seed: 52 bits of an MD5."""
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    whole = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text)
+    digits = F.substring(F.md5(whole.cast("binary")), 1, 13)
     return (F.conv(digits, 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
 
 
@@ -64,15 +69,16 @@ def source_targets(sources: DataFrame) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: str = SEED) -> DataFrame:
-    """All rows and columns of df with `size`, `source_size`, `target` and `copies`, how often the mix takes the document."""
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: str = SEED, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """All rows of df, its listed columns (all) with `size`, `source_size`, `target` and `copies`, how often the mix takes the document."""
     df = df.drop("size", "source_size", "target", "copies")
-    kept = [F.col(f"`{c}`") for c in df.columns]
-    draw = df.select(*kept, word_count(text_col).alias("size"))
-    w = quality_weight(text_col) if weight is None else weight
-    draw = draw.withColumn("__key", -F.log(uniform(id_col, seed)) / w)
+    kept = [F.col(f"`{c}`") for c in (df.columns if columns is None else columns)]
+    w = quality_weight(text_col, "__size") if weight is None else weight
+    draw = df.withColumn("__size", word_count(text_col)).withColumn("__key", -F.log(uniform(id_col, text_col, seed)) / w)
     draw = draw.withColumn("__bin", F.least(F.floor((1 - F.exp(-F.col("__key"))) * BINS), F.lit(BINS - 1)).cast("int"))
-    bins = draw.groupBy(F.col(source_col).alias("source"), "__bin").agg(F.sum("size").alias("__bin_size"))
+    draw = draw.select(*kept, F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("__from"), F.xxhash64(text_col).alias("__h"), F.col("__size").alias("size"), "__key", "__bin")
+    draw = materialize(draw, "draws")
+    bins = draw.groupBy(F.col("__from").alias("source"), "__bin").agg(F.sum("size").alias("__bin_size"))
     sources = source_targets(bins.groupBy("source").agg(F.sum("__bin_size").alias("source_size")))
     sources = sources.withColumn("__epochs", F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))))
     sources = sources.withColumn("__left", F.col("target") - F.col("__epochs") * F.col("source_size"))
@@ -86,15 +92,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         F.coalesce(F.max(F.when(ends, F.col("__before"))), F.lit(0)).alias("__paid"),
         *[F.first(c).alias(c) for c in ("source_size", "target", "__epochs", "__left")],
     ).withColumnRenamed("source", "__source")
-    joined = draw.join(cut, F.col(f"`{source_col}`").eqNullSafe(F.col("__source")))
-    # rows off the cutting bin are windows of their own: nothing but that bin is gathered
+    # one row a source
+    joined = draw.join(cut, F.col("__from").eqNullSafe(F.col("__source")))
+    # only the rows of the cutting bins are sorted
     at_cut = F.col("__bin") == F.col("__cut")
-    spread = F.when(at_cut, F.lit(None)).otherwise(F.xxhash64(F.col(id_col)))
-    line = Window.partitionBy("__source", "__bin", spread).orderBy("__key", F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("__source").orderBy("__key", "__id", "__h").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("__paid") + F.coalesce(F.sum("size").over(line), F.lit(0))
-    chosen = F.when(at_cut, before + F.col("size") / 2 <= F.col("__left")).otherwise(F.col("__bin") < F.col("__cut"))
-    copies = F.least(F.col("__epochs") + F.when(chosen, 1).otherwise(0), F.lit(MOST_EPOCHS)).cast("int")
-    return joined.select(*kept, "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"))
+    sorted_rows = joined.where(at_cut).withColumn("__chosen", before + F.col("size") / 2 <= F.col("__left"))
+    told = joined.where(~at_cut).withColumn("__chosen", F.col("__bin") < F.col("__cut")).unionByName(sorted_rows)
+    copies = F.least(F.col("__epochs") + F.when(F.col("__chosen"), 1).otherwise(0), F.lit(MOST_EPOCHS)).cast("int")
+    return told.select(*kept, "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"))
 
 
 def take(mixed: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), columns=("doc_id",))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -98,8 +98,8 @@ ORACLES = {
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op8_mixing": r"""
-        WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, length(text) AS chars,
-                          (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
+        WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, length(text) AS chars, text,
+                          (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
              k AS (SELECT *, -ln(u) / (CASE WHEN chars / greatest(size, 1) BETWEEN 3 AND 9 THEN 1.0 ELSE 0.25 END)::DOUBLE AS key FROM d),
              s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
              w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w FROM s),
@@ -109,7 +109,7 @@ ORACLES = {
              t AS (SELECT source, source_size, least(cap, (max(level) OVER ()) * w) AS target FROM l),
              e AS (SELECT *, floor(target / greatest(source_size, 1)) AS epochs, target - floor(target / greatest(source_size, 1)) * source_size AS rest FROM t),
              r AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.rest,
-                          coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                          coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
                    FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
         SELECT doc_id, size, source_size, target,
                (size * least(2, epochs + CASE WHEN before + size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM r""",

@@ -1,17 +1,18 @@
 """Two-pass external shuffle into shards, native DataFrame operations only.
 
-Pass 1 scatters rows into buckets of about `bucket_bytes` by a seeded hash. Pass 2 gives
-every bucket a Fisher-Yates permutation (Spark's `shuffle` of its index array) and deals
-the permuted buckets out in order: a row's place is its bucket's offset plus its permuted
-index, and the places are cut into shards whose row counts differ by one at most.
+Pass 1 scatters rows into buckets of about `bucket_bytes` by a seeded hash of each row's
+number and writes them to the shared folder. Pass 2 gives every bucket a Fisher-Yates
+permutation (Spark's `shuffle` of its index array) and deals the permuted buckets out in
+order: a row's place is its bucket's offset plus its permuted index, and the places are cut
+into shards whose row counts differ by one at most.
 
 Only the bucket table (bucket, rows, offset, permutation) is built by aggregation; rows
 themselves pass one hash exchange and a spillable sort. Offsets are a two-level prefix sum.
 
-Nulls, empty and very long texts, ties and repeated rows are rows like any other: each
-gets its own slot. Rows alike in all key columns share a bucket. An empty table gives an
-empty table. Other columns pass through; a column named like a result (`law`, `shard`,
-`slot`, `grown_shard`) is replaced.
+Nulls, empty and very long texts, ties and repeated rows are rows like any other: each has
+a number and gets its own slot, alike rows spread over all buckets. An empty table gives an
+empty table. Reruns agree while the input comes in the same partitions. Other columns pass
+through; a column named like a result (`law`, `shard`, `slot`, `grown_shard`) is replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 BUCKET_BYTES = 8 << 20
 SEED = 20240229
 #: Partitions: one a bucket up to LEAST_PARTS, for larger tables PART_BUCKETS buckets in each.
@@ -48,19 +51,24 @@ def bucket_table(bucketed: DataFrame, seed: int, parts: int) -> DataFrame:
     return placed.select("__bucket", "__offset", F.shuffle(index, seed).alias("__order"))
 
 
-def shard(df: DataFrame, shards: int, key_cols: tuple[str, ...] = ("doc_id", "text"), size: Column | None = None, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
+def scatter(df: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """Pass 1: df with `__row`, a number for each row, and `__bucket`, written once so that both stay."""
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "__row"), F.lit(buckets)).alias("__bucket")
+    return materialize(df.withColumn("__row", F.monotonically_increasing_id()).select("*", bucket), "scattered")
+
+
+def shard(df: DataFrame, shards: int, size: Column | None = None, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
     """All rows and columns of df with `law`, `shard`, `slot` and `grown_shard`."""
     size = text_size() if size is None else size
     rows, volume = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     df = df.drop("law", "shard", "slot", "grown_shard")
     buckets = max(1, -(-volume // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *key_cols), F.lit(buckets)).alias("__bucket")
     parts = min(buckets, max(LEAST_PARTS, buckets // PART_BUCKETS))
-    table = bucket_table(df.select(bucket), seed, parts)
-    # ties in the key columns are alike rows: which of them gets which slot doesn't show
-    order = Window.partitionBy("__bucket").orderBy(F.xxhash64(F.lit(seed + 1), *key_cols), *key_cols)
+    scattered = scatter(df, buckets, seed)
+    table = bucket_table(scattered.select("__bucket"), seed, parts)
+    order = Window.partitionBy("__bucket").orderBy("__row")
     # dealt out like the bucket table, so that the join moves no row again
-    dealt = df.select("*", bucket).repartition(parts, "__bucket").withColumn("__index", F.row_number().over(order))
+    dealt = scattered.repartition(parts, "__bucket").withColumn("__index", F.row_number().over(order))
     place = (F.col("__offset") + F.element_at("__order", F.col("__index"))).alias("__place")
     dealt = dealt.join(table, "__bucket").select(*[F.col(f"`{c}`") for c in df.columns], place)
     at = F.expr(f"cast((__place * {shards}L) div {max(rows, 1)}L as int)")

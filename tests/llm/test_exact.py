@@ -98,6 +98,20 @@ def test_sharding_law_rows(spark, docs):
     assert abs(np.corrcoef(order, np.arange(len(order)))[0, 1]) < 0.15
 
 
+def test_sharding_spreads_alike_rows_and_writes(spark, tmp_path):
+    rows = [(1, "same", "a", 1)] * 600 + [(i, f"t{i}", None, i) for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, law string, slot long").repartition(4)
+    buckets = [r["count"] for r in sharding.scatter(frame, 20, 1).groupBy("__bucket").count().collect()]
+    assert len(buckets) == 20 and max(buckets) < 70
+    dealt = sharding.shard(frame, 7, bucket_bytes=500)
+    assert dealt.columns == ["doc_id", "text", "law", "shard", "slot", "grown_shard"]
+    sharding.write_shards(dealt, f"file://{tmp_path}/s")
+    for i in range(7):
+        back = spark.read.parquet(f"file://{tmp_path}/s/shard={i}").collect()
+        assert len(back) == 100 and sorted(r.slot for r in back) == list(range(100)) and {r.law for r in back} == {"rows"}
+    assert spark.read.parquet(f"file://{tmp_path}/s").count() == 700
+
+
 def test_op3_columns(spark, sf_dir):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op3_sharding(spark, sf_dir).collect()
@@ -336,6 +350,16 @@ def plain_top(rows, k=10):
     return sorted(out)
 
 
+def test_mixing_reruns_agree_on_repeated_ids(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice([None, 1, 2]), " ".join("abc"[i % 3] * rng.randint(1, 12) for _ in range(rng.randint(1, 40))), rng.choice(["x", "y", None])) for i in range(400)]
+    rows += rows[:50]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [Counter((r.doc_id, r.text, r.source, r.copies) for r in mixing.mix(frame.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
+    assert len({c for *_, c in runs[0]}) > 1
+
+
 def test_topk_matches_all_scores(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 0.1, (700, 16)).astype(np.float32)
