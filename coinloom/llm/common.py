@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word of the contracts: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -110,10 +111,12 @@ _BITMAP, _MOST_BITMAPS = 1 << 15, 1 << 12
 
 
 def maybe_in(df: DataFrame, listed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The rows of df whose keys are in `listed`, and some others, fewer the fewer keys are listed.
+    """The rows of df whose keys are in `listed`, and some others, fewer the fewer keys are listed; the join itself must follow."""
+    return maybe_flagged(df, listed, keys, True)
 
-    A bitmap of 16 MB at most decides before a shuffle; the join itself must follow.
-    """
+
+def maybe_flagged(df: DataFrame, listed: DataFrame, keys: tuple[str, ...], only: bool = False) -> DataFrame:
+    """df with `__maybe`, false only where the keys are not in `listed`: a bitmap of 16 MB at most decides. `only` gives the true rows without it."""
     size = min(listed.count() * 8 // _BITMAP + 1, _MOST_BITMAPS)
     place = F.pmod(F.xxhash64(*keys), F.lit(size * _BITMAP))
     maps = listed.select(place.alias("p")).groupBy(F.expr(f"p div {_BITMAP}").alias("k")).agg(F.bitmap_construct_agg(F.expr(f"p % {_BITMAP}")).alias("m")).collect()
@@ -126,6 +129,11 @@ def maybe_in(df: DataFrame, listed: DataFrame, keys: tuple[str, ...]) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(n).to_numpy()
-            yield batch.filter(pa.array((shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))).select(range(n))
-
-    return df.select("*", place.alias("__place")).mapInArrow(run, df.schema)
+            flags = pa.array((shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))
+            if only:
+                yield batch.filter(flags).select(range(n))
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], flags], [*batch.schema.names[:n], "__maybe"])
+
+    schema = df.schema if only else T.StructType([*df.schema.fields, T.StructField("__maybe", T.BooleanType())])
+    return df.select("*", place.alias("__place")).mapInArrow(run, schema)

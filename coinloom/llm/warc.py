@@ -5,7 +5,9 @@ characters); Spark's text sink streams them, CRLF after each row, into one gzip
 task. The payload stands in HTTP chunked transfer coding, whose chunks end in CRLF
 themselves, so a record of any size is written chunk by chunk. Of records with equal
 payloads of at least `revisit_bytes` the one with the largest page id is the response, the
-others are revisits of it without a payload.
+others are revisits of it without a payload. They are found from ids and digests alone;
+payloads are not shuffled, but for those of pages that a bitmap of the revisits can't rule
+out. A payload is cut into chunks in one pass.
 
 Reading: gzip files aren't split, so a task meets a file's rows in order; a small state
 machine turns them into the chunk table (record, chunk number, data, bytes so far, SHA-1
@@ -27,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import join_by_count, materialize, maybe_flagged
+
 REVISIT_BYTES = 1000
 CHUNK_CHARS = 1 << 18
 BATCH_BYTES = 4 << 20
@@ -60,22 +64,26 @@ def _clean(column: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, payload, bytes, digest, refers_to): refers_to is set on revisits."""
+    """(page_id, url, payload, bytes, digest, refers_to): refers_to is set on revisits, whose payload is null."""
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     base = base.select("*", F.octet_length("payload").cast("long").alias("bytes"), F.sha1(F.encode("payload", "UTF-8")).alias("digest"))
-    groups = base.where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.count("*").alias("__n"), F.max("page_id").alias("__kept"))
-    groups = groups.where("__n > 1").select(F.col("digest").alias("__digest"), "__kept")
-    joined = base.join(groups, F.col("digest") == F.col("__digest"), "left")
-    later = F.col("__kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__kept"))
-    return joined.select("page_id", "url", "payload", "bytes", "digest", F.when(later, F.col("__kept")).alias("refers_to"))
+    slim = materialize(base.drop("payload").where(F.col("bytes") >= revisit_bytes), "digests")
+    groups = slim.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1 AND refers_to IS NOT NULL")
+    revisits = join_by_count(slim, materialize(groups, "copies"), ["digest"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    revisits = materialize(revisits.select("page_id", "url", F.lit(None).cast("string").alias("payload"), "bytes", "digest", "refers_to"), "revisits")
+    keys = revisits.select("page_id", "digest").distinct()
+    flagged = maybe_flagged(base, keys, ("page_id", "digest"))
+    listed = keys.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"))
+    same = (F.col("digest") == F.col("__digest")) & F.col("page_id").eqNullSafe(F.col("__page"))
+    unsure = flagged.where("__maybe").join(listed, same, "left_anti")
+    responses = flagged.where("NOT __maybe").unionByName(unsure).drop("__maybe")
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits)
 
 
 def record_rows(records: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """`value`: the archive's text, a header row, a row a chunk and an end row for each response; one row for each revisit."""
     revisit = F.col("refers_to").isNotNull()
-    pieces = F.ceil(F.length("payload") / chunk_chars).cast("int")
-    piece = lambda i: F.substring(F.col("payload"), (i - 1) * chunk_chars + 1, F.lit(chunk_chars))
-    size = lambda x: F.octet_length(x)
+    size = F.octet_length
     http = _lines(
         F.when(revisit, F.lit("HTTP/1.1 304 Not Modified")).otherwise(F.lit("HTTP/1.1 200 OK")),
         "Content-Type: text/html; charset=utf-8",
@@ -84,9 +92,9 @@ def record_rows(records: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame
         "",
         "",
     )
-    sizes = F.when(F.col("__pieces") > 0, F.sequence(F.lit(1), F.col("__pieces"))).otherwise(F.array().cast("array<int>"))
     # an HTTP chunk: its size in hex, CRLF, the data, CRLF
-    body = F.aggregate(sizes, F.lit(0).cast("long"), lambda acc, i: acc + size(piece(i)) + F.length(F.hex(size(piece(i)))) + 4)
+    chunks = F.transform(F.expr(f"regexp_extract_all(coalesce(payload, ''), '(?s).{{1,{chunk_chars}}}', 0)"), lambda p: F.concat(F.hex(size(p)), F.lit(CRLF), p))
+    body = F.aggregate("__chunks", F.lit(0).cast("long"), lambda acc, c: acc + size(c) + 2)
     length = size(F.col("__http")) + F.when(revisit, 0).otherwise(F.col("__body") + 5)
     head = _lines(
         "WARC/1.0",
@@ -103,18 +111,12 @@ def record_rows(records: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame
         "",
         "",
     )
-    planned = records.select("*", pieces.alias("__pieces"), http.alias("__http")).withColumn("__body", body)
-    planned = planned.withColumn("__length", length).withColumn("__head", F.concat(head, F.col("__http")))
-    number = F.explode(F.sequence(F.lit(0), F.when(revisit, 0).otherwise(F.col("__pieces") + 1))).alias("__i")
-    rows = planned.select("*", number)
+    planned = records.select("*", chunks.alias("__chunks"), http.alias("__http"))
+    planned = planned.withColumn("__body", body).withColumn("__length", length).withColumn("__head", F.concat(head, F.col("__http")))
     # the sink ends each row with CRLF: two end a record; the header row's own ends the HTTP header
-    value = (
-        F.when(revisit, F.concat("__head", F.lit(CRLF)))
-        .when(F.col("__i") == 0, F.expr("substring(__head, 1, length(__head) - 2)"))
-        .when(F.col("__i") <= F.col("__pieces"), F.concat(F.hex(size(piece(F.col("__i")))), F.lit(CRLF), piece(F.col("__i"))))
-        .otherwise(F.lit("0" + CRLF + CRLF + CRLF))
-    )
-    return rows.select(value.alias("value"))
+    whole = F.concat(F.array(F.expr("substring(__head, 1, length(__head) - 2)")), F.col("__chunks"), F.array(F.lit("0" + CRLF + CRLF + CRLF)))
+    rows = F.when(revisit, F.array(F.concat("__head", F.lit(CRLF)))).otherwise(whole)
+    return planned.select(F.explode(rows).alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES, chunk_chars: int = CHUNK_CHARS) -> None:
