@@ -11,6 +11,8 @@ from ..schema import TYPE_LABELS
 
 #: White space of a pattern's \s and of trimming, byte-order mark included. Fixed value.
 BLANK = r"[ \t\n\x0B\f\r\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: The same characters, one by one.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 DAY_MS = 86_400_000
 
 
@@ -20,7 +22,7 @@ def as_column(x) -> Column:
 
 def trim_all(x) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(as_column(x), f"^{BLANK}+|{BLANK}+\\z", "")
+    return F.btrim(as_column(x), F.lit(BLANKS))
 
 
 def round_half_up(x) -> Column:

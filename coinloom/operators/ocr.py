@@ -14,6 +14,7 @@ from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import PARSED
@@ -26,7 +27,7 @@ NOT_NAMES = re.compile(r"\bbariso|\bhaji\b|\b(Refill|Agents|Add Agent|Review|Lin
 CLOCK = re.compile(r"\b(\d{4})-(\d{2})-(\d{2})\s*(\d{1,2}):(\d{2})\s*(AM|PM)\b", re.I | re.A)
 DAY = re.compile(r"\b(\d{1,2})\s+([A-Za-z]{3,4})\s+(\d{4})\b", re.A)
 AMOUNT = re.compile(r"(-?)\D*(\d{1,3}(?:,\d{3})*\.\d{2})", re.A)
-MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)} | {"sept": 9}
+MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10, "nov": 11, "dec": 12}
 REACH, SPAN = 4, 3
 REVIEW_BELOW = 100_000
 
@@ -109,6 +110,16 @@ def match_lines(text: str, tz: str) -> list[dict]:
     return out
 
 
+def entries(tz: str):
+    """A column function: the array of parsed rows of each document's text."""
+
+    @F.pandas_udf(T.ArrayType(PARSED))
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: match_lines(t, tz) if t else [])
+
+    return read
+
+
 def parse_ocr(df: DataFrame, id_col: str, text_col: str, tz: str = "Africa/Addis_Ababa") -> DataFrame:
     """(id_col, pos, parsed fields) of every document that passes the gate."""
     names = [id_col, "pos", *PARSED.names]

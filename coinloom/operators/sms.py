@@ -1,13 +1,16 @@
 """Money-alert texts to typed rows: an ordered list of patterns as one CASE expression.
 
 The first pattern that is found decides. Everything runs in the JVM; cheap substring tests
-stand before the lazy patterns.
+stand before the patterns. The parts of a pattern follow each other with anything between:
+the first place of a part leaves the most room for the others, so each part is searched once
+(atomically, from the text's start), in time linear in the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +25,7 @@ _AMOUNT = r"([0-9,]+(?:\.[0-9]+)?)"
 _ETB = rf"ETB{BLANK}*{_AMOUNT}"
 _ETB_BR = rf"(?:ETB|Br\.?){BLANK}*{_AMOUNT}"
 _PARTY = rf"{BLANK}+([A-Za-z0-9 .'-]+?)(?:\.|,|{BLANK}+(?:on|Ref))"
+_BANK_WORDS = ("awash", "dashen", "abyssinia", "wegagen")
 _BANKS = rf"{_L}(Awash|Dashen|Abyssinia|Wegagen){_R}"
 _STOP = rf"(?={BLANK}+(?:on|Ref|Txn|TrxID%s){_R}|[.,;\n]|\z)"
 _FREE_PARTY = r"([A-Za-z0-9.'-][A-Za-z0-9 .'-]*?)"
@@ -34,6 +38,11 @@ _OUT = rf"{_L}(paid|debited|withdrawn|withdrew|purchase(?:d)?|bought|sent|transf
 _OCR_SMS = rf"{_L}(credited|debited|your current balance|transaction number|account has been|transfer id){_R}"
 
 
+def _chain(*parts: str) -> str:
+    """The parts in this order, anything before and between them."""
+    return r"\A" + "".join(f"(?>{_ANY}{part})" for part in parts)
+
+
 def _has(text: Column, pattern: str) -> Column:
     return text.rlike("(?i)" + pattern)
 
@@ -51,7 +60,7 @@ class Rule:
     """A pattern with the numbers of its groups; type_, channel, party and review may depend on the text."""
 
     pattern: str
-    guard: str
+    guard: str | tuple[str, ...]
     amount: int
     channel: str | int
     type_: str | Callable[[Column], Column]
@@ -60,8 +69,9 @@ class Rule:
     review: Callable[[Column], Column] | None = None
 
     def matches(self, text: Column) -> Column:
-        found = _has(text, self.pattern)
-        return F.contains(F.lower(text), F.lit(self.guard)) & found if self.guard else found
+        words = (self.guard,) if isinstance(self.guard, str) else self.guard
+        guards = [F.contains(F.lower(text), F.lit(word)) for word in words if word]
+        return reduce(Column.__or__, guards) & _has(text, self.pattern) if guards else _has(text, self.pattern)
 
     def row(self, text: Column, as_of: Column) -> Column:
         get = lambda x: _group(text, self.pattern, x) if isinstance(x, int) else x(text) if callable(x) else F.lit(x)
@@ -96,13 +106,13 @@ _PREPOSITION = rf"{_ETB_BR}{BLANK}*(to|from){BLANK}+{_FREE_PARTY}" + _STOP % ""
 
 #: In order; the first that is found decides.
 RULES = (
-    Rule(rf"telebirr{_ANY}(?:received|credited){_ANY}{_ETB}{_ANY}from{_PARTY}", "telebirr", 1, "Telebirr", "in", 2),
-    Rule(rf"telebirr{_ANY}(?:paid|debited|sent){_ANY}{_ETB}{_ANY}to{_PARTY}", "telebirr", 1, "Telebirr", "out", 2),
-    Rule(rf"telebirr{_ANY}airtime{_ANY}{_ETB}", "telebirr", 1, "Telebirr", "airtime", "Airtime"),
-    Rule(rf"{_L}CBE{_R}{_ANY}(?:credited|received){_ANY}{_ETB}{_ANY}from{_PARTY}", "cbe", 1, "CBE", "in", 2),
-    Rule(rf"{_L}CBE{_R}{_ANY}(?:debited|withdrawn|paid){_ANY}{_ETB}(?:{_ANY}(?:to|for){_PARTY})?", "cbe", 1, "CBE", "out", 2, True),
-    Rule(rf"{_BANKS}{_ANY}(?:credited|received){_ANY}{_ETB_BR}{_ANY}from{_PARTY}", "", 2, 1, "in", 3),
-    Rule(rf"{_BANKS}{_ANY}(?:debited|withdrawn|paid){_ANY}{_ETB_BR}(?:{_ANY}to{_PARTY})?", "", 2, 1, "out", 3, True),
+    Rule(_chain("telebirr", "(?:received|credited)", _ETB, "from" + _PARTY), "telebirr", 1, "Telebirr", "in", 2),
+    Rule(_chain("telebirr", "(?:paid|debited|sent)", _ETB, "to" + _PARTY), "telebirr", 1, "Telebirr", "out", 2),
+    Rule(_chain("telebirr", "airtime", _ETB), "telebirr", 1, "Telebirr", "airtime", "Airtime"),
+    Rule(_chain(f"{_L}CBE{_R}", "(?:credited|received)", _ETB, "from" + _PARTY), "cbe", 1, "CBE", "in", 2),
+    Rule(_chain(f"{_L}CBE{_R}", "(?:debited|withdrawn|paid)", _ETB) + f"(?>{_ANY}(?:to|for){_PARTY})?+", "cbe", 1, "CBE", "out", 2, True),
+    Rule(_chain(_BANKS, "(?:credited|received)", _ETB_BR, "from" + _PARTY), _BANK_WORDS, 2, 1, "in", 3),
+    Rule(_chain(_BANKS, "(?:debited|withdrawn|paid)", _ETB_BR) + f"(?>{_ANY}to{_PARTY})?+", _BANK_WORDS, 2, 1, "out", 3, True),
     Rule(_PREPOSITION, "", 1, "Other", lambda t: F.when(F.lower(_group(t, _PREPOSITION, 2)) == "from", "in").otherwise("out"), 3),
     Rule(_ETB_BR, "", 1, "Other", _direction, lambda t: _group(t, _LOOSE_PARTY, 1), True, _unsure),
 )
@@ -125,30 +135,73 @@ def is_ocr(text: Column) -> Column:
 
 
 def split_messages(df: DataFrame, text_col: str, boilerplate: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Texts with `blocks` (cut at blank lines, or at line ends where there is one block only) and `many`."""
+    """df with `__blocks` (texts cut at blank lines, or at line ends where there is one block only) and `__many`."""
     drop = boilerplate or (lambda b: F.lit(False))
     full = lambda parts: F.filter(F.transform(parts, trim_all), lambda b: b != "")
     text = F.coalesce(F.col(text_col), F.lit(""))
     blocks = full(F.split(text, rf"\n{BLANK}*\n+"))
     lines = full(F.split(text, r"\n+"))
-    many = F.size(blocks) > 1
-    return df.withColumn("many", many).withColumn("blocks", F.filter(F.when(many, blocks).otherwise(lines), lambda b: ~drop(b)))
+    broken = F.contains(text, F.lit("\n"))
+    many = broken & (F.size(blocks) > 1)
+    one = F.filter(F.array(trim_all(text)), lambda b: b != "")
+    return df.withColumn("__many", many).withColumn("__blocks", F.filter(F.when(~broken, one).when(F.col("__many"), blocks).otherwise(lines), lambda b: ~drop(b)))
+
+
+def no_transfer_list(text: Column) -> Column:
+    """The default for texts that look like another app's list of transfers: none does."""
+    return F.lit(False)
 
 
-def parse_many(df: DataFrame, text_col: str, as_of: str, boilerplate: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row a message: df's columns, `pos` and the parsed fields.
+def parse_many(
+    df: DataFrame,
+    text_col: str,
+    as_of: str,
+    boilerplate: Callable[[Column], Column] | None = None,
+    is_transfer_list: Callable[[Column], Column] = no_transfer_list,
+    transfer_rows: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """One row a message: df's columns, `pos` and the parsed fields; columns of df named like these are left out.
 
     Failures stay, except that a text of several blocks of which one at most is good, but
-    which is good as a whole, is one message.
+    which is good as a whole, is one message. Of a text without a good message that
+    is_transfer_list holds for, the rows are those of transfer_rows (an array of parsed rows).
     """
-    if "__row" in df.columns:
-        raise ValueError("__row is an internal name")
+    kept, text = _kept(df), F.col(f"`{text_col}`")
     split = split_messages(df, text_col, boilerplate)
-    parsed = split.withColumn("rows", F.transform("blocks", lambda b: parse_one(b, as_of)))
-    good = F.size(F.filter("rows", lambda r: r["ok"]))
-    mixed = F.col("many") & (F.size("rows") > 1) & (good <= 1) & (good < F.size("rows"))
-    whole = F.when(mixed, parse_one(F.col(text_col), as_of))
-    rows = parsed.withColumn("whole", whole).withColumn("rows", F.when(F.coalesce(F.col("whole.ok"), F.lit(False)), F.array("whole")).otherwise(F.col("rows")))
+    # every pattern holds an amount, and the last asks for no more: a text is good if it has one
+    good = F.size(F.filter("__blocks", lambda b: _has(b, _ETB_BR)))
+    mixed = F.col("__many") & (F.size("__blocks") > 1) & (good <= 1) & (good < F.size("__blocks")) & _has(F.coalesce(text, F.lit("")), _ETB_BR)
+    listed = F.lit(False)
+    if transfer_rows:
+        alone = F.col("__many") & (F.size("__blocks") == 1)
+        listed = (good == 0) & ~mixed & ~alone & F.coalesce(is_transfer_list(text), F.lit(False))
+    split = split.withColumn("__blocks", F.when(mixed, F.array(text)).otherwise(F.col("__blocks"))).withColumn("__listed", listed)
+    # the outer form: Spark would push the plain one's "blocks isn't empty" below, and split every text again for it
+    each = split.where("NOT __listed").select(*kept, F.posexplode_outer("__blocks").alias("pos", "__block")).where("pos IS NOT NULL")
+    # parsed inside a generator: filters on its fields can't be pushed below it, where Spark would parse again for each
+    rows = each.select(*kept, "pos", F.explode_outer(F.array(parse_one(F.col("__block"), as_of))).alias("__row")).select(*kept, "pos", "__row.*")
+    if not transfer_rows:
+        return rows
+    return rows.unionByName(_exploded(split.where("__listed").withColumn("__rows", transfer_rows(text)), kept))
+
+
+def _kept(df: DataFrame) -> list[Column]:
+    results = {"pos", *PARSED.names}
+    return [F.col(f"`{c}`") for c in df.columns if c not in results]
+
+
+def _exploded(df: DataFrame, kept: list[Column]) -> DataFrame:
     # the outer form: Spark would push the plain one's "rows isn't empty" below, and parse every text again for it
-    each = rows.select(*[F.col(f"`{c}`") for c in df.columns], F.posexplode_outer("rows").alias("pos", "__row")).where("pos IS NOT NULL")
-    return each.select(*[F.col(f"`{c}`") for c in df.columns], "pos", "__row.*")
+    each = df.select(*kept, F.posexplode_outer("__rows").alias("pos", "__row")).where("pos IS NOT NULL")
+    return each.select(*kept, "pos", "__row.*")
+
+
+def parse_text(df: DataFrame, text_col: str, as_of: str, tz: str = "Africa/Addis_Ababa", **hooks) -> DataFrame:
+    """parse_many for any pasted text: one that looks like a refill screenshot and has entries gives these, every other its messages."""
+    from .ocr import entries
+
+    kept = _kept(df)
+    looks = F.coalesce(is_ocr(F.col(f"`{text_col}`")), F.lit(False))
+    shots = df.where(looks).withColumn("__rows", entries(tz)(F.col(f"`{text_col}`")))
+    messages = df.where(~looks).unionByName(shots.where(F.size("__rows") == 0).drop("__rows"))
+    return _exploded(shots.where(F.size("__rows") > 0), kept).unionByName(parse_many(messages, text_col, as_of, **hooks))

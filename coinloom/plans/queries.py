@@ -14,7 +14,7 @@ from ..operators import findings as rules
 from ..operators import ingest, listing, ocr, sms
 from ..sources import store
 from ..sources.adapters import form_entries as entries
-from ..sources.adapters import messages, screenshots, third_of_screenshots, transactions
+from ..sources.adapters import messages, pasted, screenshots, transactions
 
 #: 2024-01-31 and 2024-03-10, midnight UTC.
 AS_OF, AS_OF_CREDIT = 1_706_659_200_000, 1_710_028_800_000
@@ -87,11 +87,13 @@ def _all(source: str) -> str:
     return " UNION ALL ".join([_duplicates(source), _large(source), _spikes(source), _aging(source, AS_OF), _probes(source)])
 
 
-_IGNORED = "SELECT 'dup:' || a.id || ':' || b.id AS id FROM txn a JOIN txn b ON false UNION ALL SELECT 'aging:' || id FROM txn WHERE ms % 2 = 0"
+_IGNORED = f"SELECT 'aging:' || id AS id FROM txn WHERE ms % 2 = 0 UNION ALL SELECT id FROM ({_duplicates('txn')}) WHERE right(id, 1) IN ('0', '2', '4', '6', '8')"
 
 
 def ignored_ids(txns: DataFrame) -> DataFrame:
-    return txns.where(F.substring("date", 23, 1).cast("int") % 2 == 0).select(F.concat(F.lit("aging:"), "id").alias("id"))
+    """Dismissed: credits of even milliseconds, duplicates whose later row has an even number."""
+    aging = txns.where(F.substring("date", 23, 1).cast("int") % 2 == 0).select(F.concat(F.lit("aging:"), "id").alias("id"))
+    return aging.union(rules.duplicates(txns).where(F.right("id", F.lit(1)).isin(*"02468")).select("id"))
 
 
 @query(FINE + f"SELECT {ROW} FROM txn")
@@ -272,11 +274,20 @@ def ignored_remove(spark, sf_dir):
     return rules.restore(ignored_ids(t), rules.aging_credits(t, AS_OF_CREDIT))
 
 
+def _scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh folder under spark.checkpoint.dir; a temporary one only where that is unset and executors are local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder its executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="coinloom-")
+    return f"{base.rstrip('/')}/coinloom/{tag}-{uuid.uuid4().hex}"
+
+
 @query(FINE + f"SELECT {ROW} FROM txn")
 def backup_round_trip(spark, sf_dir):
     t = transactions(spark, sf_dir)
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="coinloom-")
-    path = f"{base.rstrip('/')}/coinloom/backup-{uuid.uuid4().hex}"
+    path = _scratch(spark, "backup")
     store.write_backup(t, path)
     return store.read_backup(spark, path).select(*t.columns)
 
@@ -338,17 +349,40 @@ def sms_import(spark, sf_dir):
     return rows.select("msg_id", "type", "amountSantim", "party", "channel", "reference")
 
 
-@query("""WITH o AS (SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%d/%m/%Y') AS dm, format('{:,.2f}', o_totalprice) AS a FROM orders WHERE o_custkey % 3 = 0),
+_OCR = """o AS (SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%d/%m/%Y') AS dm, format('{:,.2f}', o_totalprice) AS a FROM orders),
     e AS (SELECT *, unnest([0, 1, 2]) AS pos, floor(replace(a, ',', '')::DOUBLE * 100 + 0.5)::BIGINT AS cents FROM o),
-    n AS (SELECT *, ['Almaz Abebe', 'Kebede Abebe', 'Sara Abebe'][pos + 1] AS party FROM e WHERE NOT (cents BETWEEN 200000 AND 210000 AND cents % 100 = 0))
-    SELECT doc_id, pos, true AS ok, CASE WHEN pos > 0 THEN a || ' Birr' || chr(10) ELSE '' END || d || ' ' || (pos + 1) || ':05 PM' || chr(10) || party || chr(10) || a || ' Birr'
+    n AS (SELECT *, ['Almaz Abebe', 'Kebede Abebe', 'Sara Abebe'][pos + 1] AS party FROM e WHERE NOT (cents BETWEEN 200000 AND 210000 AND cents % 100 = 0)),
+    shot AS (SELECT doc_id, pos, true AS ok, CASE WHEN pos > 0 THEN a || ' Birr' || chr(10) ELSE '' END || d || ' ' || (pos + 1) || ':05 PM' || chr(10) || party || chr(10) || a || ' Birr'
             || CASE WHEN pos < 2 THEN chr(10) || d || ' ' || (pos + 2) || ':05 PM' ELSE '' END AS raw,
         'airtime_evd' AS type, cents AS "amountSantim", party, 'Other' AS channel, NULL::VARCHAR AS reference, d || 'T' || (10 + pos) || ':05:00.000Z' AS date,
-        'EVD refill to ' || party || ' — ' || dm || ', ' || (13 + pos) || ':05:00' AS note, cents < 100000 AS "needsReview" FROM n""")
-def ocr_parse(spark, sf_dir):
-    return ocr.parse_ocr(third_of_screenshots(spark, sf_dir), "doc_id", "text")
+        'EVD refill to ' || party || ' — ' || dm || ', ' || (13 + pos) || ':05:00' AS note, cents < 100000 AS "needsReview" FROM n)"""
 
 
-@query(ORACLES["ocr_parse"].replace(" WHERE o_custkey % 3 = 0", ""))
-def ocr_parse_all(spark, sf_dir):
+@query("WITH " + _OCR + " SELECT * FROM shot")
+def ocr_parse(spark, sf_dir):
     return ocr.parse_ocr(screenshots(spark, sf_dir), "doc_id", "text")
+
+
+QUERIES["ocr_parse_all"], ORACLES["ocr_parse_all"] = ocr_parse, ORACLES["ocr_parse"]
+
+#: Each message alone and twice in one text, and each screenshot.
+_PASTED = "WITH " + _OCR + ", m AS (" + _SMS + f"""), p AS (
+        SELECT 'm' || msg_id AS doc, 0 AS pos, * EXCLUDE (msg_id), '{AS_OF_ISO}' AS date FROM m
+        UNION ALL SELECT 'b' || msg_id, unnest([0, 1]), * EXCLUDE (msg_id), '{AS_OF_ISO}' FROM m
+        UNION ALL SELECT 's' || doc_id, pos, ok, type, "amountSantim", party, channel, reference, "needsReview", date FROM shot) """
+
+
+@query(_PASTED + """SELECT doc, pos, ok, type, "amountSantim", party, channel, reference, "needsReview", CASE WHEN ok THEN date END AS date FROM p""")
+def text_parse(spark, sf_dir):
+    rows = sms.parse_text(pasted(spark, sf_dir), "text", AS_OF_ISO, ZONE)
+    return rows.select("doc", "pos", "ok", "type", "amountSantim", "party", "channel", "reference", "needsReview", "date")
+
+
+@query(_PASTED + f"""SELECT DISTINCT type, "amountSantim", party, channel, date, true AS has_id, '{AS_OF_ISO}' AS "createdAt" FROM p WHERE ok""")
+def paste_import(spark, sf_dir):
+    """Pasted texts parsed and inserted without the repeats, then the ledger read back."""
+    rows = store.from_parsed(sms.parse_text(pasted(spark, sf_dir), "text", AS_OF_ISO, ZONE), AS_OF_ISO)
+    rows = rows.withColumn("seq", F.col("n") * 8 + F.col("pos")).drop("doc", "n", "pos")
+    ledger = store.Ledger(spark, _scratch(spark, "ledger"))
+    ledger.add_deduped(rows, now=AS_OF_ISO)
+    return ledger.transactions().select("type", "amountSantim", "party", "channel", "date", (F.length("id") == 24).alias("has_id"), "createdAt")

@@ -73,10 +73,12 @@ def screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Refill History\n===\n"), entry(1, "Almaz"), entry(2, "Kebede"), entry(3, "Sara"), F.lit("Birr\n")).alias("text"))
 
 
-def third_of_screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those of the orders to which the SQL of ocr_parse is limited."""
-    some = read(spark, sf_dir, "orders").where("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("doc_id"))
-    return screenshots(spark, sf_dir).join(some, "doc_id", "left_semi")
+def pasted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, n, text): each message alone and twice in blocks, and each screenshot; n is their order."""
+    m, shots = messages(spark, sf_dir), screenshots(spark, sf_dir)
+    named = lambda df, letter, key, text, place: df.select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("doc"), (F.col(key) * 3 + place).alias("n"), text.alias("text"))
+    twice = F.concat("text", F.lit("\n \n"), "text")
+    return named(m, "m", "msg_id", F.col("text"), 0).unionByName(named(m, "b", "msg_id", twice, 1)).unionByName(named(shots, "s", "doc_id", F.col("text"), 2))
 
 
 def form_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

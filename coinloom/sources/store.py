@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -25,8 +26,11 @@ class Ledger:
 
     A change writes a numbered folder: `v` replaces the table, `a` appends to it. The newest
     complete `v` and the complete `a` after it are the table, so inserting costs what is
-    inserted, a failed write changes nothing and readers keep what they read. compact()
-    makes one `v` of them.
+    inserted, a failed write changes nothing (its number is not used again) and readers keep
+    what they read. compact() makes one `v` of them.
+
+    Rows without an id get one on insertion, from their content and their place among
+    alike rows; rows without createdAt get `now`.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -38,6 +42,13 @@ class Ledger:
         done = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at)
         return sorted((s.getPath().getParent().getName() for s in done or []), key=lambda name: name[1:])
 
+    def _next(self, table: str) -> int:
+        """One more than any folder's number, complete or not."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/*")
+        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at)
+        names = [s.getPath().getName() for s in found or []]
+        return max((int(n[1:]) for n in names if n[1:].isdigit()), default=0) + 1
+
     def _read(self, table: str, schema: T.StructType) -> DataFrame:
         names = self._versions(table)
         if not names:
@@ -46,28 +57,33 @@ class Ledger:
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{table}/{name}" for name in names[start:]])
 
     def _write(self, table: str, rows: DataFrame, schema: T.StructType, kind: str = "v") -> None:
-        number = max((int(name[1:]) for name in self._versions(table)), default=0) + 1
         columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
-        rows.select(*columns).write.parquet(f"{self.path}/{table}/{kind}{number:08d}")
+        rows.select(*columns).write.parquet(f"{self.path}/{table}/{kind}{self._next(table):08d}")
 
     def transactions(self) -> DataFrame:
         return self._read("transactions", TRANSACTION)
 
-    def add(self, rows: DataFrame) -> None:
-        self._write("transactions", rows, TRANSACTION, "a")
+    def add(self, rows: DataFrame, now: str | None = None) -> None:
+        self._write("transactions", with_ids(rows, now), TRANSACTION, "a")
 
     def compact(self) -> None:
         """The same rows in one folder."""
         self._write("transactions", self.transactions(), TRANSACTION)
 
-    def add_deduped(self, rows: DataFrame, order: str = "seq") -> tuple[int, int]:
+    def add_deduped(self, rows: DataFrame, order: str = "seq", now: str | None = None) -> tuple[int, int]:
         """(inserted, skipped)"""
-        marked = dedupe(rows, self.transactions(), order=order).persist()
+        new = with_ids(rows, now, order).persist()  # the dedupe reads it several times
+        marked = dedupe(new, self.transactions(), order=order).persist()
         counts = ingest_counts(marked).first()
-        self.add(marked.where("kept").drop("kept", order))
+        self._write("transactions", marked.where("kept").drop("kept", order), TRANSACTION, "a")
         marked.unpersist()
+        new.unpersist()
         return counts.inserted, counts.skipped
 
+    def update(self, row: DataFrame) -> None:
+        """One whole record in the place of that with its id, or as a new one."""
+        self.restore(row.withColumn("seq", F.lit(0)))
+
     def restore(self, rows: DataFrame, order: str = "seq") -> int:
         """Upsert by id; the number of rows given, repeated ids included."""
         self._write("transactions", upsert(self.transactions(), rows, order), TRANSACTION)
@@ -90,6 +106,19 @@ class Ledger:
         self._write("ignored", ids.select("id").distinct(), IGNORED)
 
 
+def with_ids(rows: DataFrame, now: str | None = None, order: str | None = None) -> DataFrame:
+    """Rows with `id` and `createdAt`: given ones stay; a new id is a hash of the content, and of the order among rows where one is given.
+
+    Without an order alike rows would share an id, so a unique random part joins the hash.
+    """
+    now = now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+    have = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in TRANSACTION.names if c in rows.columns and c not in ("id", "createdAt")]
+    own = F.col(order).cast("string") if order else F.uuid()
+    made = F.substring(F.sha2(F.concat_ws("\1", *have, F.lit(now), own), 256), 1, 24)
+    given = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn("id", F.coalesce(given("id"), made)).withColumn("createdAt", F.coalesce(given("createdAt"), F.lit(now)))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row a file, `value` its whole text."""
     return spark.read.text(path, wholetext=True)
@@ -161,11 +190,14 @@ def write_csv(txns: DataFrame, path: str) -> None:
     lines.orderBy("k", F.desc("date"), "id").select("value").write.text(path)
 
 
-def from_form(entries: DataFrame) -> DataFrame:
-    """Typed entries (amount text, party, ...) that have a positive amount and a party."""
+def from_form(entries: DataFrame, tz: str | None = None) -> DataFrame:
+    """Typed entries (amount text, party, ...) that have a positive amount and a party; with tz a `date` is wall-clock time there (yyyy-MM-ddTHH:mm) and becomes UTC."""
     blank = lambda c: F.nullif(trim_all(c), F.lit(""))
     rows = entries.withColumn("amountSantim", entry_to_santim("amount")).withColumn("party", blank("party"))
     rows = rows.withColumn("reference", blank("reference")).withColumn("note", blank("note"))
+    if tz:
+        utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), F.col("date").cast("timestamp_ntz"))
+        rows = rows.withColumn("date", F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     return rows.where((F.col("amountSantim") > 0) & F.col("party").isNotNull()).drop("amount")
 
 

@@ -18,8 +18,9 @@ def ingest_stream(stream: DataFrame, ledger: Ledger, checkpoint: str, refreshed:
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        known = ledger.transactions().select("id")
-        ledger.add_deduped(batch.join(known, "id", "left_anti"), order)
+        if "id" in batch.columns:
+            batch = batch.join(ledger.transactions().select("id"), "id", "left_anti")
+        ledger.add_deduped(batch, order)
         if refreshed:
             refreshed(ledger.transactions().orderBy(F.desc("date"), "id"))
 

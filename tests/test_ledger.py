@@ -272,9 +272,54 @@ def test_backup_parts_restore(spark, tmp_path):
 
 
 def test_every_order_gives_a_screenshot(spark, sf_dir):
-    from coinloom.plans.queries import ORACLES, QUERIES
+    from coinloom.plans.queries import ORACLES
     from coinloom.sources.adapters import read, screenshots
 
     orders = {r.o_orderkey for r in read(spark, sf_dir, "orders").select("o_orderkey").collect()}
-    assert {r.doc_id for r in screenshots(spark, sf_dir).select("doc_id").collect()} == orders
-    assert "% 3" not in ORACLES["ocr_parse_all"] and {r.doc_id for r in QUERIES["ocr_parse_all"](spark, sf_dir).select("doc_id").collect()} <= orders
+    assert {r.doc_id for r in screenshots(spark, sf_dir).select("doc_id").collect()} == orders and "% 3" not in ORACLES["ocr_parse"]
+
+
+SHOT = "Refill History\n===\nAlmaz Abebe\n2026-01-05 1:05 PM\n2,500.00 Birr\n-\nKebede T 12\n2026-01-06 12:30 AM\n-500.00 Birr"
+
+
+def test_pasted_text_goes_to_screenshots_messages_or_hooks(spark):
+    empty_shot = "Birr 2026-01-01 2026-01-02 " + "lots of words without any amount line at all " * 3
+    texts = [SHOT, "Telebirr received ETB 5.00 from Abe B.", empty_shot, None, "plain\nlist", "a\n\nb"]
+    frame = spark.createDataFrame([(i, t, "kept", "gone") for i, t in enumerate(texts)], "i int, text string, blocks string, type string")
+    rows = sms.parse_text(frame, "text", AS_OF).orderBy("i", "pos").collect()
+    assert [(r.i, r.ok, r.type) for r in rows] == [(0, True, "airtime_evd"), (0, True, "airtime_evd"), (1, True, "in"), (2, False, None), (4, False, None), (4, False, None), (5, False, None), (5, False, None)]
+    assert {r.blocks for r in rows} == {"kept"}
+    fixed = lambda text: F.array(sms.parse_one(F.lit("ETB 7 bill"), AS_OF))
+    rows = sms.parse_text(frame, "text", AS_OF, is_transfer_list=lambda t: F.contains(t, F.lit("list")), transfer_rows=fixed).where("i >= 4").orderBy("i", "pos").collect()
+    assert [(r.i, r.ok, r.amountSantim) for r in rows] == [(4, True, 700), (5, False, None), (5, False, None)]
+
+
+def test_insertion_gives_ids_and_survives_a_failed_write(spark, tmp_path):
+    ledger = store.Ledger(spark, f"file://{tmp_path}/l")
+    parsed = sms.parse_text(spark.createDataFrame([(0, SHOT), (1, "CBE debited ETB 4.00\nCBE debited ETB 4.00"), (2, "x")], "i int, text string"), "text", AS_OF)
+    rows = store.from_parsed(parsed, AS_OF).withColumn("seq", F.col("i") * 10 + F.col("pos"))
+    assert ledger.add_deduped(rows, now=AS_OF) == (3, 1)
+    got = ledger.transactions().collect()
+    assert len({r.id for r in got}) == 3 and all(r.id and r.createdAt == AS_OF for r in got)
+    ledger.add(rows.limit(1).drop("seq"))
+    ledger.add(store.from_form(spark.createDataFrame([("5", "p", "", "", "2026-01-05T13:05", "out", "CBE")], "amount string, party string, reference string, note string, date string, type string, channel string"), "Africa/Addis_Ababa"))
+    typed = ledger.transactions().where("party = 'p'").first()
+    assert (typed.date, typed.type, typed.channel, typed.amountSantim) == ("2026-01-05T10:05:00.000Z", "out", "CBE", 500)
+    assert ledger.transactions().count() == 5 == ledger.transactions().select("id").distinct().count()
+    left = tmp_path / "l" / "transactions" / "a00000004"  # what a failed write leaves
+    left.mkdir()
+    (left / "part-0.parquet").write_bytes(b"half")
+    ledger.update(ledger.transactions().where("party = 'p'").withColumn("note", F.lit("changed")))
+    assert ledger.transactions().count() == 5 and ledger.transactions().where("note = 'changed'").count() == 1
+    assert ledger._versions("transactions")[-1] == "v00000005"
+
+
+def test_long_texts_are_parsed_in_time(spark):
+    import time
+
+    filler = "telebirr CBE Awash account notice paid received credited debited " * 1600
+    frame = spark.createDataFrame([(filler,), (filler + " ETB 5.00 from Abe B.",)], "text string").repartition(2)
+    sms.parse_many(frame.limit(0), "text", AS_OF).collect()
+    began = time.perf_counter()
+    rows = sms.parse_many(frame, "text", AS_OF).collect()
+    assert sorted((r.ok, r.amountSantim) for r in rows) == [(False, None), (True, 500)] and time.perf_counter() - began < 20
