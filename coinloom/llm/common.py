@@ -101,6 +101,8 @@ def join_by_count(rows: DataFrame, unique: DataFrame, keys: list[str], how: str
     there can't be `share` of them. The others are shuffled.
     """
     most = max(rows.count() // share, 1)
+    if unique.where(F.col("n") > most).isEmpty():
+        return rows.join(unique, keys, how)
     hot = F.broadcast(unique.where(F.col("n") > most))
     rest = rows.join(hot.select(*keys), keys, "left_anti").join(unique.where(F.col("n") <= most), keys, how)
     return rows.join(hot, keys, how).unionByName(rest)
