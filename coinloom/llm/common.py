@@ -94,7 +94,7 @@ def rows_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 8 << 20) ->
             yield batch.slice(at, step)
 
 
-def join_by_count(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", share: int = 500) -> DataFrame:
+def join_by_count(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", share: int = 50) -> DataFrame:
     """rows joined by keys to `unique`, which has one row a key and in `n` the key's number of rows.
 
     Keys with over one in `share` of all rows are broadcast, so that none of them is a task's;
