@@ -182,10 +182,10 @@ def _has_close(word: np.ndarray, most: int) -> np.ndarray:
 
 
 def close(batches: Iterator[pa.RecordBatch], most: int, cap: int, cuts_left: bool) -> Iterator[pa.RecordBatch]:
-    """Rows whose word is close to another of their bucket, and all rows of full buckets, marked `full`, while they can be cut."""
+    """Rows whose word is close to another of their bucket, and all rows of full buckets, marked `full` while they can be cut."""
     for rows, piece in in_buckets(batches, cap):
-        if piece and cuts_left:
-            keep = full = np.ones(rows.num_rows, bool)
+        if piece:
+            keep, full = np.ones(rows.num_rows, bool), np.full(rows.num_rows, cuts_left)
         else:
             key, word = rows.column(0).to_numpy(), rows.column(2).to_numpy().view(np.uint64)
             keep, full = np.zeros(len(key), bool), np.zeros(len(key), bool)
@@ -230,8 +230,7 @@ def stars(batches: Iterator[pa.RecordBatch], most: int, cap: int) -> Iterator[pa
             u.append(ids[a:b][moved])
             v.append(ids[label[moved]])
             if piece:
-                some = np.flatnonzero(~moved)[:cap]
-                lent = key[0], ids[some], words[some]
+                lent = key[0], ids[~moved], words[~moved]
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
