@@ -104,13 +104,15 @@ def extend(docs: DataFrame, ranges: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_batches(batches):
+            starts, hashes = [], []
             for i, text in enumerate(text_bytes(batch.column(2))):
                 words = WordHashes(text)
                 a, b = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
                 first = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(a, b)]))
-                content = words.runs(first, first + min_words).view(np.int64)
-                owner = pa.array(np.full(len(first), i))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(first), pa.array(content)], ["id", "h", "first", "content"])
+                starts.append(first)
+                hashes.append(words.runs(first, first + min_words).view(np.int64))
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in starts]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.concatenate(starts)), pa.array(np.concatenate(hashes))], ["id", "h", "first", "content"])
 
     texts = maybe_in(docs.select("id", "h", "text"), listed, _DOC).join(listed, list(_DOC))
     return texts.select("id", "h", "text", "a", "b").mapInArrow(run, f"id {kind}, h long, first long, content long")
