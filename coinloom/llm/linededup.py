@@ -135,6 +135,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     differing = join_by_count(earliest.drop("n"), materialize(several, "differing"), ["print"], "left_semi")
     ranges = differing.select("origin.id", "origin.h", "origin.first", (F.col("origin.first") + F.col("more")).alias("last"))
     windows = materialize(extend(docs, ranges, min_words), "windows")
+    twice = materialize(windows.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content"), "twice")
+    windows = materialize(maybe_in(windows, twice, ("content",)), "repeated")
     borders = _later(windows, ["content"], materialize(windows.groupBy("content").agg(F.count("*").alias("n"), origin), "borders"))
     return whole.unionByName(borders.select(*_DOC, "first", (F.col("first") + min_words).alias("end")))
 
