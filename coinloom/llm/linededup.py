@@ -171,8 +171,8 @@ def drop_repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """All rows and columns of df, texts without the later copies of repeated runs, `__deleted_words` and `__deleted_lines`."""
     row_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     docs = df.where(row_id.isNotNull() & text.isNotNull()).select(row_id.alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    places = repeated_runs(docs, min_words).groupBy(*_DOC, "first").agg(F.max("end").alias("end"))
-    cuts = places.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_list("first").alias("__first"), F.collect_list("end").alias("__end"))
+    runs = repeated_runs(docs, min_words).groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set(F.struct("first", "end")).alias("__runs"))
+    cuts = runs.select("__id", "__h", F.col("__runs.first").alias("__first"), F.col("__runs.end").alias("__end"))
     joined = df.join(cuts, (row_id == F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left").drop("__id", "__h")
     names, at, n = df.columns, df.columns.index(text_col), len(df.columns)
 
