@@ -29,6 +29,7 @@ occurrence. Other columns pass through; internal names begin with two underscore
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +41,25 @@ from pyspark.sql import types as T
 from .common import join_by_count, materialize, maybe_in, rows_batches, text_bytes
 
 MIN_WORDS = 50
+#: Bytes of text winnowed at a time; a longer text stands alone.
+WINNOWED = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _DOC = ("id", "h")
 
 
 class WordHashes:
-    """Prefix sums over a text's word hashes, from which any run's hash follows."""
+    """Prefix sums over the word hashes of texts laid end to end, from which any run's hash follows."""
 
     powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def __init__(self, text: bytes):
-        words = text.split()
-        self.n = len(words)
+    def __init__(self, *texts: bytes):
+        words = [t.split() for t in texts]
+        self.counts = np.array([len(w) for w in words], np.int64)
+        self.n = int(self.counts.sum())
         if len(self.powers[0]) <= self.n:
             WordHashes.powers = tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(2 * self.n, b, np.uint64)))) for b in (_BASE, _BACK))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, self.n)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, self.n)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * self.powers[0][: self.n])))
 
     def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -64,11 +68,11 @@ class WordHashes:
         return x ^ (x >> np.uint64(29))
 
 
-def spans(text: bytes, min_words: int = MIN_WORDS) -> np.ndarray:
-    """(first window, last window, fingerprint, content hash) of each selected minimum; windows are numbered by their first word."""
-    words = WordHashes(text)
+def spans(texts: list[bytes], min_words: int = MIN_WORDS) -> np.ndarray:
+    """(text, first window, last window, fingerprint, content hash) of each selected minimum; windows are numbered by their first word."""
+    words = WordHashes(*texts)
     if words.n < min_words:
-        return np.zeros((0, 4), np.int64)
+        return np.zeros((0, 5), np.int64)
     k = max(1, min_words // 5)
     at = np.arange(words.n - k + 1)
     grams = words.runs(at, at + k)
@@ -76,10 +80,19 @@ def spans(text: bytes, min_words: int = MIN_WORDS) -> np.ndarray:
     while width < reach:
         step = min(width, reach - width)
         least, width = np.minimum(least[:-step], least[step:]), width + step
-    new = (least[1:] != least[:-1]) | (grams[: len(least) - 1] == least[:-1])
-    first = np.concatenate(([0], np.flatnonzero(new) + 1))
-    last = np.concatenate((first[1:] - 1, [len(least) - 1]))
-    return np.stack([first, last, least[first].view(np.int64), words.runs(first, last + min_words).view(np.int64)], 1)
+    windows = len(least)
+    owner = np.repeat(np.arange(len(texts)), words.counts)[:windows]
+    ends = np.cumsum(words.counts)
+    across = at[:windows] + min_words > ends[owner]  # from one text into the next: no window of either
+    begins = across.copy()
+    begins[0] = True
+    begins[1:] |= (least[1:] != least[:-1]) | (grams[: windows - 1] == least[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(begins)
+    last = np.concatenate((first[1:], [windows])) - 1
+    first, last = first[~across[first]], last[~across[first]]
+    of = owner[first]
+    zero = (ends - words.counts)[of]
+    return np.stack([of, first - zero, last - zero, least[first].view(np.int64), words.runs(first, last + min_words).view(np.int64)], 1)
 
 
 def winnow(docs: DataFrame, min_words: int) -> DataFrame:
@@ -87,11 +100,10 @@ def winnow(docs: DataFrame, min_words: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_batches(batches):
-            found = [spans(t, min_words) for t in text_bytes(batch.column(2))]
-            rows = np.concatenate(found)
-            owner = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *(pa.array(rows[:, i].copy()) for i in range(4))], ["id", "h", "first", "last", "print", "content"])
+        for batch in rows_batches(batches, WINNOWED):
+            found = spans(text_bytes(batch.column(2)), min_words)
+            owner, *columns = (pa.array(found[:, i].copy()) for i in range(5))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *columns], ["id", "h", "first", "last", "print", "content"])
 
     return docs.select("id", "h", "text").mapInArrow(run, f"id {kind}, h long, first long, last long, print long, content long")
 
