@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import bpe, gam, langid, linededup, mixing, quality_rules, sharding, simhash, topk, warc
+from . import alignment, bpe, divergence, gam, langid, linededup, mixing, packing, quality_rules, sharding, simhash, topk, warc
 from .common import crc_mod, scratch_path, table
 
 SHARDS = 24
+SEQUENCE_TOKENS, END_ID = 4096, 1
 
 
 def vocabulary_file(name: str) -> str:
@@ -53,6 +59,44 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(quality_rules.measure(docs, model))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_pair() -> tuple[str, bytes]:
+    with open(vocabulary_file("piece_bpe_32k.model"), "rb") as f:
+        return tokenizer_json(vocabulary_file("byte_bpe_50k.json")), f.read()
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = tokenizer_pair()
+    aligned = alignment.align(table(spark, sf_dir, "documents"), *pair)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    rows = aligned.select("doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "links", digest)
+    return alignment.with_counts(rows, *pair)
+
+
+def with_ids_crc32(df: DataFrame) -> DataFrame:
+    """df with `ids_crc32`, of the token ids as little-endian unsigned 32-bit numbers, in the place of `token_ids`."""
+    names = [c for c in df.columns if c != "token_ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(len(names))
+            data = memoryview(ids.values.to_numpy().astype("<i4", copy=False)).cast("B")
+            ends = ids.offsets.to_numpy() * 4
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(crc, pa.int64())], [*names, "ids_crc32"])
+
+    df = df.select(*names, "token_ids")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], T.StructField("ids_crc32", T.LongType())]))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.encode_pieces(table(spark, sf_dir, "documents"), tokenizer_json(), SEQUENCE_TOKENS, END_ID)
+    return packing.pack(with_ids_crc32(pieces), SEQUENCE_TOKENS)
+
+
 def learn_languages(docs: DataFrame) -> list:
     return langid.train(docs.where(crc_mod("doc_id", 4) != 2), langid.vocabulary_pieces(vocabulary_file("piece_bpe_32k.model")))
 
@@ -87,7 +131,7 @@ def op10_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_topk, op3_sharding, op4_simhash, op5_quality_rules, op6_langid, op7_line_dedup, op8_mixing, op9_warc, op10_gam)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_topk, op3_sharding, op4_simhash, op5_quality_rules, op6_langid, op7_line_dedup, op8_mixing, op9_warc, op10_gam, op11_divergence, op12_alignment, op13_packing)}
 
 ORACLES = {
     "op2_topk": """
@@ -120,4 +164,22 @@ ORACLES = {
                CASE WHEN strlen(h) >= 1000 AND n > 1 AND page_id IS DISTINCT FROM kept AND kept IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN strlen(h) >= 1000 AND n > 1 AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
         FROM g""",
+    "op11_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+             o AS (SELECT r, lang, source, unnest(t) AS term FROM d),
+             kept AS (SELECT lang, term, count(*) AS all_n FROM o GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+             langs AS (SELECT lang, count(*) AS v, sum(all_n) AS lang_n FROM kept GROUP BY 1),
+             n AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+             g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(lang_n, 0) AS lang_n, coalesce(source_n, 0) AS source_n
+                   FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN langs USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS source_n FROM n GROUP BY 1, 2) USING (lang, source)),
+             p AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 2)) // (g.source_n + 2 * g.v) AS p,
+                          1 + (1000000000::HUGEINT * (k.all_n + 2)) // (g.lang_n + 2 * g.v) AS q
+                   FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+             pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+                       FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+             every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+                       FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+                       UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every QUALIFY part = 'pair' OR rank <= 10""",
 }
