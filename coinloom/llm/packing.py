@@ -14,13 +14,15 @@ Columns named like results are left out.
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 from typing import NamedTuple
 
 import numpy as np
@@ -29,28 +31,113 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import encode_texts
+from .bpe import byte_alphabet
 from .common import materialize, rows_batches, text_bytes
 
 BATCH_BYTES = 2 << 20
+#: Characters in one call of the tokenizer.
+STEP_CHARS = 1 << 18
+#: Words and ids that a worker keeps.
+CACHE_WORDS, CACHE_IDS = 500_000, 4_000_000
+
+
+#: Characters that normalisation leaves alone whatever stands beside them, and that a lower-case letter, or none, stands for: ASCII, Latin (but dotted I), Cyrillic and dashes, quotes and bullets.
+_SETTLED = re.compile("[\x00-\x7f\xa1-įı-ſЀ-ҁҊ-ԯ‐-‧‰-‴]*")
+#: Letters, digits and white space among these, lower case.
+_LETTERS, _DIGITS, _BLANKS = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſЀ-ҁҊ-ԯ", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\x0b\x0c\r"
 
 
 class LibraryModel:
-    """The tokenizers library over chunks without white space, as BpeModel is without it."""
+    """The tokenizers library, one call for many distinct words.
+
+    Texts of settled characters are cut into words here, by the tokenizer's own pattern; the
+    words go to its merges as they are, a word's last token being the one that ends a word. A
+    worker keeps the tokens of words it has met. Other texts, and those with a special token,
+    go through the whole tokenizer.
+    """
 
     def __init__(self, file_text: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(file_text)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.store: dict[str, bytes] = {}
-
-    def encode_chunks(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        chunks = list(chunks)
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, np.int32).tobytes() for c, e in zip(chunks, found)}
+        spec = json.loads(file_text)
+        self.whole = _plain(Tokenizer.from_str(file_text))
+        bare = spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+        self.merges = _plain(Tokenizer.from_str(json.dumps(bare)))
+        names = spec["model"]["vocab"]
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        self.specials = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        for name, inside in ((r"\p{L}", _LETTERS), (r"\p{N}", _DIGITS), (r"\s", _BLANKS)):
+            split = split.replace(f"[{name}]", f"[{inside}]").replace(name, inside)
+        self.words = re.compile(split)
+        self.letters = byte_alphabet()
+        self._forget()
+
+    def _forget(self) -> None:
+        """No words: their numbers, where their ids begin, how many they are."""
+        self.number: dict[str, int] = {}
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts one after another, and how many each has."""
+        cut = [self._split(t) for t in texts]
+        used = set().union(*[x for x in cut if x is not None])
+        if len(self.number) + len(used) > CACHE_WORDS or len(self.ids) > CACHE_IDS:
+            self._forget()
+        self._learn([w for w in used if w not in self.number])
+        lone = [np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32) for t, x in zip(texts, cut) if x is None]
+        get = self.number.__getitem__
+        numbers = np.fromiter(chain.from_iterable([map(get, x) for x in cut if x is not None]), np.int64)
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        words = np.array([len(x) for x in cut if x is not None], np.int64)
+        found = np.append(0, ends)[np.cumsum(words)]
+        if not lone:
+            return ids, np.diff(found, prepend=0)
+        settled, others, parts = iter(np.split(ids, found[:-1]) if len(found) else ()), iter(lone), []
+        for x in cut:
+            parts.append(next(others) if x is None else next(settled))
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def _split(self, text: str) -> list[str] | None:
+        if not (text.isascii() or _SETTLED.fullmatch(text)) or "<" in text and self.specials.search(text):
+            return None
+        return self.words.findall(text.lower())
+
+    def _learn(self, words: list[str]) -> None:
+        letters = self.letters
+        for some in _steps(words):
+            spelt = [w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in some]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(spelt)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            starts = np.append(0, ends[:-1])
+            self.number.update(zip(some, range(len(self.starts), len(self.starts) + len(some))))
+            self.starts = np.append(self.starts, starts + len(self.ids))
+            self.sizes = np.append(self.sizes, ends - starts)
+            self.ids = np.append(self.ids, ids)
+
+
+def _plain(tokenizer):
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def _steps(items: list[str]) -> Iterator[list[str]]:
+    """The items in lists of some ten thousands, long ones in shorter lists."""
+    step, size = [], 0
+    for x in items:
+        step.append(x)
+        size += len(x) + 1
+        if size > STEP_CHARS:
+            yield step
+            step, size = [], 0
+    if step:
+        yield step
 
 
 @lru_cache(maxsize=4)
@@ -63,23 +150,21 @@ def encode_pieces(df: DataFrame, tokenizer_json: str, capacity: int, end_id: int
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_json)
     made = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
     names = [*keep, *[f.name for f in made]]
-    end = np.array([end_id], np.int32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = library_model(spec.value)
         for batch in rows_batches(batches, BATCH_BYTES):
             texts = [b.decode("utf-8", "replace") for b in text_bytes(batch.column(batch.num_columns - 1))]
-            ids = [x + end for x in encode_texts(model, texts, model.store)]
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            ids, sizes = model.encode(texts)
+            ids = np.insert(ids, np.cumsum(sizes), end_id)
+            sizes = sizes + 1
             pieces = -(-sizes // capacity)
-            row = np.repeat(np.arange(len(ids)), pieces)
+            row = np.repeat(np.arange(len(sizes)), pieces)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start = piece * capacity
             length = np.minimum(sizes[row] - start, capacity)
-            offsets = np.zeros(len(row) + 1, np.int64)
-            np.cumsum(length, out=offsets[1:])
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-            cut = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+            offsets = np.append(0, np.cumsum(length))
+            cut = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32, copy=False)))
             kept = [c.take(pa.array(row)) for c in batch.columns[:-1]]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), cut], names)
 

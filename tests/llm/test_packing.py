@@ -112,6 +112,28 @@ def rows_by_hand(texts, capacity):
     return out
 
 
+def test_words_are_the_librarys(monkeypatch):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_str(tokenizer_json())
+    rng = random.Random(4)
+    settled = [chr(c) for c in range(0x530) if packing._SETTLED.fullmatch(chr(c))] + [chr(c) for c in range(0x2010, 0x2035)]
+    letters = [*"abzAZ09.,'<|>$_-\x7f\x00\x1c\x1f\x0b\xad\xaa\xb2\xbd\xd7\xf7éñÅßŸſЙёҐ–“ \n\t  ", "'s", "'LL", "ing", "tion", "123"]
+    odd = ["İ", "Σ", "日", "ก​", "຺", "é", "\xa0", "　", "<|endoftext|>", "<|startoftext|>", "Й"]
+    texts = ["".join(rng.choices(letters if i % 3 else letters + odd, k=rng.randint(0, 30))) for i in range(20_000)]
+    texts += ["".join(rng.choices(settled, k=12)) for _ in range(20_000)] + [f"a{c}B{c} {c}9{c}" for c in settled] + ["x" * 200_000, "é" * 100_000, "~" * 70_000, ""]
+    model = packing.LibraryModel(tokenizer_json())
+    want = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    for most in (500_000, 300):
+        monkeypatch.setattr(packing, "CACHE_WORDS", most)
+        for at in range(0, len(texts), 997):
+            ids, sizes = model.encode(texts[at : at + 997])
+            for text, got, ids_of in zip(texts[at:], np.split(ids, np.cumsum(sizes)[:-1]), want[at:]):
+                assert got.tolist() == ids_of, ascii(text[:50])
+    ids, sizes = model.encode([])
+    assert len(ids) == len(sizes) == 0
+
+
 def check_places(rows, capacity):
     by_sequence = defaultdict(list)
     for r in rows:
