@@ -18,11 +18,13 @@ columns and the text are read, so others can't clash.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +36,27 @@ from .bpe import byte_alphabet
 from .common import materialize, rows_batches, text_bytes
 
 BATCH_BYTES = 1 << 20
-#: Chunks a worker keeps, and the longest it keeps.
-CACHE_CHUNKS, CACHE_CHARS = 200_000, 60
-#: Chunks given to the tokenizers at once.
-STEP_CHARS = 4 << 20
+#: Chunks a worker keeps.
+CACHE_CHUNKS = 400_000
+#: Characters given to the tokenizers at once.
+STEP_CHARS = 1 << 16
 SPACE = "\u2581"
 _CUT = re.compile(r"(?<=[^\s\u180e\u200b\ufeff])(?= +[^ ])")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
-#: groups as text, tokens of A, tokens of B, groups, linked pairs (by number); None where the bytes differ.
-Aligned = tuple[str, int, int, int, np.ndarray] | None
+
+class Step(NamedTuple):
+    """Aligned chunks: groups as text, and by chunk the numbers of A tokens, of B tokens and of groups; the linked pairs' numbers, one a group."""
+
+    groups: list[str]
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    links: np.ndarray
 
 
 class Aligner:
-    """The tokenizers, their tokens' bytes, and the numbers of the pairs that can be linked."""
+    """The tokenizers, their tokens' bytes, the numbers of the pairs that can be linked, and the chunks met so far."""
 
     def __init__(self, file_text: str, model: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -66,8 +75,11 @@ class Aligner:
             self.a_bytes[i] = bytes(to_byte[c] for c in name) if all(c in to_byte for c in name) else name.encode()
         self.b_bytes = [self._piece_bytes(i) for i in range(self.b.get_piece_size())]
         self.pairs = possible_pairs(self.a_bytes, self.b_bytes)
-        self.number = {pair: i for i, pair in enumerate(self.pairs)}
-        self.store: dict[str, Aligned] = {}
+        self.keys = np.array([a << 32 | b for a, b in self.pairs], np.int64)
+        self.written_a = Written(len(self.a_bytes), (",", "|"))
+        self.written_b = Written(len(self.b_bytes), (",", ";", ""))
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes))
+        self._forget()
 
     def _piece_bytes(self, i: int) -> bytes:
         name = self.b.id_to_piece(i)
@@ -75,65 +87,128 @@ class Aligner:
             return b""
         return bytes([int(_BYTE.fullmatch(name)[1], 16)]) if self.b.is_byte(i) else name.replace(SPACE, " ").encode()
 
-    def align(self, texts: list[str]) -> list[list[Aligned]]:
-        """The chunks of each text; one of length 0 has none."""
+    def _forget(self) -> None:
+        """No chunks: their numbers, groups, numbers of tokens and groups, and where their links begin."""
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.n_a, self.n_b, self.n_groups, self.first = (np.zeros(0, np.int64) for _ in range(4))
+        self.links = np.zeros(0, np.int32)
+
+    def align(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, list[str]]:
+        """By text the numbers of A tokens, B tokens and groups, then all links one after another, and the groups as text."""
         cut = [_CUT.split(" " + t) if t else [] for t in texts]
         used = set().union(*cut)
-        store = self.store
-        new = [c for c in used if c not in store]
-        if len(store) + len(new) > CACHE_CHUNKS:
-            for chunk in store.keys() - used:
-                del store[chunk]
-        found = {}
-        step, size = [], 0
-        for chunk in new:
-            step.append(chunk)
-            size += len(chunk)
-            if size > STEP_CHARS:
-                found.update(self._new(step))
-                step, size = [], 0
-        found.update(self._new(step))
-        store.update((c, x) for c, x in found.items() if len(c) <= CACHE_CHARS)
-        return [[found[c] if c in found else store[c] for c in chunks] for chunks in cut]
-
-    def _new(self, chunks: list[str]) -> Iterator[tuple[str, Aligned]]:
-        if not chunks:
-            return
-        coded = self.a.encode_batch(chunks, add_special_tokens=False)
-        # B puts the space before a text itself
-        spans = self.b.encode([c[1:] for c in chunks], return_type="proto", num_threads=1)
-        for chunk, x, y in zip(chunks, coded, spans):
-            yield chunk, self._chunk(chunk, x.ids, x.offsets, [(p.id, p.begin, p.end) for p in y.pieces])
-
-    def _chunk(self, chunk: str, a: list[int], a_spans: list[tuple[int, int]], pieces: list[tuple[int, int, int]]) -> Aligned:
-        data = chunk.encode()
-        b = [p[0] for p in pieces]
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        if b"".join([a_bytes[i] for i in a]) != data or b"".join([b_bytes[i] for i in b]) != data:
-            return None
-        if len(a) == 1 and len(b) == 1:
-            return f"{a[0]}|{b[0]}", 1, 1, 1, np.array([self.number[a[0], b[0]]], np.int32)
-        # places where a token's span ends and the next doesn't begin earlier, with the tokens up to there
-        place = list(accumulate((len(c.encode()) for c in chunk), initial=0)) if len(data) > len(chunk) else range(len(data) + 1)
-        a_ends = {place[end]: i for i, (end, after) in enumerate(zip((s[1] for s in a_spans), chain((s[0] for s in a_spans[1:]), (len(chunk),))), 1) if after >= end}
-        b_ends = {end + 1: i for i, (_, begin, end) in enumerate(pieces, 1) if begin < end or i == 1}
-        groups, links = [], []
-        i = j = at = 0
-        for cut in sorted(a_ends.keys() & b_ends.keys()):
-            k, m = a_ends[cut], b_ends[cut]
-            if k - i > 1 and m - j > 1 and cut - at > 1 and not data[at:cut].isascii():
-                inside_a = list(accumulate(map(len, (a_bytes[x] for x in a[i:k])), initial=at))
-                inside_b = list(accumulate(map(len, (b_bytes[x] for x in b[j:m])), initial=at))
-                finer = dict(zip(inside_b[1:-1], range(j + 1, m)))
-                for end, k2 in zip(inside_a[1:-1], range(i + 1, k)):
-                    if end in finer:
-                        groups.append((a[i:k2], b[j : finer[end]]))
-                        i, j = k2, finer[end]
-            groups.append((a[i:k], b[j:m]))
-            i, j, at = k, m, cut
-        number = self.number
-        links = np.array([number[x[-1], y[-1]] for x, y in groups], np.int32)
-        return ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]), len(a), len(b), len(groups), links
+        if len(self.number) + len(used) > CACHE_CHUNKS:
+            self._forget()
+        self._learn([c for c in used if c not in self.number])
+        lengths = np.array([len(x) for x in cut], np.int64)
+        numbers = np.fromiter(chain.from_iterable([map(self.number.__getitem__, x) for x in cut]), np.int64)
+        owner = np.repeat(np.arange(len(cut)), lengths)
+        # a text with a chunk that its tokens don't spell has no tokens
+        bad = np.bincount(owner[self.n_a[numbers] == 0], minlength=len(cut)) > 0
+        numbers = numbers[~bad[owner]]
+        lengths = np.where(bad, 0, lengths)
+        bounds = np.append(0, np.cumsum(lengths))
+        total = lambda x: np.diff(np.append(0, np.cumsum(x[numbers]))[bounds])
+        sizes = self.n_groups[numbers]
+        ends = np.cumsum(sizes)
+        links = self.links[np.repeat(self.first[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        written = [self.groups[n] for n in numbers.tolist()]
+        groups = [";".join(written[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+        return [total(x) for x in (self.n_a, self.n_b, self.n_groups)], links, groups
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Chunks one after another are tokenized as each alone, but for spaces at an end, which would join those of the next."""
+        spelt = [c for c in chunks if SPACE not in c and c[-1] != " "]
+        steps = chain(_steps(spelt), ([c] for c in chunks if SPACE not in c and c[-1] == " "))
+        found = [(some, self._step(some)) for some in steps]
+        none = [c for c in chunks if SPACE in c]  # B reads the sign as a space
+        found.append((none, self._none(len(none))))
+        order = list(chain.from_iterable(some for some, _ in found))
+        parts = [step for _, step in found]
+        self.number.update(zip(order, range(len(self.groups), len(self.groups) + len(order))))
+        self.groups += chain.from_iterable(step.groups for step in parts)
+        n_groups = np.concatenate([step.n_groups for step in parts])
+        self.first = np.append(self.first, len(self.links) + np.cumsum(n_groups) - n_groups)
+        self.n_groups = np.append(self.n_groups, n_groups)
+        self.n_a = np.concatenate([self.n_a, *[step.n_a for step in parts]])
+        self.n_b = np.concatenate([self.n_b, *[step.n_b for step in parts]])
+        self.links = np.concatenate([self.links, *[step.links for step in parts]])
+
+    def _none(self, n: int) -> Step:
+        zero = np.zeros(n, np.int64)
+        return Step([""] * n, zero, zero, zero, np.zeros(0, np.int32))
+
+    def _step(self, chunks: list[str]) -> Step:
+        text = "".join(chunks)
+        data = text.encode()
+        coded = self.a.encode(text, add_special_tokens=False)
+        spans = self.b.encode(text[1:], return_type="offset_mapping")  # B puts the space before a text itself
+        a, b = np.array(coded.ids, np.int64), np.array(spans["ids"], np.int64)
+        if b"".join([self.a_bytes[i] for i in coded.ids]) != data or b"".join([self.b_bytes[i] for i in spans["ids"]]) != data:
+            if len(chunks) == 1:
+                return self._none(1)
+            half = len(chunks) // 2
+            first, second = self._step(chunks[:half]), self._step(chunks[half:])
+            return Step(first.groups + second.groups, *[np.concatenate(x) for x in list(zip(first, second))[1:]])
+        a_spans, b_spans = (np.fromiter(chain.from_iterable(x), np.int64).reshape(-1, 2) for x in (coded.offsets, spans["offsets"]))
+        b_spans += 1
+        b_spans[0, 0] = 0
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        octets = np.frombuffer(data, np.uint8)
+        place = np.append(np.flatnonzero(octets & 0xC0 != 0x80), len(octets))
+        cuts = self._cuts(a_spans, b_spans, ends_a, ends_b, place)
+        upto_a, upto_b = np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1  # tokens up to each cut
+        each_a, each_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        last = np.searchsorted(cuts, place[np.cumsum([len(c) for c in chunks])])  # each chunk's last group
+        sign_a, sign_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        sign_a[upto_a - 1] = 1
+        sign_b[upto_b - 1] = 1
+        sign_b[upto_b[last] - 1] = 2
+        at_a, at_b = np.arange(len(a)) + np.repeat(upto_b - each_b, each_a), np.arange(len(b)) + np.repeat(upto_a, each_b)
+        parts, lengths = np.empty(len(a) + len(b), object), np.zeros(len(a) + len(b), np.int64)
+        for at, ids, sign, written in ((at_a, a, sign_a, self.written_a), (at_b, b, sign_b, self.written_b)):
+            parts[at] = written.text[sign, ids]
+            lengths[at] = written.length[sign, ids]
+        whole, ends = "".join(parts.tolist()), np.cumsum(lengths)[upto_a[last] + upto_b[last] - 1].tolist()
+        groups = [whole[i:j] for i, j in zip([0, *ends], ends)]
+        links = np.searchsorted(self.keys, a[upto_a - 1] << 32 | b[upto_b - 1]).astype(np.int32)
+        return Step(groups, np.diff(upto_a[last], prepend=0), np.diff(upto_b[last], prepend=0), np.diff(last, prepend=-1), links)
+
+    def _cuts(self, a_spans: np.ndarray, b_spans: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Byte places where tokens of both end; spans are in characters, `place` has each character's first byte."""
+        # a token of A ends at a character's end if the next doesn't begin before it; B's tokens do, but for those of an empty span
+        done_a = np.append(a_spans[1:, 0], len(place) - 1) >= a_spans[:, 1]
+        done_b = b_spans[:, 0] < b_spans[:, 1]
+        coarse = np.intersect1d(a_spans[done_a, 1], b_spans[done_b, 1], assume_unique=True)
+        cuts = place[coarse]
+        upto_a, upto_b = np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1
+        each_a, each_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        # ends inside a character: only where both have several tokens and a character has several bytes
+        fine = (each_a > 1) & (each_b > 1) & (np.diff(cuts, prepend=0) > np.diff(coarse, prepend=0))
+        if not fine.any():
+            return cuts
+        return np.union1d(cuts, np.intersect1d(ends_a[np.repeat(fine, each_a)], ends_b[np.repeat(fine, each_b)], assume_unique=True))
+
+
+class Written:
+    """Ids as text, each with each sign after it, and the lengths."""
+
+    def __init__(self, n: int, signs: tuple[str, ...]):
+        self.text = np.array([[f"{i}{sign}" for i in range(n)] for sign in signs], object)
+        self.length = np.array([[len(x) for x in row] for row in self.text], np.int64)
+
+
+def _steps(chunks: list[str]) -> Iterator[list[str]]:
+    step, size = [], 0
+    for chunk in chunks:
+        step.append(chunk)
+        size += len(chunk)
+        if size > STEP_CHARS:
+            yield step
+            step, size = [], 0
+    if step:
+        yield step
 
 
 def possible_pairs(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
@@ -164,17 +239,17 @@ def align(df: DataFrame, file_text: str, model: bytes, text_col: str = "text", k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = load_aligner(*shared.value)
-        none = np.zeros(0, np.int32)
-        for batch in rows_batches(batches, BATCH_BYTES):
-            texts = [b.decode("utf-8", "replace") for b in text_bytes(batch.column(batch.num_columns - 1))]
-            found = [chunks if all(chunks) else [] for chunks in aligner.align(texts)]
-            totals = [pa.array([sum([c[k] for c in chunks]) for chunks in found], pa.int64()) for k in (1, 2, 3)]
-            links = [np.concatenate([c[4] for c in chunks]) if chunks else none for chunks in found]
-            offsets = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(x) for x in links], out=offsets[1:])
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(links)))
-            groups = pa.array([";".join([c[0] for c in chunks]) for chunks in found], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *totals, listed, groups], names)
+        collects = gc.isenabled()
+        gc.disable()  # lists of spans have no cycles
+        try:
+            for batch in rows_batches(batches, BATCH_BYTES):
+                texts = [b.decode("utf-8", "replace") for b in text_bytes(batch.column(batch.num_columns - 1))]
+                totals, links, groups = aligner.align(texts)
+                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(totals[2])), pa.int32()), pa.array(links))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, totals), listed, pa.array(groups, pa.string())], names)
+        finally:
+            if collects:
+                gc.enable()
 
     df = df.select(*keep, F.col(text_col).alias("__text"))
     return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], *made]))

@@ -69,9 +69,9 @@ def test_chunks_that_are_not_kept(spark, monkeypatch):
     monkeypatch.setattr(alignment, "STEP_CHARS", 50)
     aligner = alignment.Aligner(*tokenizer_pair())
     texts = random_texts(7, 200)
-    once = [aligner.align([t])[0] for t in texts]
-    whole = aligner.align(texts)
-    assert [[c and c[0] for c in x] for x in once] == [[c and c[0] for c in x] for x in whole]
+    once = [aligner.align([t])[2][0] for t in texts]
+    assert aligner.align(texts)[2] == once
+    assert aligner.align([])[2] == []
 
 
 def test_possible_pairs():
