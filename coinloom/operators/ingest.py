@@ -1,98 +1,255 @@
-"""Ingest with time-windowed duplicate suppression, upsert and deletion by id."""
+"""Ingest with time-windowed duplicate suppression, upsert and deletion by id.
+
+Rows of one type, amount, party (any case) and channel no more than a window apart refuse each
+other; the first in order is taken and refused rows refuse nothing. Two rows of one bucket of
+the window's width always refuse each other, so of the rows there already each bucket's first
+and last time says all. The rest falls into islands, runs without a longer gap. An island goes
+through one task in order; a long one whose order is that of time, forwards or backwards, is
+cut into segments, in which each row has at most one next row, and the segments' ways through
+are joined by doubling.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import DAY_MS
-from .findings import KEY, with_key, with_previous
+from ..sources.scratch import scratch
+from .findings import KEY, with_key
 
 WINDOW_MS = 600_000
+#: Rows of an island that one task takes, if it can be cut.
+LONG_ISLAND = 100_000
+#: Windows in a segment.
+SEGMENT_WINDOWS = 144
+
+
+def _bucket(ms: Column, within_ms: int) -> Column:
+    return F.floor(ms / max(within_ms, 1)).cast("long")
+
+
+def _same(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> list[Column]:
+    return [a[c].eqNullSafe(b[c]) for c in columns]
+
+
+def _free_of(rows: DataFrame, old: DataFrame, within_ms: int) -> DataFrame:
+    """The rows that none of `old` refuses. One row a key and bucket says whether the bucket, or an end of its neighbours, is taken."""
+    spans = old.where("__ms IS NOT NULL").groupBy(*KEY, _bucket(F.col("__ms"), within_ms).alias("__at")).agg(F.min("__ms").alias("lo"), F.max("__ms").alias("hi"))
+    sides = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), (F.col("__at") + d).alias("b")) for d in (-1, 0, 1)])).alias("side")
+    on = lambda d, c: F.max(F.when(F.col("side.d") == d, F.col(c)))
+    near = spans.select(*KEY, sides, "lo", "hi").groupBy(*KEY, F.col("side.b").alias("__near")).agg(on(0, "lo").alias("__own"), on(1, "hi").alias("__before"), on(-1, "lo").alias("__after"))
+    rows = rows.withColumn("__at", _bucket(F.col("__ms"), within_ms))
+    joined = rows.join(near, [*_same(rows, near, KEY), rows["__at"] == near["__near"]], "left")
+    clash = F.col("__own").isNotNull() | (F.col("__ms") - F.col("__before") <= within_ms) | (F.col("__after") - F.col("__ms") <= within_ms)
+    return joined.where(~F.coalesce(clash, F.lit(False))).select(rows["*"]).drop("__at")
 
 
 def _islands(rows: DataFrame, within_ms: int) -> DataFrame:
     """`__island`, the time at which the row's run of rows without a longer gap began, among its key.
 
-    A running maximum of run starts in two levels, inside days and over days, so that one
-    key with many rows is many tasks.
+    The gap before a row is one to a row of its bucket or the one before. A running maximum of
+    run starts in two levels, inside days and over days, so that one key is many tasks.
     """
-    near = with_previous(rows, KEY, within_ms, ()).select("__row").withColumn("__near", F.lit(True))
-    rows = rows.join(near, "__row", "left").withColumn("__start", F.when(F.col("__near").isNull(), F.col("__ms")))
+    own = _bucket(F.col("__ms"), within_ms)
+    dealt = rows.withColumn("__bucket", F.explode(F.array(own, own + 1)))
+    line = Window.partitionBy(*KEY, "__bucket").orderBy("__ms")
+    gap = F.col("__ms") - F.lag("__ms").over(line)
+    rows = dealt.withColumn("__start", F.when(F.coalesce(gap > within_ms, F.lit(True)), F.col("__ms"))).where(own == F.col("__bucket")).drop("__bucket")
     rows = rows.withColumn("__day", F.floor(F.col("__ms") / DAY_MS))
     days = rows.groupBy(*KEY, "__day").agg(F.max("__start").alias("__day_start"))
     upto = Window.partitionBy(*KEY).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("__carried", F.max("__day_start").over(upto)).drop("__day_start")
-    same = [rows[c].eqNullSafe(days[c]) for c in (*KEY, "__day")]
-    rows = rows.join(days, same).select(rows["*"], days["__carried"])
-    inside = Window.partitionBy(*KEY, "__day").orderBy("__ms", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__island", F.coalesce(F.max("__start").over(inside), "__carried"))
-
-
-def _in_reach(old: DataFrame, rows: DataFrame, within_ms: int) -> DataFrame:
-    """Old rows whose key and time, to a bucket either way, some row of `rows` shares: no other can refuse one."""
-    bucket = F.floor(F.col("__ms") / max(within_ms, 1))
-    near = F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__near")
-    asked = rows.where("__ms is not null").select(*[F.col(c).alias(f"__asked_{c}") for c in KEY], near).distinct()
-    same = [F.col(c).eqNullSafe(F.col(f"__asked_{c}")) for c in KEY]
-    return old.withColumn("__bucket", bucket).join(asked, [*same, F.col("__bucket") == F.col("__near")], "left_semi").drop("__bucket")
+    rows = rows.join(days, _same(rows, days, (*KEY, "__day"))).select(rows["*"], days["__carried"])
+    inside = Window.partitionBy(*KEY, "__day").orderBy("__ms").rangeBetween(Window.unboundedPreceding, 0)
+    island = F.coalesce(F.max("__start").over(inside), F.col("__carried"))
+    return rows.withColumn("__island", island).drop("__start", "__day", "__carried")
 
 
 def accepted(batches: Iterator[pa.RecordBatch], within_ms: int) -> Iterator[pa.RecordBatch]:
     """`__row` of the rows that the greedy pass accepts; rows come island by island, in order.
 
-    Of an island only the first and last accepted time of each window-wide bucket are held:
-    a row meets three buckets, however long the island.
+    Of an island one accepted time of each window-wide bucket is held: a row meets three
+    buckets, however long the island.
     """
-    width, island, spans = max(within_ms, 1), None, {}
+    width, island, times = max(within_ms, 1), None, {}
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in (*KEY, "__island", "__seq", "__ms")]
         taken = []
-        for *group, seq, ms in zip(*columns):
+        for *group, ms in zip(*[batch.column(c).to_pylist() for c in (*KEY, "__island", "__ms")]):
             if group != island:
-                island, spans = group, {}
+                island, times = group, {}
             at = ms // width
-            before, after = spans.get(at - 1), spans.get(at + 1)
-            clash = at in spans or (before and ms - before[1] <= within_ms) or (after and after[0] - ms <= within_ms)
-            taken.append(seq < 0 or not clash)
-            if taken[-1]:
-                low, high = spans.get(at, (ms, ms))
-                spans[at] = min(low, ms), max(high, ms)
+            clash = at in times or ms - times.get(at - 1, ms - within_ms - 1) <= within_ms or times.get(at + 1, ms + within_ms + 1) - ms <= within_ms
+            if not clash:
+                times[at] = ms
+            taken.append(not clash)
         yield batch.select(["__row"]).filter(pa.array(taken, pa.bool_()))
 
 
-def dedupe(inputs: DataFrame, existing: DataFrame | None = None, within_ms: int = WINDOW_MS, order: str = "seq") -> DataFrame:
-    """Inputs with `kept`, in the order of column `order`.
+def _in_order(islands: DataFrame, within_ms: int) -> DataFrame:
+    """`__row` of what is accepted; islands are dealt out and each goes through a task in order."""
+    dealt = islands.repartition(*KEY, "__island").sortWithinPartitions(*KEY, "__island", "__seq")
+    plain = dealt.select(*KEY, "__island", "__ms", F.col("__seq.row").alias("__row"))
+    return plain.mapInArrow(lambda it: accepted(it, within_ms), "__row long")
+
+
+def _long_ordered(islands: DataFrame, within_ms: int, long_island: int) -> DataFrame:
+    """(key, `__island`, `__sign`) of islands of over long_island rows that come in the order of time (1) or against it (-1)."""
+    ids = [*KEY, "__island"]
+    segment = F.floor(F.col("__ms") / _segment_ms(within_ms))
+    # a time has one row here
+    before = F.lag("__seq").over(Window.partitionBy(*ids, "__segment").orderBy("__ms"))
+    rows = islands.withColumn("__segment", segment)
+    rows = rows.withColumn("__up", F.coalesce(before <= F.col("__seq"), F.lit(True))).withColumn("__down", F.coalesce(before >= F.col("__seq"), F.lit(True)))
+    segments = rows.groupBy(*ids, "__segment").agg(F.count("*").alias("n"), F.min("__seq").alias("lo"), F.max("__seq").alias("hi"), F.bool_and("__up").alias("up"), F.bool_and("__down").alias("down"))
+    order = Window.partitionBy(*ids).orderBy("__segment")
+    up = F.col("up") & F.coalesce(F.lag("hi").over(order) <= F.col("lo"), F.lit(True))
+    down = F.col("down") & F.coalesce(F.lag("lo").over(order) >= F.col("hi"), F.lit(True))
+    found = segments.withColumn("up", up).withColumn("down", down).groupBy(*ids).agg(F.sum("n").alias("n"), F.bool_and("up").alias("up"), F.bool_and("down").alias("down"))
+    return found.where((F.col("n") > long_island) & (F.col("up") | F.col("down"))).select(*ids, F.when(F.col("up"), 1).otherwise(-1).alias("__sign"))
+
+
+def _segment_ms(within_ms: int) -> int:
+    return max(within_ms, 1) * SEGMENT_WINDOWS
+
+
+def _way(times: np.ndarray, within_ms: int) -> np.ndarray:
+    """Of each sorted time the place of the first time beyond the window; their number where there is none."""
+    return np.searchsorted(times, times + within_ms, "right")
+
+
+def _through_segments(rows: DataFrame, within_ms: int) -> DataFrame:
+    """(key, `__island`, `__t`) of the accepted times of islands in the order of `__t`.
+
+    A segment's rows, with those of the next one in reach, say where a way that enters it
+    leaves it. Ways of 1, 2, 4... segments are joined until none is left; going back from the
+    longest, all entries that the island's first row leads to are marked.
+    """
+    ids, length = [*KEY, "__island"], _segment_ms(within_ms)
+    nodes = rows.select(*ids, "__t").distinct().withColumn("__segment", F.floor(F.col("__t") / length).cast("long"))
+    early = F.col("__t") - F.col("__segment") * length <= 2 * within_ms
+    both = F.when(early, F.array("__segment", F.col("__segment") - 1)).otherwise(F.array("__segment"))
+    dealt = nodes.select(*ids, "__t", F.explode(both).alias("__segment"))
+    key_fields = [rows.schema[c] for c in ids]
+    edge = T.StructType([*key_fields, T.StructField("__from", T.LongType()), T.StructField("__to", T.LongType())])
+
+    def leave(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(frame["__t"].to_numpy())
+        first, end = int(keys[-1]) * length, (int(keys[-1]) + 1) * length
+        own = int(np.searchsorted(times, end))
+        to = np.append(_way(times, within_ms), len(times))
+        to[own:] = np.arange(own, len(to))
+        while (to[to] != to).any():
+            to = to[to]
+        start = np.flatnonzero(times[:own] - first <= 2 * within_ms)
+        start = start[to[start] < len(times)]
+        return pd.DataFrame({**dict.fromkeys(ids), "__from": times[start], "__to": times[to[start]]}).assign(**dict(zip(ids, keys[:-1]))) if len(start) else pd.DataFrame(columns=edge.names)
+
+    ways = [scratch(dealt.groupBy(*ids, "__segment").applyInPandas(leave, edge), "ways")]
+    # an island begins anywhere in its first segment: its first row is followed from there
+    while not ways[-1].isEmpty():
+        a, b = ways[-1], ways[-1].select(*[F.col(c).alias(f"b_{c}") for c in ids], F.col("__from").alias("b_from"), F.col("__to").alias("b_to"))
+        joined = a.join(b, [*[a[c].eqNullSafe(b[f"b_{c}"]) for c in ids], a["__to"] == b["b_from"]])
+        ways.append(scratch(joined.select(*ids, "__from", F.col("b_to").alias("__to")), "ways"))
+    first = nodes.groupBy(*ids).agg(F.min("__t").alias("__t"))
+    begin = first.withColumn("__segment", F.floor(F.col("__t") / length).cast("long"))
+    reached = scratch(_leave_first(dealt, begin, ids, within_ms, length, edge), "reached").select(*ids, F.col("__to").alias("__t"))
+    for way in reversed(ways[:-1]):
+        on = reached.select(*[F.col(c).alias(f"r_{c}") for c in ids], F.col("__t").alias("r_t"))
+        further = way.join(on, [*[way[c].eqNullSafe(on[f"r_{c}"]) for c in ids], way["__from"] == on["r_t"]], "left_semi").select(*ids, F.col("__to").alias("__t"))
+        reached = scratch(reached.unionByName(further).distinct(), "reached")
+    starts = reached.unionByName(first).withColumn("__segment", F.floor(F.col("__t") / length).cast("long")).withColumn("__enters", F.lit(True))
+    inside = nodes.withColumn("__enters", F.lit(False)).unionByName(starts)
+    out = T.StructType([*key_fields, T.StructField("__t", T.LongType())])
+
+    def walk(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(frame.loc[~frame["__enters"], "__t"].to_numpy())
+        to, taken = _way(times, within_ms), []
+        at = int(np.searchsorted(times, frame.loc[frame["__enters"], "__t"].min())) if frame["__enters"].any() else len(times)
+        while at < len(times):
+            taken.append(times[at])
+            at = to[at]
+        return pd.DataFrame({**dict.fromkeys(ids), "__t": taken}).assign(**dict(zip(ids, keys[:-1]))) if taken else pd.DataFrame(columns=out.names)
+
+    return inside.groupBy(*ids, "__segment").applyInPandas(walk, out)
+
+
+def _leave_first(dealt: DataFrame, begin: DataFrame, ids: list[str], within_ms: int, length: int, edge: T.StructType) -> DataFrame:
+    """Where the way from each island's first row leaves its segment."""
+    b = begin.select(*[F.col(c).alias(f"b_{c}") for c in ids], F.col("__segment").alias("b_segment"))
+    rows = dealt.join(b, [*[dealt[c].eqNullSafe(b[f"b_{c}"]) for c in ids], dealt["__segment"] == b["b_segment"]], "left_semi")
+
+    def leave(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(frame["__t"].to_numpy())
+        own = int(np.searchsorted(times, (int(keys[-1]) + 1) * length))
+        to, at = _way(times, within_ms), 0
+        while at < own:
+            at = int(to[at])
+        return pd.DataFrame({**dict.fromkeys(ids), "__from": [times[0]], "__to": [times[at]]}).assign(**dict(zip(ids, keys[:-1]))) if at < len(times) else pd.DataFrame(columns=edge.names)
+
+    return rows.groupBy(*ids, "__segment").applyInPandas(leave, edge)
+
+
+def dedupe(inputs: DataFrame, existing: DataFrame | None = None, within_ms: int = WINDOW_MS, order: str | Sequence[str] = "seq", long_island: int = LONG_ISLAND) -> DataFrame:
+    """Inputs with `kept`, in the order of the column or columns `order`.
 
     A row is refused when an accepted or existing row of its type, amount, party (any case)
     and channel lies at most within_ms away; refused rows refuse nothing. Rows without a
-    valid date are accepted. Rows conflict only inside an island, so islands are dealt out
-    and the greedy pass reads each in order, as a stream.
+    valid date are accepted. Rows of one order value come in the order of their content, then
+    of their place; those without a value come last. Every row comes back once.
+
+    The inputs are written once, each with a number of its own. Of rows of one key and time
+    only the first can be accepted, so the others go no further.
     """
-    rows = with_key(inputs).withColumn("__row", F.concat(F.lit("n"), F.col(order).cast("string"))).withColumn("__seq", F.col(order).cast("long"))
-    need = ["id", *KEY, "__ms", "__row", "__seq"]
-    line = rows.select(*need)
+    names = [c for c in inputs.columns if c != "kept"]
+    columns = [F.col(f"`{c}`") for c in names]
+    orders = [order] if isinstance(order, str) else list(order)
+    rows = scratch(with_key(inputs.select(*columns)).withColumn("__row", F.monotonically_increasing_id()), "inputs")
+    values = [x.alias(f"{k}{i}") for i, c in enumerate(orders) for k, x in (("null", F.col(f"`{c}`").isNull()), ("value", F.col(f"`{c}`")))]
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in names if c not in ("id", "createdAt", *orders)])
+    nodes = rows.where("__ms IS NOT NULL").withColumn("__seq", F.struct(*values, content.alias("content"), F.col("__row").alias("row")))
+    nodes = nodes.groupBy(*KEY, "__ms").agg(F.min("__seq").alias("__seq"))
     if existing is not None:
-        old = with_key(existing).withColumn("__row", F.concat(F.lit("o"), "id")).withColumn("__seq", F.lit(-1).cast("long"))
-        line = line.unionByName(_in_reach(old.select(*need), rows, within_ms))
-    islands = _islands(line.where("__ms is not null"), within_ms)
-    dealt = islands.select(*KEY, "__island", "__seq", "__ms", "__row").repartition(*KEY, "__island").sortWithinPartitions(*KEY, "__island", "__seq", "__row")
-    kept = dealt.mapInArrow(lambda it: accepted(it, within_ms), "__row string").withColumn("__kept", F.lit(True))
-    marked = rows.join(kept, "__row", "left")
-    return marked.withColumn("kept", F.coalesce("__kept", F.lit(False)) | F.col("__ms").isNull()).drop("__row", "__seq", "__kept", "__party", "__ms")
+        nodes = _free_of(nodes, with_key(existing), within_ms)
+    taken = _taken(_islands(nodes, within_ms), rows.count(), within_ms, long_island).withColumn("__kept", F.lit(True))
+    kept = F.coalesce("__kept", F.lit(False)) | F.col("__ms").isNull()
+    return rows.join(taken, "__row", "left").select(*columns, kept.alias("kept"))
+
+
+def _taken(islands: DataFrame, most: int, within_ms: int, long_island: int) -> DataFrame:
+    """`__row` of all that is accepted; there are `most` rows at most."""
+    if most <= long_island:
+        return _in_order(islands, within_ms)
+    islands, ids = scratch(islands, "islands"), [*KEY, "__island"]
+    long = scratch(_long_ordered(islands, within_ms, long_island), "long")
+    if long.isEmpty():
+        return _in_order(islands, within_ms)
+    short = islands.join(long, _same(islands, long, ids), "left_anti")
+    cut = islands.join(long, _same(islands, long, ids)).select(islands["*"], (F.col("__ms") * F.col("__sign")).alias("__t"))
+    times = _through_segments(cut, within_ms)
+    found = cut.join(times, _same(cut, times, [*ids, "__t"])).select(cut["__seq.row"].alias("__row"))
+    return _in_order(short, within_ms).unionByName(found)
 
 
 def ingest_counts(marked: DataFrame) -> DataFrame:
     return marked.agg(F.count_if("kept").alias("inserted"), F.count_if(~F.col("kept")).alias("skipped"))
 
 
-def upsert(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """Old rows with new ones over them by id; of new rows with one id the last in `order` holds."""
+def last_by_id(rows: DataFrame, order: str) -> DataFrame:
+    """Of rows with one id the last in `order`; rows without an id stay all."""
     last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(order)))
-    latest = new.withColumn("__n", last).where("__n = 1").drop("__n", order)
+    return rows.where("id IS NOT NULL").withColumn("__n", last).where("__n = 1").drop("__n", order).unionByName(rows.where("id IS NULL").drop(order))
+
+
+def upsert(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """Old rows with new ones over them by id; of new rows with one id the last in `order` holds, those without an id are rows of their own."""
+    latest = last_by_id(new, order)
     return old.join(latest, "id", "left_anti").unionByName(latest, allowMissingColumns=True)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from ..operators import ingest, listing, ocr, sms
 from ..sources import store
 from ..sources.adapters import form_entries as entries
 from ..sources.adapters import messages, pasted, screenshots, transactions
+from ..sources.scratch import scratch_path
 
 #: 2024-01-31 and 2024-03-10, midnight UTC.
 AS_OF, AS_OF_CREDIT = 1_706_659_200_000, 1_710_028_800_000
@@ -274,20 +273,10 @@ def ignored_remove(spark, sf_dir):
     return rules.restore(ignored_ids(t), rules.aging_credits(t, AS_OF_CREDIT))
 
 
-def _scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; a temporary one only where that is unset and executors are local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("a cluster needs spark.checkpoint.dir, a folder its executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="coinloom-")
-    return f"{base.rstrip('/')}/coinloom/{tag}-{uuid.uuid4().hex}"
-
-
 @query(FINE + f"SELECT {ROW} FROM txn")
 def backup_round_trip(spark, sf_dir):
     t = transactions(spark, sf_dir)
-    path = _scratch(spark, "backup")
+    path = scratch_path(spark, "backup")
     store.write_backup(t, path)
     return store.read_backup(spark, path).select(*t.columns)
 
@@ -363,8 +352,6 @@ def ocr_parse(spark, sf_dir):
     return ocr.parse_ocr(screenshots(spark, sf_dir), "doc_id", "text")
 
 
-QUERIES["ocr_parse_all"], ORACLES["ocr_parse_all"] = ocr_parse, ORACLES["ocr_parse"]
-
 #: Each message alone and twice in one text, and each screenshot.
 _PASTED = "WITH " + _OCR + ", m AS (" + _SMS + f"""), p AS (
         SELECT 'm' || msg_id AS doc, 0 AS pos, * EXCLUDE (msg_id), '{AS_OF_ISO}' AS date FROM m
@@ -381,8 +368,6 @@ def text_parse(spark, sf_dir):
 @query(_PASTED + f"""SELECT DISTINCT type, "amountSantim", party, channel, date, true AS has_id, '{AS_OF_ISO}' AS "createdAt" FROM p WHERE ok""")
 def paste_import(spark, sf_dir):
     """Pasted texts parsed and inserted without the repeats, then the ledger read back."""
-    rows = store.from_parsed(sms.parse_text(pasted(spark, sf_dir), "text", AS_OF_ISO, ZONE), AS_OF_ISO)
-    rows = rows.withColumn("seq", F.col("n") * 8 + F.col("pos")).drop("doc", "n", "pos")
-    ledger = store.Ledger(spark, _scratch(spark, "ledger"))
-    ledger.add_deduped(rows, now=AS_OF_ISO)
+    ledger = store.Ledger(spark, scratch_path(spark, "ledger"))
+    ledger.paste(pasted(spark, sf_dir), "text", AS_OF_ISO, "n", ZONE)
     return ledger.transactions().select("type", "amountSantim", "party", "channel", "date", (F.length("id") == 24).alias("has_id"), "createdAt")

@@ -1,8 +1,8 @@
-"""Tables of the ledger as versioned Parquet folders, and text, JSON and CSV in and out."""
+"""The ledger, and text, JSON and CSV in and out."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import csv_cell, entry_to_santim, iso_millis, santim_to_etb, trim_all
-from ..operators.ingest import dedupe, delete, ingest_counts, upsert
+from ..functions.scalar import DAY_MS, csv_cell, entry_to_santim, iso_millis, santim_to_etb, trim_all
+from ..operators.findings import with_key
+from ..operators.ingest import WINDOW_MS, dedupe, ingest_counts, last_by_id
+from ..operators.sms import parse_text
 from ..schema import TRANSACTION
+from .log import Change, DataFile, TableLog
+from .scratch import scratch
 
 CSV_HEADER = "date,type,amount_etb,party,channel,reference,note,settled"
 #: Transactions of one file of a backup; read_backup reads a file as one text.
@@ -22,99 +26,119 @@ IGNORED = T.StructType([T.StructField("id", T.StringType())])
 
 
 class Ledger:
-    """Transactions and dismissed findings under one path.
+    """Transactions and dismissed findings under one path, each a table under a log of commits.
 
-    A change writes a numbered folder: `v` replaces the table, `a` appends to it. The newest
-    complete `v` and the complete `a` after it are the table, so inserting costs what is
-    inserted, a failed write changes nothing (its number is not used again) and readers keep
-    what they read. compact() makes one `v` of them.
+    Writers work against a snapshot and commit after it. What depends on the rows there
+    (duplicate suppression, compaction) is done again if another commit came first, so that
+    two imports of the same rows insert them once; insertion, upsert and deletion hold after
+    any other commit. An upsert or deletion writes what it changes: rows of listed ids are
+    left out on reading, until compact() makes one commit of all. A failed write changes
+    nothing and readers keep what they read.
 
-    Rows without an id get one on insertion, from their content and their place among
-    alike rows; rows without createdAt get `now`.
+    Rows without an id get one, rows without createdAt get `now`.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._txns, self._ignored = TableLog(spark, f"{self.path}/transactions"), TableLog(spark, f"{self.path}/ignored")
 
-    def _versions(self, table: str) -> list[str]:
-        """Names of the complete folders, in the order they were written."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/*/_SUCCESS")
-        done = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at)
-        return sorted((s.getPath().getParent().getName() for s in done or []), key=lambda name: name[1:])
-
-    def _next(self, table: str) -> int:
-        """One more than any folder's number, complete or not."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/*")
-        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at)
-        names = [s.getPath().getName() for s in found or []]
-        return max((int(n[1:]) for n in names if n[1:].isdigit()), default=0) + 1
-
-    def _read(self, table: str, schema: T.StructType) -> DataFrame:
-        names = self._versions(table)
-        if not names:
-            return self.spark.createDataFrame([], schema)
-        start = max((i for i, name in enumerate(names) if name[0] == "v"), default=0)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{table}/{name}" for name in names[start:]])
-
-    def _write(self, table: str, rows: DataFrame, schema: T.StructType, kind: str = "v") -> None:
-        columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
-        rows.select(*columns).write.parquet(f"{self.path}/{table}/{kind}{self._next(table):08d}")
-
-    def transactions(self) -> DataFrame:
-        return self._read("transactions", TRANSACTION)
+    def version(self) -> int:
+        """Number of the newest commit of the transactions."""
+        return self._txns.snapshot().version
+
+    def transactions(self, first_ms: int | None = None, last_ms: int | None = None) -> DataFrame:
+        """All transactions, or those of dates between two times (both included)."""
+        snapshot = self._txns.snapshot()
+        if first_ms is None and last_ms is None:
+            return self._txns.read(snapshot, TRANSACTION)
+        first, last = -(1 << 63) if first_ms is None else first_ms, (1 << 63) - 1 if last_ms is None else last_ms
+        return self._txns.read(snapshot.within([(first, last)]), TRANSACTION).where(iso_millis("date").between(first, last))
+
+    def _files(self, rows: DataFrame) -> tuple[DataFile, ...]:
+        return self._txns.write(rows, TRANSACTION, iso_millis("date"))
 
     def add(self, rows: DataFrame, now: str | None = None) -> None:
-        self._write("transactions", with_ids(rows, now), TRANSACTION, "a")
+        self._txns.commit(Change(self._files(with_ids(rows, now))))
 
     def compact(self) -> None:
-        """The same rows in one folder."""
-        self._write("transactions", self.transactions(), TRANSACTION)
-
-    def add_deduped(self, rows: DataFrame, order: str = "seq", now: str | None = None) -> tuple[int, int]:
-        """(inserted, skipped)"""
-        new = with_ids(rows, now, order).persist()  # the dedupe reads it several times
-        marked = dedupe(new, self.transactions(), order=order).persist()
-        counts = ingest_counts(marked).first()
-        self._write("transactions", marked.where("kept").drop("kept", order), TRANSACTION, "a")
-        marked.unpersist()
-        new.unpersist()
-        return counts.inserted, counts.skipped
+        """The same rows in files of one commit, by time."""
+        done = False
+        while not done:
+            snapshot = self._txns.snapshot()
+            change = Change(self._files(self._txns.read(snapshot, TRANSACTION)), replaces=True)
+            done = self._txns.put(snapshot.version + 1, change)
+
+    def add_deduped(self, rows: DataFrame, order: str | Sequence[str] = "seq", now: str | None = None, batch: tuple[str, int] | None = None) -> tuple[int, int]:
+        """(inserted, skipped). Only files that may hold rows in reach are read. A micro-batch (stream, number) that is in the table already, or an older one, inserts nothing."""
+        new = scratch(with_ids(rows, now), "insertion")  # written: ids must stay what they are
+        ranges = _reach(with_key(new))
+        while True:
+            snapshot = self._txns.snapshot()
+            if batch and dict(snapshot.batches).get(batch[0], -1) >= batch[1]:
+                return 0, new.count()
+            near = snapshot.within(ranges)
+            marked = dedupe(new, self._txns.read(near, TRANSACTION) if near.files else None, order=order).persist()
+            try:
+                counts = ingest_counts(marked).first()
+                files = self._files(marked.where("kept")) if counts.inserted else ()
+                if self._txns.put(snapshot.version + 1, Change(files, batch=batch)):
+                    return counts.inserted, counts.skipped
+            finally:
+                marked.unpersist()
+
+    def paste(self, texts: DataFrame, text_col: str, as_of: str, order: str | Sequence[str] = "seq", tz: str = "Africa/Addis_Ababa", now: str | None = None, **hooks) -> tuple[int, int]:
+        """(inserted, skipped) of all messages and screenshots in pasted texts, in the order of the texts and of the places in them."""
+        orders = [order] if isinstance(order, str) else list(order)
+        place = [F.col(c).alias(f"__order_{i}") for i, c in enumerate(orders)]
+        parsed = parse_text(texts.select(*place, F.col(f"`{text_col}`").alias("__text")), "__text", as_of, tz, **hooks)
+        return self.add_deduped(from_parsed(parsed, as_of).drop("__text"), [f"__order_{i}" for i in range(len(orders))] + ["pos"], now or as_of)
 
     def update(self, row: DataFrame) -> None:
         """One whole record in the place of that with its id, or as a new one."""
         self.restore(row.withColumn("seq", F.lit(0)))
 
     def restore(self, rows: DataFrame, order: str = "seq") -> int:
-        """Upsert by id; the number of rows given, repeated ids included."""
-        self._write("transactions", upsert(self.transactions(), rows, order), TRANSACTION)
-        return rows.count()
+        """Upsert by id; the number of rows given, repeated ids included. Rows without an id are new ones."""
+        given = scratch(with_ids(rows).withColumn("__new", F.col("id").isNull() if "id" in rows.columns else F.lit(True)), "restore")
+        gone = (self._txns.write_ids(given.where("NOT __new")),) if "id" in rows.columns else ()
+        self._txns.commit(Change(self._files(last_by_id(given.drop("__new"), order)), gone))
+        return given.count()
 
     def delete(self, ids: DataFrame) -> None:
-        self._write("transactions", delete(self.transactions(), ids), TRANSACTION)
+        self._txns.commit(Change(gone=(self._txns.write_ids(ids),)))
 
     def clear(self) -> None:
         """Transactions only; dismissed findings stay."""
-        self._write("transactions", self.spark.createDataFrame([], TRANSACTION), TRANSACTION)
+        self._txns.commit(Change(replaces=True))
 
     def ignored(self) -> DataFrame:
         try:
-            return self._read("ignored", IGNORED)
+            return self._ignored.read(self._ignored.snapshot(), IGNORED)
         except AnalysisException:
             return self.spark.createDataFrame([], IGNORED)
 
     def set_ignored(self, ids: DataFrame) -> None:
-        self._write("ignored", ids.select("id").distinct(), IGNORED)
+        self._ignored.commit(Change(self._ignored.write(ids.select("id").distinct(), IGNORED), replaces=True))
 
 
-def with_ids(rows: DataFrame, now: str | None = None, order: str | None = None) -> DataFrame:
-    """Rows with `id` and `createdAt`: given ones stay; a new id is a hash of the content, and of the order among rows where one is given.
+#: Most days of an insertion that are looked up one by one; of more the whole time between the first and the last is.
+MOST_DAYS = 10_000
 
-    Without an order alike rows would share an id, so a unique random part joins the hash.
-    """
+
+def _reach(rows: DataFrame, within_ms: int = WINDOW_MS) -> list[tuple[int, int]]:
+    """Times in which a row may refuse one of these (with `__ms`): each day that has one, and the window on both sides."""
+    day = F.floor(F.col("__ms") / DAY_MS).cast("long")
+    days = rows.where("__ms IS NOT NULL").select(day.alias("day")).distinct().limit(MOST_DAYS + 1).collect()
+    if len(days) > MOST_DAYS:
+        ends = rows.agg(F.min("__ms").alias("first"), F.max("__ms").alias("last")).first()
+        return [(ends.first - within_ms, ends.last + within_ms)]
+    return [(r.day * DAY_MS - within_ms, (r.day + 1) * DAY_MS - 1 + within_ms) for r in days]
+
+
+def with_ids(rows: DataFrame, now: str | None = None) -> DataFrame:
+    """Rows with `id` and `createdAt`: given ones stay; a new id is of its own for every row, alike ones included."""
     now = now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.000Z")
-    have = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in TRANSACTION.names if c in rows.columns and c not in ("id", "createdAt")]
-    own = F.col(order).cast("string") if order else F.uuid()
-    made = F.substring(F.sha2(F.concat_ws("\1", *have, F.lit(now), own), 256), 1, 24)
+    made = F.substring(F.sha2(F.uuid(), 256), 1, 24)
     given = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     return rows.withColumn("id", F.coalesce(given("id"), made)).withColumn("createdAt", F.coalesce(given("createdAt"), F.lit(now)))
 

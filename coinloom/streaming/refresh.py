@@ -14,13 +14,13 @@ from ..sources.store import Ledger
 def ingest_stream(stream: DataFrame, ledger: Ledger, checkpoint: str, refreshed: Callable[[DataFrame], None] | None = None, order: str = "seq", **trigger) -> StreamingQuery:
     """Each micro-batch goes through the ledger's duplicate suppression; then `refreshed` gets the new snapshot.
 
-    A batch that is run again after a failure finds its rows in the ledger and inserts nothing twice.
+    The batch's number is part of its commit, under the name of the checkpoint, so a batch that
+    is run again after a failure inserts nothing, whatever its rows. Only the ledger's files
+    that may hold rows in reach of the batch are read.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
-        if "id" in batch.columns:
-            batch = batch.join(ledger.transactions().select("id"), "id", "left_anti")
-        ledger.add_deduped(batch, order)
+    def apply(batch: DataFrame, number: int) -> None:
+        ledger.add_deduped(batch, order, batch=(checkpoint, number))
         if refreshed:
             refreshed(ledger.transactions().orderBy(F.desc("date"), "id"))
 

@@ -221,9 +221,9 @@ def test_store(spark, tmp_path):
         with pytest.raises(Exception, match="Invalid JSON backup"):
             store.read_backup(spark, f"file://{tmp_path}/bad.json").count()
     ledger.add(ledger.transactions().where("id = 'z'").withColumn("id", F.lit("y")).drop("note"))
-    assert [n[0] for n in ledger._versions("transactions")] == ["a", "v", "a"] and ledger.transactions().count() == 4
+    assert ledger.version() == 3 and ledger.transactions().count() == 4
     ledger.compact()
-    assert ledger._versions("transactions")[-1][0] == "v" and ledger.transactions().count() == 4
+    assert ledger.version() == 4 and ledger.transactions().count() == 4
     ledger.delete(spark.createDataFrame([("y",)], "id string"))
     ledger.delete(spark.createDataFrame([("c",), ("none",)], "id string"))
     assert ledger.transactions().count() == 2
@@ -306,12 +306,151 @@ def test_insertion_gives_ids_and_survives_a_failed_write(spark, tmp_path):
     typed = ledger.transactions().where("party = 'p'").first()
     assert (typed.date, typed.type, typed.channel, typed.amountSantim) == ("2026-01-05T10:05:00.000Z", "out", "CBE", 500)
     assert ledger.transactions().count() == 5 == ledger.transactions().select("id").distinct().count()
-    left = tmp_path / "l" / "transactions" / "a00000004"  # what a failed write leaves
+    left = tmp_path / "l" / "transactions" / "data" / "half"  # what a failed write leaves
     left.mkdir()
     (left / "part-0.parquet").write_bytes(b"half")
+    (tmp_path / "l" / "transactions" / "log" / ".4-draft").write_bytes(b"{")
     ledger.update(ledger.transactions().where("party = 'p'").withColumn("note", F.lit("changed")))
     assert ledger.transactions().count() == 5 and ledger.transactions().where("note = 'changed'").count() == 1
-    assert ledger._versions("transactions")[-1] == "v00000005"
+    assert ledger.version() == 4
+
+
+def one_island(n, seed, order, gap=5 * MIN):
+    """n rows of one key without a gap above the window, by time, against it or in no order, some at one time."""
+    rng = random.Random(seed)
+    times, at = [], T0
+    for _ in range(n):
+        at += rng.choice([0, 1000, MIN, gap])
+        times.append(at)
+    rows = [(f"n{i}", "in", 1, "p", ms) for i, ms in enumerate(times)]
+    return {"time": rows, "back": rows[::-1], "none": rng.sample(rows, n)}[order]
+
+
+@pytest.mark.parametrize("order", ["time", "back", "none"])
+def test_one_island_is_many_tasks(spark, order, monkeypatch):
+    monkeypatch.setattr(ingest, "SEGMENT_WINDOWS", 5)
+    rows = one_island(700, 1, order) + [(f"x{i}", "out", i % 7, None, T0 + i * MIN) for i in range(200)]
+    old = [("o0", "in", 1, "P", rows[300][4]), ("o1", "out", 3, "q", T0)]
+    got = ingest.dedupe(txns(spark, rows, seq=True), txns(spark, old), long_island=150).collect()
+    assert len(got) == len(rows)
+    assert {r.id for r in got if r.kept} == set(greedy([(*r[:3], r[3] or "", r[4]) for r in rows], old))
+
+
+def test_long_island_goes_through_segments(spark, monkeypatch):
+    called = []
+    whole = ingest._through_segments
+    monkeypatch.setattr(ingest, "SEGMENT_WINDOWS", 4)
+    monkeypatch.setattr(ingest, "_through_segments", lambda *a: called.append(1) or whole(*a))
+    regular = [(f"n{i}", "in", 1, "p", T0 + i * MIN) for i in range(600)]  # ways that never meet
+    got = ingest.dedupe(txns(spark, regular, seq=True), long_island=200).where("kept").collect()
+    assert called and {r.id for r in got} == {f"n{i}" for i in range(0, 600, 11)}
+
+
+def test_rows_of_one_order_value_stay_one_row_each(spark):
+    rows = txns(spark, [("a", "in", 1, "p", T0), ("b", "in", 2, "p", T0), ("c", "in", 1, "p", T0 + MIN), ("d", "in", 1, "p", T0), ("e", "in", 3, "p", T0)], seq=True)
+    for seq in (F.lit(7), F.lit(None).cast("long"), F.when(F.col("id") == "c", 5), F.lit("text")):
+        got = ingest.dedupe(rows.withColumn("seq", seq)).collect()
+        assert sorted(r.id for r in got) == list("abcde")
+        kept = [r.id for r in got if r.kept]
+        assert len(kept) == 3 and {"b", "e"} < set(kept)
+    assert [r.id for r in ingest.dedupe(rows.withColumn("seq", F.when(F.col("id") == "c", 5))).where("kept AND amountSantim = 1").collect()] == ["c"]
+    alike = spark.range(4).select(*[F.lit("2026-01-01T00:00:00Z" if c == "date" else None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    assert sorted(r.kept for r in ingest.dedupe(alike).collect()) == [False, False, False, True]
+    two = ingest.dedupe(rows.withColumn("a.b", F.lit(1)), order=["channel", "seq"])
+    assert two.where("kept").count() == 3 and "a.b" in two.columns
+
+
+def test_interleaved_insertions_insert_once(spark, tmp_path):
+    path = f"file://{tmp_path}/l"
+    first, second = store.Ledger(spark, path), store.Ledger(spark, path)
+    rows = txns(spark, [(None, "in", 1, "p", T0), (None, "in", 2, "p", T0), (None, "in", 1, "p", T0 + MIN)], seq=True)
+    put, seen = first._txns.put, []
+
+    def late(version, change):
+        if not seen:  # another writer commits between this one's reading and its commit
+            seen.append(second.add_deduped(rows))
+        return put(version, change)
+
+    first._txns.put = late
+    assert first.add_deduped(rows) == (0, 3) and seen == [(2, 1)]
+    assert first.transactions().count() == 2 and first.version() == 2
+
+
+def test_concurrent_insertions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    rows = txns(spark, [(None, "in", i, "p", T0) for i in range(20)], seq=True)
+    with ThreadPoolExecutor(3) as pool:
+        done = list(pool.map(lambda _: store.Ledger(spark, f"file://{tmp_path}/l").add_deduped(rows), range(3)))
+    ledger = store.Ledger(spark, f"file://{tmp_path}/l")
+    assert sorted(done) == [(0, 20), (0, 20), (20, 0)] and ledger.transactions().count() == 20
+    log = ledger._txns
+    assert log.put(4, log_change := store.Change()) and not log.put(4, log_change) and not log.put(1, log_change)
+
+
+def test_an_insertion_reads_the_files_of_its_days(spark, tmp_path, monkeypatch):
+    ledger = store.Ledger(spark, f"file://{tmp_path}/l")
+    for day in range(4):
+        ledger.add(txns(spark, [(f"d{day}-{i}", "in", i, "p", T0 + day * DAY + i) for i in range(3)]))
+    ledger.add(txns(spark, [("undated", "in", 1, "p", T0)]).withColumn("date", F.lit("never")))
+    opened = []
+    read = ledger._txns.read
+    ledger._txns.read = lambda snapshot, schema: opened.append([f.path for f in snapshot.files]) or read(snapshot, schema)
+    assert ledger.add_deduped(txns(spark, [("x", "in", 1, "p", T0 + 2 * DAY + MIN), ("y", "in", 9, "p", T0 + 2 * DAY)], seq=True)) == (1, 1)
+    ms = [row.date for path in opened[0] for row in spark.read.parquet(f"file://{tmp_path}/l/transactions/{path}").collect()]
+    assert ms and {d[:10] for d in ms} == {"2023-11-16"}
+    assert {r.id for r in ledger.transactions(T0 + DAY, T0 + 2 * DAY - 1).collect()} == {f"d1-{i}" for i in range(3)}
+    assert {r.id for r in ledger.transactions(T0 + 2 * DAY).collect()} == {*(f"d2-{i}" for i in range(3)), *(f"d3-{i}" for i in range(3)), "y"}
+    assert ledger.transactions().count() == 14
+
+
+def test_updates_and_deletions_write_what_they_change(spark, tmp_path):
+    ledger = store.Ledger(spark, f"file://{tmp_path}/l")
+    ledger.add(txns(spark, [(f"i{k}", "in", k, f"party {k}", T0 + k * MIN) for k in range(20_000)]))
+    size = lambda: sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    before = size()
+    ledger.update(txns(spark, [("i7", "out", 70, "new", T0)]))
+    ledger.delete(spark.createDataFrame([("i8",), ("none",), (None,)], "id string"))
+    assert size() - before < before / 20
+    got = {r.id: r.amountSantim for r in ledger.transactions().where("amountSantim < 100").collect()}
+    assert got["i7"] == 70 and "i8" not in got and ledger.transactions().count() == 19_999
+    ledger.update(txns(spark, [("i8", "out", 8, "back", T0)]))
+    ledger.update(txns(spark, [("i7", "out", 71, "again", T0)]))
+    again = ledger.transactions().where("id IN ('i7', 'i8')").collect()
+    assert sorted((r.id, r.amountSantim) for r in again) == [("i7", 71), ("i8", 8)]
+    ledger.compact()
+    assert sorted((r.id, r.amountSantim) for r in ledger.transactions().where("id IN ('i7', 'i8')").collect()) == [("i7", 71), ("i8", 8)] and ledger.transactions().count() == 20_000
+
+
+def test_rows_to_restore_without_ids_are_new_rows(spark, tmp_path):
+    ledger = store.Ledger(spark, f"file://{tmp_path}/l")
+    rows = txns(spark, [(None, "in", 1, "p", T0), (None, "in", 1, "p", T0), ("a", "in", 2, "p", T0), ("a", "in", 3, "p", T0)], seq=True)
+    assert ledger.restore(rows) == 4
+    got = ledger.transactions().collect()
+    assert len({r.id for r in got}) == 3 == len(got) and all(r.id for r in got) and [r.amountSantim for r in got if r.id == "a"] == [3]
+    assert ledger.restore(rows.drop("id")) == 4 and ledger.transactions().count() == 7
+    new = rows.drop("createdAt")
+    assert ingest.upsert(txns(spark, [("a", "in", 9, "p", T0)]), new, "seq").count() == 3
+
+
+def test_pasted_texts_of_many_messages(spark, tmp_path):
+    ledger = store.Ledger(spark, f"file://{tmp_path}/l")
+    texts = ["\n".join(f"CBE debited ETB {k}.00" for k in range(start, start + 12)) for start in (1, 13, 1)]
+    frame = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "n int, `the.text` string, pos int")
+    assert ledger.paste(frame, "the.text", AS_OF, "n") == (24, 12)
+    got = ledger.transactions().collect()
+    assert len(got) == 24 == len({r.id for r in got}) and {r.amountSantim for r in got} == {100 * k for k in range(1, 25)}
+    assert ledger.paste(frame.withColumn("n", F.lit(None).cast("int")), "the.text", AS_OF, "n") == (0, 36)
+
+
+def test_a_batch_again_inserts_nothing(spark, tmp_path):
+    ledger = store.Ledger(spark, f"file://{tmp_path}/l")
+    rows = txns(spark, [(None, "in", 1, "p", T0), (None, "in", 2, "p", T0)], seq=True).drop("id").withColumn("date", F.lit("no date"))
+    assert ledger.add_deduped(rows, batch=("s", 0)) == (2, 0)
+    assert ledger.add_deduped(rows, batch=("s", 0)) == (0, 2)
+    assert ledger.add_deduped(rows, batch=("s", 1)) == (2, 0) and ledger.add_deduped(rows, batch=("t", 0)) == (2, 0)
+    ledger.compact()
+    assert ledger.add_deduped(rows, batch=("s", 1)) == (0, 2) and ledger.transactions().count() == 6
 
 
 def test_long_texts_are_parsed_in_time(spark):
