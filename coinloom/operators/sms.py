@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import BLANK, text_to_santim, trim_all
 from ..schema import PARSED
@@ -47,85 +48,121 @@ def _has(text: Column, pattern: str) -> Column:
     return text.rlike("(?i)" + pattern)
 
 
-def _group(text: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(text, "(?i)" + pattern, i)
-
-
-def _or_unknown(x: Column) -> Column:
-    return F.coalesce(F.nullif(x, F.lit("")), F.lit("Unknown"))
-
-
 @dataclass(frozen=True)
 class Rule:
-    """A pattern with the numbers of its groups; type_, channel, party and review may depend on the text."""
+    """A pattern, words of which a text has one if the pattern is found, and what it gives: texts, or numbers of its groups. Without a type or party the whole text decides."""
 
     pattern: str
-    guard: str | tuple[str, ...]
+    guard: tuple[str, ...]
     amount: int
     channel: str | int
-    type_: str | Callable[[Column], Column]
-    party: str | int | Callable[[Column], Column]
+    type_: str | int
+    party: str | int
     party_optional: bool = False
-    review: Callable[[Column], Column] | None = None
 
-    def matches(self, text: Column) -> Column:
-        words = (self.guard,) if isinstance(self.guard, str) else self.guard
-        guards = [F.contains(F.lower(text), F.lit(word)) for word in words if word]
-        return reduce(Column.__or__, guards) & _has(text, self.pattern) if guards else _has(text, self.pattern)
 
-    def row(self, text: Column, as_of: Column) -> Column:
-        get = lambda x: _group(text, self.pattern, x) if isinstance(x, int) else x(text) if callable(x) else F.lit(x)
-        party = get(self.party)
-        party = _or_unknown(party) if self.party_optional else party
-        review = self.review(text) if self.review else F.lit(False)
-        return _parsed(text, get(self.type_), text_to_santim(get(self.amount)), trim_all(party), get(self.channel), as_of, review)
+_PREPOSITION = rf"{_ETB_BR}{BLANK}*(to|from){BLANK}+{_FREE_PARTY}" + _STOP % ""
 
+#: In order; the first that is found decides.
+RULES = (
+    Rule(_chain("telebirr", "(?:received|credited)", _ETB, "from" + _PARTY), ("telebirr",), 1, "Telebirr", "in", 2),
+    Rule(_chain("telebirr", "(?:paid|debited|sent)", _ETB, "to" + _PARTY), ("telebirr",), 1, "Telebirr", "out", 2),
+    Rule(_chain("telebirr", "airtime", _ETB), ("telebirr",), 1, "Telebirr", "airtime", "Airtime"),
+    Rule(_chain(f"{_L}CBE{_R}", "(?:credited|received)", _ETB, "from" + _PARTY), ("cbe",), 1, "CBE", "in", 2),
+    Rule(_chain(f"{_L}CBE{_R}", "(?:debited|withdrawn|paid)", _ETB) + f"(?>{_ANY}(?:to|for){_PARTY})?+", ("cbe",), 1, "CBE", "out", 2, True),
+    Rule(_chain(_BANKS, "(?:credited|received)", _ETB_BR, "from" + _PARTY), _BANK_WORDS, 2, 1, "in", 3),
+    Rule(_chain(_BANKS, "(?:debited|withdrawn|paid)", _ETB_BR) + f"(?>{_ANY}to{_PARTY})?+", _BANK_WORDS, 2, 1, "out", 3, True),
+    Rule(rf"\A{_ANY}" + _PREPOSITION, ("etb", "br"), 1, "Other", 2, 3),
+    Rule(rf"\A{_ANY}" + _ETB_BR, ("etb", "br"), 1, "Other", "", "", True),
+)
+_LAST = str(len(RULES) - 1)
+#: Words one of which a reference needs.
+_REFERENCE_WORDS = ("ref", "transaction id", "txn", "trxid")
+#: What stands before a rule's finding and between its parts; no part of a pattern takes either.
+_FINDING, _PART = "\x02", "\x01"
 
-def _parsed(text: Column, type_: Column, amount: Column, party: Column, channel: Column, as_of: Column, review: Column) -> Column:
-    reference = F.nullif(_group(text, _REFERENCE, 1), F.lit(""))
-    none = F.lit(None).cast("string")
-    values = (F.lit(True), text, type_, amount, party, channel, reference, as_of, none, review)
-    return F.struct(*[v.alias(n) for v, n in zip(values, PARSED.names)])
 
+def _any_of(low: Column, words: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [F.contains(low, F.lit(word)) for word in words])
 
-def _failed(text: Column) -> Column:
-    values = [F.lit(False), text, *[F.lit(None).cast(f.dataType) for f in PARSED.fields[2:]]]
-    return F.struct(*[v.alias(n) for v, n in zip(values, PARSED.names)])
 
+def _subject(text: Column) -> Column:
+    """The text to search: no character of a finding stands in it."""
+    return F.translate(F.coalesce(text, F.lit("")), _FINDING, "\x03")
 
-def _direction(text: Column) -> Column:
-    is_in, is_out = _has(text, _IN), _has(text, _OUT)
-    return F.when(_has(text, _AIRTIME), "airtime").when(_has(text, _CREDIT), "credit").when(is_in & ~is_out, "in").otherwise("out")
 
+def _findings(subject: Column, low: Column, rules: range) -> Column:
+    """Number, amount, channel, type and party of the first of the rules that is found, as texts one after another; empty where none is.
 
-def _unsure(text: Column) -> Column:
-    return ~_has(text, _AIRTIME) & ~_has(text, _CREDIT) & (_has(text, _IN) == _has(text, _OUT))
+    Each pattern is searched once: the text becomes what its groups found. Patterns whose
+    words the text lacks aren't searched.
+    """
+    found = []
+    for i in rules:
+        rule = RULES[i]
+        parts = [f"${x}" if isinstance(x, int) else x for x in (rule.amount, rule.channel, rule.type_, rule.party)]
+        said = F.regexp_replace(subject, "(?i)" + rule.pattern + r"[\s\S]*\z", _FINDING + _PART.join([str(i), *parts]))
+        found.append(F.when(_any_of(low, rule.guard), F.regexp_extract(said, rf"\A{_FINDING}[\s\S]*", 0)).otherwise(""))
+    return F.split_part(F.concat(*found), F.lit(_FINDING), F.lit(2))
 
 
-_PREPOSITION = rf"{_ETB_BR}{BLANK}*(to|from){BLANK}+{_FREE_PARTY}" + _STOP % ""
+def _named(subject: Column, low: Column) -> Column:
+    """By the rules that ask for a sender's name."""
+    return _findings(subject, low, range(len(RULES) - 2))
 
-#: In order; the first that is found decides.
-RULES = (
-    Rule(_chain("telebirr", "(?:received|credited)", _ETB, "from" + _PARTY), "telebirr", 1, "Telebirr", "in", 2),
-    Rule(_chain("telebirr", "(?:paid|debited|sent)", _ETB, "to" + _PARTY), "telebirr", 1, "Telebirr", "out", 2),
-    Rule(_chain("telebirr", "airtime", _ETB), "telebirr", 1, "Telebirr", "airtime", "Airtime"),
-    Rule(_chain(f"{_L}CBE{_R}", "(?:credited|received)", _ETB, "from" + _PARTY), "cbe", 1, "CBE", "in", 2),
-    Rule(_chain(f"{_L}CBE{_R}", "(?:debited|withdrawn|paid)", _ETB) + f"(?>{_ANY}(?:to|for){_PARTY})?+", "cbe", 1, "CBE", "out", 2, True),
-    Rule(_chain(_BANKS, "(?:credited|received)", _ETB_BR, "from" + _PARTY), _BANK_WORDS, 2, 1, "in", 3),
-    Rule(_chain(_BANKS, "(?:debited|withdrawn|paid)", _ETB_BR) + f"(?>{_ANY}to{_PARTY})?+", _BANK_WORDS, 2, 1, "out", 3, True),
-    Rule(_PREPOSITION, "", 1, "Other", lambda t: F.when(F.lower(_group(t, _PREPOSITION, 2)) == "from", "in").otherwise("out"), 3),
-    Rule(_ETB_BR, "", 1, "Other", _direction, lambda t: _group(t, _LOOSE_PARTY, 1), True, _unsure),
-)
+
+def _loose(subject: Column, low: Column, named: Column) -> Column:
+    """By the one that asks for a party only, if those give nothing."""
+    return F.when(named == "", _findings(subject, low, range(len(RULES) - 2, len(RULES) - 1))).otherwise(named)
+
+
+def _parts(subject: Column, low: Column, found: Column) -> Column:
+    """What is found, in parts; one part only where nothing is."""
+    return F.split(F.when(found == "", _findings(subject, low, range(len(RULES) - 1, len(RULES)))).otherwise(found), _PART)
+
+
+def _signs(subject: Column, found: Column) -> Column:
+    """What a text that only names an amount speaks of."""
+    return F.when(found[0] == _LAST, F.struct(*[_has(subject, p).alias(n) for n, p in (("airtime", _AIRTIME), ("credit", _CREDIT), ("inward", _IN), ("outward", _OUT))]))
+
+
+def _row(text: Column, subject: Column, low: Column, found: Column, signs: Column, as_of: Column) -> Column:
+    none = F.lit(None).cast("string")
+    ok, rule = F.size(found) > 1, found[0]
+    optional = rule.isin([str(i) for i, r in enumerate(RULES) if r.party_optional])
+    loose = F.when(rule == _LAST, F.regexp_extract(subject, "(?i)" + _LOOSE_PARTY, 1)).otherwise(found[4])
+    party = trim_all(F.when(optional & (loose == ""), "Unknown").otherwise(loose))
+    worded = F.when(F.lower(found[3]).isin("to", "from"), F.when(F.lower(found[3]) == "from", "in").otherwise("out")).otherwise(found[3])
+    spoken = F.when(signs["airtime"], "airtime").when(signs["credit"], "credit").when(signs["inward"] & ~signs["outward"], "in").otherwise("out")
+    type_ = F.when(rule == _LAST, spoken).otherwise(worded)
+    review = F.coalesce(~signs["airtime"] & ~signs["credit"] & (signs["inward"] == signs["outward"]), F.lit(False))
+    reference = F.when(_any_of(low, _REFERENCE_WORDS), F.regexp_extract(subject, "(?i)" + _REFERENCE, 1))
+    reference = F.when(reference != "", reference)
+    values = {"ok": ok, "raw": F.coalesce(text, F.lit("")), "type": type_, "amountSantim": text_to_santim(found[1]), "party": party, "channel": found[2], "reference": reference, "date": as_of, "note": none, "needsReview": review}
+    always = ("ok", "raw")
+    return F.struct(*[(values[f.name] if f.name in always else F.when(ok, values[f.name])).cast(f.dataType).alias(f.name) for f in PARSED])
+
+
+def _literal(x: str | Column) -> Column:
+    return F.lit(x) if isinstance(x, str) else x
 
 
 def parse_one(text: Column, as_of: str | Column) -> Column:
     """The row of one message; `ok` is false where no pattern is found. Dates in a text aren't read: the date is as_of."""
-    as_of = F.lit(as_of) if isinstance(as_of, str) else as_of
-    text = F.coalesce(text, F.lit(""))
-    out = F.when(RULES[0].matches(text), RULES[0].row(text, as_of))
-    for rule in RULES[1:]:
-        out = out.when(rule.matches(text), rule.row(text, as_of))
-    return out.otherwise(_failed(text))
+    once = lambda x, use: F.element_at(F.transform(F.array(x), use), 1)  # noqa: E731  x is computed once for all its uses
+    last = lambda s, low, found: once(_signs(s, found), lambda signs: _row(text, s, low, found, signs, _literal(as_of)))
+    found = lambda s, low: once(_named(s, low), lambda a: once(_loose(s, low, a), lambda b: once(_parts(s, low, b), lambda parts: last(s, low, parts))))
+    return once(_subject(text), lambda s: once(F.lower(s), lambda low: found(s, low)))
+
+
+def parse_each(df: DataFrame, text: str, as_of: str | Column) -> DataFrame:
+    """df with `__row`, the row of the message in column `text`. Each step is a projection of its own, which Spark doesn't merge as the next uses it more than once."""
+    s, low, found = F.col("__subject"), F.col("__low"), F.col("__found")
+    steps = df.withColumn("__subject", _subject(F.col(text))).withColumn("__low", F.lower(s)).withColumn("__named", _named(s, low))
+    steps = steps.withColumn("__loose", _loose(s, low, F.col("__named"))).withColumn("__found", _parts(s, low, F.col("__loose"))).withColumn("__signs", _signs(s, found))
+    # in a generator: filters on its fields can't be pushed below it, where Spark would parse again for each
+    row = F.explode_outer(F.array(_row(F.col(text), s, low, found, F.col("__signs"), _literal(as_of)))).alias("__row")
+    return steps.select(*[F.col(f"`{c}`") for c in df.columns], row)
 
 
 def is_ocr(text: Column) -> Column:
@@ -166,23 +203,33 @@ def parse_many(
     which is good as a whole, is one message. Of a text without a good message that
     is_transfer_list holds for, the rows are those of transfer_rows (an array of parsed rows).
     """
+    return _parse(df, text_col, as_of, None, boilerplate, is_transfer_list, transfer_rows)
+
+
+def _parse(df: DataFrame, text_col: str, as_of: str, shots: Column | None, boilerplate=None, is_transfer_list=no_transfer_list, transfer_rows=None) -> DataFrame:
+    """parse_many, but of a text with entries in `shots` (arrays of parsed rows) these are the rows."""
     kept, text = _kept(df), F.col(f"`{text_col}`")
-    split = split_messages(df, text_col, boilerplate)
+    split = split_messages(df if shots is None else df.withColumn("__shots", shots), text_col, boilerplate)
     # every pattern holds an amount, and the last asks for no more: a text is good if it has one
     good = F.size(F.filter("__blocks", lambda b: _has(b, _ETB_BR)))
+    split = split.withColumn("__good", good)
+    good = F.col("__good")
     mixed = F.col("__many") & (F.size("__blocks") > 1) & (good <= 1) & (good < F.size("__blocks")) & _has(F.coalesce(text, F.lit("")), _ETB_BR)
-    listed = F.lit(False)
+    split = split.withColumn("__mixed", mixed)
+    nothing = F.lit(None).cast(PARSED)
+    items = F.transform(F.when(F.col("__mixed"), F.array(text)).otherwise(F.col("__blocks")), lambda b: F.struct(b.alias("block"), nothing.alias("row")))
+    given = lambda rows: F.transform(rows, lambda r: F.struct(F.lit(None).cast("string").alias("block"), r.alias("row")))
     if transfer_rows:
         alone = F.col("__many") & (F.size("__blocks") == 1)
-        listed = (good == 0) & ~mixed & ~alone & F.coalesce(is_transfer_list(text), F.lit(False))
-    split = split.withColumn("__blocks", F.when(mixed, F.array(text)).otherwise(F.col("__blocks"))).withColumn("__listed", listed)
-    # the outer form: Spark would push the plain one's "blocks isn't empty" below, and split every text again for it
-    each = split.where("NOT __listed").select(*kept, F.posexplode_outer("__blocks").alias("pos", "__block")).where("pos IS NOT NULL")
-    # parsed inside a generator: filters on its fields can't be pushed below it, where Spark would parse again for each
-    rows = each.select(*kept, "pos", F.explode_outer(F.array(parse_one(F.col("__block"), as_of))).alias("__row")).select(*kept, "pos", "__row.*")
-    if not transfer_rows:
-        return rows
-    return rows.unionByName(_exploded(split.where("__listed").withColumn("__rows", transfer_rows(text)), kept))
+        listed = (good == 0) & ~F.col("__mixed") & ~alone & F.coalesce(is_transfer_list(text), F.lit(False))
+        items = F.when(listed, given(transfer_rows(text).cast(T.ArrayType(PARSED)))).otherwise(items)
+    if shots is not None:
+        items = F.when(F.size("__shots") > 0, given(F.col("__shots"))).otherwise(items)
+    # the outer form: Spark would push the plain one's "items isn't empty" below, and split every text again for it
+    each = split.select(*kept, F.posexplode_outer(items).alias("pos", "__item")).where("pos IS NOT NULL")
+    each = each.select(*kept, "pos", F.col("__item.block").alias("__block"), F.col("__item.row").alias("__given"))
+    rows = parse_each(each, "__block", as_of)
+    return rows.select(*kept, "pos", *[F.when(F.col("__given").isNotNull(), F.col("__given")[n]).otherwise(F.col("__row")[n]).alias(n) for n in PARSED.names])
 
 
 def _kept(df: DataFrame) -> list[Column]:
@@ -190,18 +237,9 @@ def _kept(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns if c not in results]
 
 
-def _exploded(df: DataFrame, kept: list[Column]) -> DataFrame:
-    # the outer form: Spark would push the plain one's "rows isn't empty" below, and parse every text again for it
-    each = df.select(*kept, F.posexplode_outer("__rows").alias("pos", "__row")).where("pos IS NOT NULL")
-    return each.select(*kept, "pos", "__row.*")
-
-
 def parse_text(df: DataFrame, text_col: str, as_of: str, tz: str = "Africa/Addis_Ababa", **hooks) -> DataFrame:
     """parse_many for any pasted text: one that looks like a refill screenshot and has entries gives these, every other its messages."""
     from .ocr import entries
 
-    kept = _kept(df)
-    looks = F.coalesce(is_ocr(F.col(f"`{text_col}`")), F.lit(False))
-    shots = df.where(looks).withColumn("__rows", entries(tz)(F.col(f"`{text_col}`")))
-    messages = df.where(~looks).unionByName(shots.where(F.size("__rows") == 0).drop("__rows"))
-    return _exploded(shots.where(F.size("__rows") > 0), kept).unionByName(parse_many(messages, text_col, as_of, **hooks))
+    text = F.col(f"`{text_col}`")
+    return _parse(df, text_col, as_of, entries(tz)(F.when(is_ocr(text), text)), **hooks)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import DAY_MS, entry_to_santim, format_day, format_etb, format_moment, iso_millis, local_day, signed_etb, start_of_day, text_to_santim, type_label
+from ..functions.scalar import DAY_MS, entry_to_santim, format_day, format_etb, format_moment, iso_millis, local_day, millis_iso, signed_etb, start_of_day, text_to_santim, type_label
 from ..operators import findings as rules
 from ..operators import ingest, listing, ocr, sms
 from ..sources import store
@@ -242,6 +243,49 @@ def delete_by_id(spark, sf_dir):
     return ingest.delete(t, t.where("type = 'credit'").select("id"))
 
 
+@query("""WITH RECURSIVE txn AS (SELECT 'e' || event_id AS id, event_id * 60000 + (event_id % 7) * 1000 AS ms FROM events),
+        r AS MATERIALIZED (SELECT id, ms, min(ms) OVER (ORDER BY ms RANGE BETWEEN 600001 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_ms, row_number() OVER (ORDER BY ms) AS pos FROM txn),
+        g AS (SELECT id, next_ms FROM r WHERE pos = 1 UNION ALL SELECT r.id, r.next_ms FROM g JOIN r ON r.ms = g.next_ms)
+    SELECT id, id IN (SELECT id FROM g) AS kept FROM txn""")
+def ingest_long_island(spark, sf_dir):
+    """All rows are of one key, a minute apart: one island."""
+    number = F.substring("id", 2, 20).cast("long")
+    alike = {"type": "in", "party": "one", "channel": "CBE"}
+    rows = transactions(spark, sf_dir).withColumns({c: F.lit(v) for c, v in alike.items()}).withColumn("amountSantim", F.lit(1).cast("long"))
+    rows = rows.withColumn("date", millis_iso(number * 60_000 + number % 7 * 1000)).withColumn("seq", number)
+    return ingest.dedupe(rows, long_island=2_000).select("id", "kept")
+
+
+@query("WITH RECURSIVE " + COARSE[5:] + _DEDUPE + """, g AS (SELECT key, id, next_ms FROM r WHERE pos = 1
+        UNION ALL SELECT r.key, r.id, r.next_ms FROM g JOIN r ON r.key = g.key AND r.ms = g.next_ms) SELECT id FROM g""")
+def ledger_concurrent_insert(spark, sf_dir):
+    """Two writers insert the same rows at once."""
+    path = scratch_path(spark, "ledger")
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda _: store.Ledger(spark, path).add_deduped(_numbered(spark, sf_dir)), range(2)))
+    return store.Ledger(spark, path).transactions().select("id")
+
+
+@query(FINE + f"SELECT {ROW.replace('amount AS', 'CASE WHEN type = $$out$$ THEN 7 ELSE amount END AS')} FROM txn WHERE type <> 'credit'")
+def ledger_update_delete(spark, sf_dir):
+    """Rows put over others and rows deleted, read back without a rewrite."""
+    t = transactions(spark, sf_dir)
+    ledger = store.Ledger(spark, scratch_path(spark, "ledger"))
+    ledger.add(t, now=AS_OF_ISO)
+    ledger.restore(t.where("type = 'out'").withColumn("amountSantim", F.lit(7).cast("long")).withColumn("seq", F.lit(0)))
+    ledger.delete(t.where("type = 'credit'").select("id"))
+    return ledger.transactions().select(*t.columns)
+
+
+@query(FINE + f"SELECT {ROW} FROM txn WHERE ms BETWEEN 1705276800000 AND 1705363199999")
+def ledger_one_day(spark, sf_dir):
+    """One day of a ledger, from the files that hold it."""
+    t = transactions(spark, sf_dir)
+    ledger = store.Ledger(spark, scratch_path(spark, "ledger"))
+    ledger.add(t, now=AS_OF_ISO)
+    return ledger.transactions(1_705_276_800_000, 1_705_363_199_999).select(*t.columns)
+
+
 _CELL = """CASE WHEN regexp_matches(x, '[",\\n]') THEN '"' || replace(x, '"', '""') || '"' ELSE x END"""
 
 

@@ -12,6 +12,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table read, dealt out if it comes in fewer partitions than there are cores (one small file does) and costly work follows."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _amount_fine() -> Column:
     return F.floor(F.col("value") * 100 + 0.5).cast("long")
 
@@ -42,7 +48,7 @@ def transactions(spark: SparkSession, sf_dir: str, coarse: bool = False) -> Data
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(msg_id, text): money alerts made from orders and customers, one template after another."""
-    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = spread(read(spark, sf_dir, "orders")).join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     amount, name, ref = F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.regexp_replace("c_name", "#", " "), F.concat(F.lit("Ref: TB"), F.col("o_orderkey").cast("string"))
     s = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     templates = [
@@ -66,7 +72,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): refill lists of three entries made from every order."""
-    o = read(spark, sf_dir, "orders")
+    o = spread(read(spark, sf_dir, "orders"))
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     amount = F.format_number(F.col("o_totalprice"), 2)
     entry = lambda h, n: F.concat(day, F.lit(f" {h}:05 PM\n{n} Abebe\n"), amount, F.lit(" Birr\n"))
