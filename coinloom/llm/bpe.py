@@ -64,8 +64,10 @@ _NEWER = re.compile("([" + "".join(f"\\U{a:0>8}-\\U{b:0>8}" for a, b in (span.sp
 
 
 def composed(text: str) -> str:
-    """NFC as the tokenizer's tables have it."""
-    return "".join(unicodedata.normalize("NFC", part) for part in _NEWER.split(text))
+    """NFC as the tokenizer's tables have it: what they don't know stays as it is, in its order."""
+    parts = _NEWER.split(text)
+    parts[::2] = [unicodedata.normalize("NFC", part) for part in parts[::2]]
+    return "".join(parts)
 
 
 def category_class(major: str) -> str:

@@ -193,7 +193,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 x = features(block)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(x.tolist(), pa.list_(pa.float64()))], ["id", "label", "x"])
 
-    measured = joined.select(F.col("__id").alias("id"), F.col("__label").alias("label"), "text").mapInArrow(run, "id long, label int, x array<double>")
+    measured = joined.select(F.col("__id").alias("id"), F.col("__label").alias("label"), "text").mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, label int, x array<double>")
     table = measured.groupBy("id").agg(F.min(F.struct("label", "x")).alias("r")).select("id", "r.label", "r.x").toArrow().sort_by("id")
     x = np.array(table["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, table["label"].to_numpy().astype(np.float64))

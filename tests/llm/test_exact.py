@@ -71,6 +71,9 @@ def test_bpe_composes_marks_as_the_library():
     others = [c for c in range(0x300, 0x20000) if unicodedata.category(chr(c)) == "Cn"]
     texts = [s for c in map(chr, marks + others) for s in (f"e{c}\u0301", f"a{c}\u0323", f"\u00e9{c}", f"a\u0301{c}\u0323", f"{c}\u0301\u0323")]
     texts += ["\U00011935\U00011930", "\U00011938\u0301", "x\U00011935\u0323\U00011930"]
+    newer = [c for c in map(chr, range(0x20000)) if bpe._NEWER.fullmatch(c)]
+    rng = random.Random(2)
+    texts += [f"e{a}{b}" for a, b in (rng.sample(newer, 2) for _ in range(6000))] + ["\u0eba\u1715", "\u1ac9\u1aca\u0301", "\u089c\u1df9e\u0323\u0301", "\u089e\u0301\u0d3b"]
     got = bpe.encode_texts(model, texts, {})
     assert not [t for t, g, w in zip(texts, got, lib.encode_batch(texts, add_special_tokens=False)) if np.frombuffer(g, np.int32).tolist() != w.ids]
 

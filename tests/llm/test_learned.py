@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from coinloom.llm import gam, langid, quality_rules, queries
 from coinloom.llm.common import crc_mod
@@ -132,6 +133,9 @@ def test_gam_matches_plain_tables_and_trees(spark, odd):
         assert np.allclose(gam.tree(g, h), plain_tree(g, h))
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     model = gam.train(docs, spark.read.parquet(f"{BIG}/labels.parquet"))
+    named = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")))
+    few = spark.read.parquet(f"{BIG}/labels.parquet").where("doc_id < 400")
+    assert len(gam.train(named(docs), named(few))["pairs"]) == gam.PAIRS  # ids of any type
     assert len(model["pairs"]) == gam.PAIRS and all(np.abs(t).max() > 0 for _, _, t in model["pairs"])
     from coinloom.llm.textbatch import blocks
 
