@@ -21,6 +21,7 @@ from __future__ import annotations
 import gc
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -37,11 +38,13 @@ from .common import materialize, rows_batches, text_bytes
 
 BATCH_BYTES = 1 << 20
 #: Chunks a worker keeps.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 350_000
 #: Characters given to the tokenizers at once.
 STEP_CHARS = 1 << 16
 SPACE = "\u2581"
 _CUT = re.compile(r"(?<=[^\s\u180e\u200b\ufeff])(?= +[^ ])")
+#: A space that is not a cut on its own: beside another or other white space, or at an end.
+_UNEVEN = re.compile(r"[\s\u180e\u200b\ufeff] | \Z|\A ")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -74,8 +77,7 @@ class Aligner:
         for name, i in names.items():
             self.a_bytes[i] = bytes(to_byte[c] for c in name) if all(c in to_byte for c in name) else name.encode()
         self.b_bytes = [self._piece_bytes(i) for i in range(self.b.get_piece_size())]
-        self.pairs = possible_pairs(self.a_bytes, self.b_bytes)
-        self.keys = np.array([a << 32 | b for a, b in self.pairs], np.int64)
+        self.keys = possible_pairs(self.a_bytes, self.b_bytes)
         self.written_a = Written(len(self.a_bytes), (",", "|"))
         self.written_b = Written(len(self.b_bytes), (",", ";", ""))
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes))
@@ -96,7 +98,7 @@ class Aligner:
 
     def align(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, list[str]]:
         """By text the numbers of A tokens, B tokens and groups, then all links one after another, and the groups as text."""
-        cut = [_CUT.split(" " + t) if t else [] for t in texts]
+        cut = [_chunks(t) if t else [] for t in texts]
         used = set().union(*cut)
         if len(self.number) + len(used) > CACHE_CHUNKS:
             self._forget()
@@ -157,8 +159,7 @@ class Aligner:
         ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
         octets = np.frombuffer(data, np.uint8)
         place = np.append(np.flatnonzero(octets & 0xC0 != 0x80), len(octets))
-        cuts = self._cuts(a_spans, b_spans, ends_a, ends_b, place)
-        upto_a, upto_b = np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1  # tokens up to each cut
+        cuts, upto_a, upto_b = self._cuts(a_spans, b_spans, ends_a, ends_b, place)
         each_a, each_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
         last = np.searchsorted(cuts, place[np.cumsum([len(c) for c in chunks])])  # each chunk's last group
         sign_a, sign_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
@@ -175,8 +176,8 @@ class Aligner:
         links = np.searchsorted(self.keys, a[upto_a - 1] << 32 | b[upto_b - 1]).astype(np.int32)
         return Step(groups, np.diff(upto_a[last], prepend=0), np.diff(upto_b[last], prepend=0), np.diff(last, prepend=-1), links)
 
-    def _cuts(self, a_spans: np.ndarray, b_spans: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Byte places where tokens of both end; spans are in characters, `place` has each character's first byte."""
+    def _cuts(self, a_spans: np.ndarray, b_spans: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte places where tokens of both end, and the tokens of each up to there; spans are in characters, `place` has each character's first byte."""
         # a token of A ends at a character's end if the next doesn't begin before it; B's tokens do, but for those of an empty span
         done_a = np.append(a_spans[1:, 0], len(place) - 1) >= a_spans[:, 1]
         done_b = b_spans[:, 0] < b_spans[:, 1]
@@ -187,8 +188,14 @@ class Aligner:
         # ends inside a character: only where both have several tokens and a character has several bytes
         fine = (each_a > 1) & (each_b > 1) & (np.diff(cuts, prepend=0) > np.diff(coarse, prepend=0))
         if not fine.any():
-            return cuts
-        return np.union1d(cuts, np.intersect1d(ends_a[np.repeat(fine, each_a)], ends_b[np.repeat(fine, each_b)], assume_unique=True))
+            return cuts, upto_a, upto_b
+        cuts = np.union1d(cuts, np.intersect1d(ends_a[np.repeat(fine, each_a)], ends_b[np.repeat(fine, each_b)], assume_unique=True))
+        return cuts, np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1
+
+
+def _chunks(text: str) -> list[str]:
+    """A space and the text, cut before each space that follows no white space and isn't at the end."""
+    return _CUT.split(" " + text) if _UNEVEN.search(text) else [" " + word for word in text.split(" ")]
 
 
 class Written:
@@ -211,18 +218,22 @@ def _steps(chunks: list[str]) -> Iterator[list[str]]:
         yield step
 
 
-def possible_pairs(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
-    """Pairs of ids whose tokens can end together: one's bytes end with the other's. At most the sum of all lengths, times the ids that share bytes."""
+def possible_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Pairs of ids whose tokens can end together, sorted, a's in the upper half of a number: one's bytes end with the other's. At most the sum of all lengths, times the ids that share bytes."""
     by_a: dict[bytes, list[int]] = {}
     by_b: dict[bytes, list[int]] = {}
     for names, of in ((a, by_a), (b, by_b)):
         for i, name in enumerate(names):
             if name:
                 of.setdefault(name, []).append(i)
-    ends = lambda name, first: [name[k:] for k in range(first, len(name))]
-    within_b = {(i, j) for j, name in enumerate(b) for end in ends(name, 0) for i in by_a.get(end, ())}
-    within_a = {(i, j) for i, name in enumerate(a) for end in ends(name, 1) for j in by_b.get(end, ())}
-    return sorted(within_a | within_b)
+    found = array("q")
+    for j, name in enumerate(b):
+        for k in range(len(name)):
+            found.extend([i << 32 | j for i in by_a.get(name[k:], ())])
+    for i, name in enumerate(a):
+        for k in range(1, len(name)):
+            found.extend([i << 32 | j for j in by_b.get(name[k:], ())])
+    return np.unique(np.frombuffer(found, np.int64))
 
 
 @lru_cache(maxsize=2)
@@ -261,11 +272,11 @@ def with_counts(aligned: DataFrame, file_text: str, model: bytes) -> DataFrame:
     The table is written once; its pairs are counted by number, a row a possible pair at most.
     """
     rows = materialize(aligned, "aligned")
-    pairs = load_aligner(file_text, model).pairs
-    found = rows.select(F.explode("links").alias("pair")).groupBy("pair").count().toArrow()  # len(pairs) rows at most
-    counts = np.zeros(len(pairs), np.int64)
+    keys = load_aligner(file_text, model).keys
+    found = rows.select(F.explode("links").alias("pair")).groupBy("pair").count().toArrow()  # len(keys) rows at most
+    counts = np.zeros(len(keys), np.int64)
     counts[found["pair"].to_numpy()] = found["count"].to_numpy()
-    to = np.array([b for _, b in pairs])
+    to = keys & 0xFFFFFFFF
     most = np.zeros(to.max(initial=0) + 1, np.int64)
     np.maximum.at(most, to, counts)
     shared = rows.sparkSession.sparkContext.broadcast((counts, counts == most[to]))
