@@ -35,36 +35,45 @@ def _sum(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col("amountSantim"))), F.lit(0)).cast("long")
 
 
-def history_totals(txns: DataFrame) -> DataFrame:
+def _count(n: Column | None) -> Column:
+    """Number of rows, or `n` where a row stands for several."""
+    return (F.count("*") if n is None else n).alias("n")
+
+
+def history_totals(txns: DataFrame, n: Column | None = None) -> DataFrame:
     """Money in, everything else, and the count of a listing."""
-    return txns.agg(_sum(F.col("type") == "in").alias("in_sum"), _sum(F.col("type") != "in").alias("out_sum"), F.count("*").alias("n"))
+    return txns.agg(_sum(F.col("type") == "in").alias("in_sum"), _sum(F.col("type") != "in").alias("out_sum"), _count(n))
 
 
-def tiles(txns: DataFrame, as_of_ms: int, tz: str) -> DataFrame:
-    """Today's sums in zone tz, and all open credit."""
-    today = local_day(iso_millis("date"), tz) == local_day(F.lit(as_of_ms), tz)
+def tiles(txns: DataFrame, as_of_ms: int, tz: str, day: Column | None = None) -> DataFrame:
+    """Today's sums in zone tz, and all open credit; `day` is the rows' day there, if they have it."""
+    today = (local_day(iso_millis("date"), tz) if day is None else day) == local_day(F.lit(as_of_ms), tz)
     kinds = [_sum(today & (F.col("type") == t)).alias(f"{t}_today") for t in ("in", "out", "airtime")]
     return txns.agg(*kinds, _sum(open_credit()).alias("open_credit"))
 
 
-def export_totals(txns: DataFrame) -> DataFrame:
-    return txns.agg(F.count("*").alias("n"), _sum(F.col("type") == "in").alias("in_sum"), _sum(F.col("type") == "out").alias("out_sum"))
+def export_totals(txns: DataFrame, n: Column | None = None) -> DataFrame:
+    return txns.agg(_count(n), _sum(F.col("type") == "in").alias("in_sum"), _sum(F.col("type") == "out").alias("out_sum"))
+
+
+def party_name() -> Column:
+    """The party without white space at both ends; blank ones are Unknown."""
+    return F.coalesce(F.nullif(trim_all("party"), F.lit("")), F.lit("Unknown"))
 
 
-def party_rollup(txns: DataFrame) -> DataFrame:
-    """Sums, count and last date of every party; blank parties are Unknown; out is what is neither in nor open credit."""
-    name = F.coalesce(F.nullif(trim_all("party"), F.lit("")), F.lit("Unknown"))
+def party_rollup(txns: DataFrame, n: Column | None = None) -> DataFrame:
+    """Sums, count and last date of every party; out is what is neither in nor open credit."""
     is_in = F.col("type") == "in"
-    return txns.groupBy(name.alias("party")).agg(
+    return txns.groupBy(party_name().alias("party")).agg(
         _sum(is_in).alias("in_sum"),
         _sum(~is_in & ~open_credit()).alias("out_sum"),
         _sum(open_credit()).alias("credit_sum"),
-        F.count("*").alias("n"),
+        _count(n),
         F.max("date").alias("last"),
     )
 
 
-def party_ranking(txns: DataFrame) -> DataFrame:
+def party_ranking(txns: DataFrame, n: Column | None = None) -> DataFrame:
     """The rollup by turnover; ties go to the party seen last, then by name."""
-    rolled = party_rollup(txns).withColumn("net", F.col("in_sum") - F.col("out_sum"))
+    rolled = party_rollup(txns, n).withColumn("net", F.col("in_sum") - F.col("out_sum"))
     return rolled.orderBy(F.desc(F.col("in_sum") + F.col("out_sum") + F.col("credit_sum")), F.desc("last"), "party")

@@ -15,6 +15,7 @@ from ..sources import store
 from ..sources.adapters import form_entries as entries
 from ..sources.adapters import messages, pasted, screenshots, transactions
 from ..sources.scratch import scratch_path
+from ..streaming.views import LedgerTotals
 
 #: 2024-01-31 and 2024-03-10, midnight UTC.
 AS_OF, AS_OF_CREDIT = 1_706_659_200_000, 1_710_028_800_000
@@ -286,6 +287,42 @@ def ledger_one_day(spark, sf_dir):
     return ledger.transactions(1_705_276_800_000, 1_705_363_199_999).select(*t.columns)
 
 
+_CHANGED = FINE + ", changed AS (SELECT * REPLACE (CASE WHEN type = 'out' THEN 7 ELSE amount END AS amount) FROM txn WHERE type <> 'credit' OR id[2:]::BIGINT % 3 <> 0) "
+
+
+def _changed_totals(spark, sf_dir) -> LedgerTotals:
+    """Totals that followed two insertions, an update of all outflows and a deletion of every third credit."""
+    t = transactions(spark, sf_dir)
+    number = F.substring("id", 2, 20).cast("long")
+    ledger = store.Ledger(spark, scratch_path(spark, "ledger"))
+    totals = LedgerTotals(ledger, scratch_path(spark, "totals"), ZONE)
+    changed = t.where("type = 'out'").withColumn("amountSantim", F.lit(7).cast("long")).withColumn("seq", F.lit(0))
+    for change in (
+        lambda: ledger.add(t.where(number % 2 == 0), now=AS_OF_ISO),
+        lambda: ledger.add(t.where(number % 2 == 1), now=AS_OF_ISO),
+        lambda: ledger.restore(changed),
+        lambda: ledger.delete(t.where((F.col("type") == "credit") & (number % 3 == 0)).select("id")),
+    ):
+        change()
+        totals.refresh()
+    return totals
+
+
+@query(_CHANGED + _ROLLUP.replace("FROM txn", "FROM changed"))
+def party_rollup_incremental(spark, sf_dir):
+    return _changed_totals(spark, sf_dir).party_rollup()
+
+
+@query(
+    _CHANGED
+    + ", t AS (SELECT *, ((ms + 10800000) // 86400000) = ((1705320000000 + 10800000) // 86400000) AS today FROM changed) SELECT "
+    + ", ".join(f"coalesce(sum(amount) FILTER (today AND type = '{t}'), 0)::BIGINT AS {t}_today" for t in ("in", "out", "airtime"))
+    + ", coalesce(sum(amount) FILTER (type = 'credit' AND NOT settled), 0)::BIGINT AS open_credit FROM t"
+)
+def tiles_incremental(spark, sf_dir):
+    return _changed_totals(spark, sf_dir).tiles(TODAY)
+
+
 _CELL = """CASE WHEN regexp_matches(x, '[",\\n]') THEN '"' || replace(x, '"', '""') || '"' ELSE x END"""
 
 

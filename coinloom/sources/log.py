@@ -95,6 +95,21 @@ class TableLog:
             self._known = self._known.after(self._known.version + 1, change)
         return self._known
 
+    def at(self, version: int) -> Snapshot:
+        """The table as of a commit."""
+        found = Snapshot()
+        for number in range(1, version + 1):
+            found = found.after(number, self._read(number))
+        return found
+
+    def replaced(self, after: int, upto: int) -> bool:
+        """Whether a commit after one, up to another, replaced all before it."""
+        return any(self._read(number).replaces for number in range(after + 1, upto + 1))
+
+    def ids(self, lists: Iterable[str]) -> DataFrame:
+        """The ids of these lists."""
+        return self.spark.read.schema("id string").parquet(*[f"{self.path}/{p}" for p in lists]).distinct()
+
     def put(self, version: int, change: Change) -> bool:
         """Make the change commit `version`; false, and nothing done, if there is one."""
         body = json.dumps({"files": [list(f[:4]) for f in change.files], "gone": list(change.gone), "replaces": change.replaces, "batch": change.batch})

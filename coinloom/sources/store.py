@@ -42,6 +42,11 @@ class Ledger:
         self.spark, self.path = spark, path.rstrip("/")
         self._txns, self._ignored = TableLog(spark, f"{self.path}/transactions"), TableLog(spark, f"{self.path}/ignored")
 
+    @property
+    def log(self) -> TableLog:
+        """The transactions' commits and files."""
+        return self._txns
+
     def version(self) -> int:
         """Number of the newest commit of the transactions."""
         return self._txns.snapshot().version
