@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import DAY_MS, entry_to_santim, format_day, format_etb, format_moment, iso_millis, local_day, millis_iso, signed_etb, start_of_day, text_to_santim, type_label
 from ..operators import findings as rules
 from ..operators import ingest, listing, ocr, sms
-from ..sources import store
+from ..sources import document, store
 from ..sources.adapters import form_entries as entries
 from ..sources.adapters import messages, pasted, screenshots, transactions
 from ..sources.scratch import scratch_path
@@ -362,6 +362,15 @@ def backup_round_trip(spark, sf_dir):
     return store.read_backup(spark, path).select(*t.columns)
 
 
+@query(FINE + f"SELECT {ROW} FROM txn")
+def backup_document_round_trip(spark, sf_dir):
+    """One document, written as one file and read by many tasks."""
+    t = transactions(spark, sf_dir)
+    path = scratch_path(spark, "document")
+    document.write_document(t, path)
+    return document.read_document(spark, path).select(*t.columns)
+
+
 @query(r"""SELECT c_custkey, replace(c_name, '#', ' ') AS party, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS note,
     floor(round(abs(c_acctbal), 2)::DOUBLE * 100 + 0.5)::BIGINT AS "amountSantim" FROM customer WHERE c_custkey % 7 <> 0 AND floor(round(abs(c_acctbal), 2)::DOUBLE * 100 + 0.5) > 0""")
 def form_entries(spark, sf_dir):
