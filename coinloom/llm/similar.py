@@ -1,9 +1,12 @@
 """SimHash near-duplicates by similarity: covering LSH over the words of a long fingerprint.
 
 Texts are linked if their long SimHash fingerprints of distinct lower-cased five-word
-shingles differ in a sixth of the bits at most. Two sets of Jaccard similarity s differ in
+shingles differ in a sixth of the bits at most and the shingles' Jaccard similarity is 0.8
+or more. Two sets of Jaccard similarity s differ in
 about acos(2s / (1 + s)) / pi of the bits, so a sixth stands for a similarity of 0.79; with
-768 bits the estimate's standard deviation is 0.03. Groups are the components.
+768 bits the estimate's standard deviation is 0.03. Up to an eleventh of the bits (an
+estimate of 0.92, four standard deviations above) links hold without a look at the texts;
+for all others the shingles are counted. Groups are the components.
 
 A fingerprint is a row of 64-bit words. Each of the first words has the 15 covering tables
 of radius 3 (see simhash): pairs that differ in 3 bits or less in some word always meet,
@@ -16,7 +19,9 @@ Tables hold one word and a hash of the text. Only texts that agree well in the r
 word with another of their bucket are compared by whole fingerprints. A bucket of over CAP
 texts is cut by quarters of the word (within 3 bits, one quarter agrees), three times;
 what is still fuller is compared in slices of CAP, to each of which the linked sets
-before it lend a representative. Buckets emit stars, not pairs.
+before it lend a representative. A bucket emits a tree of links for each linked set, not
+all pairs: a text whose links in all its buckets' trees are under 0.8 stays apart, even if
+it has a neighbor at 0.8 that they passed by.
 
 Null texts count as empty, empty texts are equal, texts under five words are one shingle.
 Equality of texts and shingles is that of 64-bit hashes. Rows without an id take part and
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_batches, text_bytes
+from .common import join_by_count, materialize, maybe_in, rows_batches, text_bytes
 from .linededup import WordHashes
 from .simhash import RADIUS, components, covering_masks
 from .textbatch import mix
@@ -42,6 +47,8 @@ from .textbatch import mix
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fewest words of a fingerprint, least probability of meeting at SIMILARITY, one in so many bits may differ.
 WORDS, RECALL, BITS_A_LINK = 12, 0.98, 6
+#: Of links that differ in more than one in so many bits the shingles are compared; most comparisons that share a copy of one text's shingles.
+BITS_A_SURE_LINK, COMPARISONS_A_COPY = 11, 2_000
 CAP, MOST_CUTS = 32_768, 3
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = "key long, id long, word long"
@@ -76,14 +83,20 @@ def table_plan(rows: int) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - one)))
 
 
-def long_fingerprint(text: bytes, words: int, shingle: int = SHINGLE) -> np.ndarray:
-    """The SimHash of the text's distinct shingles as so many 64-bit words."""
+def distinct_shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     found = WordHashes(text.lower())
     width = min(shingle, found.n)
     if not width:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, np.uint64)
     at = np.arange(found.n - width + 1)
-    hashes = np.unique(found.runs(at, at + width))
+    return np.unique(found.runs(at, at + width))
+
+
+def long_fingerprint(text: bytes, words: int, shingle: int = SHINGLE) -> np.ndarray:
+    """The SimHash of the text's distinct shingles as so many 64-bit words."""
+    hashes = distinct_shingles(text, shingle)
+    if not len(hashes):
+        return np.zeros(words, np.uint64)
     ones = np.zeros(64 * words, np.int64)
     salts = np.arange(1, words + 1, dtype=np.uint64) * _GOLDEN
     for a in range(0, len(hashes), 2048):
@@ -198,45 +211,55 @@ def close(batches: Iterator[pa.RecordBatch], most: int, cap: int, cuts_left: boo
         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(full)], ["key", "id", "word", "full"]).filter(pa.array(keep))
 
 
-def linked_sets(words: np.ndarray, most: int) -> np.ndarray:
-    """For each row the first row of its linked set: breadth first over what no set has taken yet."""
-    label = np.arange(len(words))
+def linked_tree(words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the first row of its linked set, the row of the set that it was found from and the bits they differ in, over what no set has taken yet."""
+    label, parent = np.arange(len(words)), np.arange(len(words))
+    differ = np.zeros(len(words), np.int32)
     left = np.arange(len(words))
     while len(left):
         seed, queue, left = left[0], [left[0]], left[1:]
         rest = words[left]
         while queue and len(left):
-            hit = np.bitwise_count(rest ^ words[queue.pop()]).sum(1) <= most
+            at = queue.pop()
+            bits = np.bitwise_count(rest ^ words[at]).sum(1)
+            hit = bits <= most
             if hit.any():
-                label[left[hit]] = seed
-                queue += left[hit].tolist()
+                found = left[hit]
+                label[found], parent[found], differ[found] = seed, at, bits[hit]
+                queue += found.tolist()
                 left, rest = left[~hit], rest[~hit]
-    return label
+    return label, parent, differ
+
+
+def linked_sets(words: np.ndarray, most: int) -> np.ndarray:
+    """For each row the first row of its linked set."""
+    return linked_tree(words, most)[0]
 
 
-def stars(batches: Iterator[pa.RecordBatch], most: int, cap: int) -> Iterator[pa.RecordBatch]:
-    """(member, least member) of each linked set of each bucket of rows (key, id, words)."""
+def trees(batches: Iterator[pa.RecordBatch], most: int, cap: int) -> Iterator[pa.RecordBatch]:
+    """(member, member it is linked to, bits they differ in) of each linked set of each bucket of rows (key, id, words)."""
     lent: tuple | None = None  # of the pieces before: key, ids and words of representatives
     for rows, piece in in_buckets(batches, cap):
         key, ids = rows.column(0).to_numpy(), rows.column(1).to_numpy()
         words = rows.column(2).flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-        u, v = [], []
+        u, v, bits = [], [], []
         if piece and lent and lent[0] == key[0]:
             ids, words = np.concatenate((lent[1], ids)), np.concatenate((lent[2], words))
             key = np.full(len(ids), key[0])
         for a, b in _buckets(key):
-            label = a + linked_sets(words[a:b], most)
-            moved = label != np.arange(a, b)
+            _, parent, differ = linked_tree(words[a:b], most)
+            moved = parent != np.arange(b - a)
             u.append(ids[a:b][moved])
-            v.append(ids[label[moved]])
+            v.append(ids[a:b][parent[moved]])
+            bits.append(differ[moved])
             if piece:
                 lent = key[0], ids[~moved], words[~moved]
         if u:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (u, v, bits)], ["u", "v", "bits"])
 
 
 def links(prints: DataFrame, words: int, plan: tuple[int, int], cap: int = CAP) -> DataFrame:
-    """Edges (u, v) whose components are the groups of prints (id, words), one row an id."""
+    """Edges (u, v, bits) whose components are the groups of prints (id, words) by estimate, one row an id."""
     bits, tabled = plan
     others = 64 - bits * 8 // 15
     p = differing_share()
@@ -254,7 +277,40 @@ def links(prints: DataFrame, words: int, plan: tuple[int, int], cap: int = CAP)
         rows, level = quarters(full, level), level + 1
     some = near.where("not full").select("key", "id").join(prints, "id").select("key", "id", "words")
     differ = 64 * words // BITS_A_LINK
-    return materialize(by_bucket(some).mapInArrow(lambda it: stars(it, differ, cap), "u long, v long").distinct(), "edges")
+    return materialize(by_bucket(some).mapInArrow(lambda it: trees(it, differ, cap), "u long, v long, bits int").distinct(), "edges")
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(id, shingles) of (id, text): the hashes of the distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_batches(batches):
+            sets = [distinct_shingles(t).view(np.int64) for t in text_bytes(batch.column(1))]
+            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["id", "shingles"])
+
+    return texts.mapInArrow(run, "id long, shingles array<long>")
+
+
+def exact_links(edges: DataFrame, df: DataFrame, words: int, similarity: float = SIMILARITY) -> DataFrame:
+    """The edges (u, v) of texts of df (id, text) that are as similar as that; ids may repeat in df, with one text.
+
+    A text that many are compared with lends each COMPARISONS_A_COPY of them a copy of its shingles.
+    """
+    sure = 64 * words // BITS_A_SURE_LINK
+    doubtful = materialize(edges.where(F.col("bits") > sure).select("u", "v"), "doubtful")
+    copies = F.ceil(F.col("n") / COMPARISONS_A_COPY).cast("int")
+    shared = materialize(doubtful.groupBy("v").agg(F.count("*").alias("n")), "shared")
+    ids = materialize(doubtful.select(F.col("u").alias("id")).unionByName(shared.select(F.col("v").alias("id"))).distinct(), "compared")
+    once = maybe_in(df.select("id", "text"), ids, ("id",)).groupBy("id").agg(F.first("text").alias("text"))
+    sets = materialize(shingle_sets(once.join(ids, "id", "left_semi").select("id", "text")), "shingles")
+    lent = sets.join(shared, sets["id"] == shared["v"]).select("v", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), F.col("shingles").alias("theirs"))
+    asked = join_by_count(doubtful, shared, ["v"]).select("u", "v", F.pmod(F.xxhash64("u"), copies.cast("long")).cast("int").alias("copy"))
+    pairs = asked.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("ours")), "u").join(lent, ["v", "copy"])
+    common = F.size(F.array_intersect("ours", "theirs"))
+    alike = common >= similarity * (F.size("ours") + F.size("theirs") - common) - 1e-9
+    held = pairs.where(alike).select("u", "v")
+    return materialize(edges.where(F.col("bits") <= sure).select("u", "v").unionByName(held), "links")
 
 
 def similar_groups(df: DataFrame, cap: int = CAP) -> DataFrame:
@@ -265,7 +321,8 @@ def similar_groups(df: DataFrame, cap: int = CAP) -> DataFrame:
     rows = materialize(fingerprints(df, words), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     prints = materialize(rows.groupBy("id").agg(F.min(order).alias("least"), F.first("words").alias("words")), "prints")
-    roots = components(links(prints.select("id", "words"), words, plan, cap))
+    texts = df.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    roots = components(exact_links(links(prints.select("id", "words"), words, plan, cap), texts, words))
     rooted = prints.select("id", "least").join(roots, prints["id"] == roots["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     rooted = materialize(rooted, "rooted")
     firsts = rooted.groupBy("root").agg(F.min(F.struct("least", F.col("id").alias("at"))).alias("f")).select("root", "f.least", "f.at")

@@ -264,7 +264,7 @@ def test_similar_groups_hold_all_similar_pairs(spark, docs):
     for d, c in group.items():
         members[c].add(d)
     for c, m in members.items():  # what is linked is near: every member to some other
-        assert c == min(m) and all(len(m) == 1 or max(pairs.get((min(a, b), max(a, b)), 0) for b in m if b != a) >= 0.66 for a in m if a > 3)
+        assert c == min(m) and all(len(m) == 1 or max(pairs.get((min(a, b), max(a, b)), 0) for b in m if b != a) >= 0.8 for a in m if a > 3)
     assert similar.similar_groups(docs.limit(0)).count() == 0 and similar.similar_groups(docs).count() == docs.count()
 
 
