@@ -7,14 +7,33 @@ into time buckets of that length, each row also into the next bucket: no key and
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import DAY_MS, iso_millis, utc_day
 from .listing import open_credit
 
+#: Limits of the rules, amounts in santim.
 DUPLICATE_MS = 600_000
 PROBE_MS = 1_800_000
+OUTFLOW_DAYS, OUTFLOW_TIMES = 30, 3
+AIRTIME_TIMES, AIRTIME_FLOOR, AIRTIME_ROWS = 3, 5000, 4
+CREDIT_DAYS, CREDIT_HIGH_DAYS = 30, 60
+PROBE_MOST, PROBE_UNIT, PROBE_TIMES = 10_000, 100_000, 20
+#: Titles and reasons of the findings; the columns of a transaction and the age stand in braces.
+DUPLICATE_TITLE = "Possible duplicate transaction"
+DUPLICATE_REASON = 'Same {type} of the same amount to "{party}" via {channel} within 10 minutes.'
+OUTFLOW_TITLE = "Unusually large outflow"
+OUTFLOW_REASON = "More than 3× your 30-day median outflow."
+AIRTIME_TITLE = "Airtime spike on {day}"
+AIRTIME_REASON = "Airtime that day is more than 3× your daily average."
+CREDIT_TITLE = "Open credit {age}d old"
+CREDIT_REASON = 'Credit to "{party}" hasn\'t been marked settled.'
+PROBE_TITLE = "Small test transfer before a large one"
+PROBE_REASON = 'A tiny round transfer to "{party}" was followed by a much larger one within 30 minutes.'
+
 KEY = ("type", "amountSantim", "__party", "channel")
 
 
@@ -32,17 +51,22 @@ def with_previous(rows: DataFrame, keys: tuple[str, ...], reach_ms: int, columns
     return found.where(F.col("__ms") - F.col("prev___ms") <= reach_ms)
 
 
+def _filled(text: str, **values: Column) -> Column:
+    """The text with columns in the place of names in braces."""
+    parts = re.split(r"\{(\w+)\}", text)
+    return F.concat(*[values.get(p, F.col(p)) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
 def _finding(id_: Column, severity, kind: str, title, reason, ids: Column) -> list[Column]:
-    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    text = lambda x: _filled(x) if isinstance(x, str) else x
     return [id_.alias("id"), text(severity).alias("severity"), F.lit(kind).alias("kind"), text(title).alias("title"), text(reason).alias("reason"), ids.alias("txnIds")]
 
 
 def duplicates(txns: DataFrame, within_ms: int = DUPLICATE_MS) -> DataFrame:
     """Consecutive rows of one type, amount, party and channel at most within_ms apart."""
     pairs = with_previous(with_key(txns), KEY, within_ms, ("id",))
-    why = F.concat(F.lit("Same "), "type", F.lit(' of the same amount to "'), "party", F.lit('" via '), "channel", F.lit(" within 10 minutes."))
     ids = F.array("prev_id", "id")
-    return pairs.select(*_finding(F.concat(F.lit("dup:"), "prev_id", F.lit(":"), "id"), "medium", "duplicate", "Possible duplicate transaction", why, ids))
+    return pairs.select(*_finding(F.concat(F.lit("dup:"), "prev_id", F.lit(":"), "id"), "medium", "duplicate", DUPLICATE_TITLE, DUPLICATE_REASON, ids))
 
 
 def exact_median(values: DataFrame, column: str, width: int = 65_536) -> DataFrame:
@@ -59,12 +83,12 @@ def exact_median(values: DataFrame, column: str, width: int = 65_536) -> DataFra
     return ranked.agg(F.coalesce((at(low) + at(high)) / 2, F.lit(0.0)).cast("double").alias("median"))
 
 
-def large_outflows(txns: DataFrame, as_of_ms: int, days: int = 30, times: int = 3) -> DataFrame:
+def large_outflows(txns: DataFrame, as_of_ms: int, days: int = OUTFLOW_DAYS, times: int = OUTFLOW_TIMES) -> DataFrame:
     """Recent outflows above so many times their median; rows of the future are recent."""
     recent = txns.where((F.col("type") == "out") & (F.lit(as_of_ms) - iso_millis("date") < days * DAY_MS))
     middle = exact_median(recent, "amountSantim")  # one row
     hits = recent.join(F.broadcast(middle), (F.col("median") > 0) & (F.col("amountSantim") > F.col("median") * times))
-    return hits.select(*_finding(F.concat(F.lit("large:"), "id"), "high", "large_outflow", "Unusually large outflow", "More than 3× your 30-day median outflow.", F.array("id")))
+    return hits.select(*_finding(F.concat(F.lit("large:"), "id"), "high", "large_outflow", OUTFLOW_TITLE, OUTFLOW_REASON, F.array("id")))
 
 
 def airtime_days(txns: DataFrame) -> DataFrame:
@@ -73,35 +97,33 @@ def airtime_days(txns: DataFrame) -> DataFrame:
     return airtime.groupBy("day").agg(F.sum("amountSantim").alias("total"), F.count("*").alias("n"))
 
 
-def airtime_spikes(txns: DataFrame, times: int = 3, floor_santim: int = 5000, min_rows: int = 4) -> DataFrame:
+def airtime_spikes(txns: DataFrame, times: int = AIRTIME_TIMES, floor_santim: int = AIRTIME_FLOOR, min_rows: int = AIRTIME_ROWS) -> DataFrame:
     """Days whose airtime is above so many times the average over days with airtime."""
     airtime = txns.where(F.col("type") == "airtime").withColumn("day", utc_day("date"))
     days = airtime_days(txns)
     overall = days.agg((F.sum("total") / F.count("*")).alias("average"), F.sum("n").alias("rows"))  # one row
     spikes = days.join(F.broadcast(overall), (F.col("rows") >= min_rows) & (F.col("total") > F.col("average") * times) & (F.col("total") > floor_santim))
     members = airtime.join(spikes.select("day"), "day").groupBy("day").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return members.select(*_finding(F.concat(F.lit("airspike:"), "day"), "medium", "airtime_spike", F.concat(F.lit("Airtime spike on "), "day"), "Airtime that day is more than 3× your daily average.", F.col("ids")))
+    return members.select(*_finding(F.concat(F.lit("airspike:"), "day"), "medium", "airtime_spike", AIRTIME_TITLE, AIRTIME_REASON, F.col("ids")))
 
 
 def aging_credits(txns: DataFrame, as_of_ms: int) -> DataFrame:
     """Open credit older than 30 days, high above 60."""
     age = F.lit(as_of_ms) - iso_millis("date")
-    old = txns.where(open_credit() & (age > 30 * DAY_MS))
-    title = F.concat(F.lit("Open credit "), F.floor(age / DAY_MS).cast("string"), F.lit("d old"))
-    why = F.concat(F.lit('Credit to "'), "party", F.lit('" hasn\'t been marked settled.'))
-    return old.select(*_finding(F.concat(F.lit("aging:"), "id"), F.when(age > 60 * DAY_MS, "high").otherwise("medium"), "aging_credit", title, why, F.array("id")))
+    old = txns.where(open_credit() & (age > CREDIT_DAYS * DAY_MS))
+    title = _filled(CREDIT_TITLE, age=F.floor(age / DAY_MS).cast("string"))
+    return old.select(*_finding(F.concat(F.lit("aging:"), "id"), F.when(age > CREDIT_HIGH_DAYS * DAY_MS, "high").otherwise("medium"), "aging_credit", title, CREDIT_REASON, F.array("id")))
 
 
-def probes(txns: DataFrame, round_unit_santim: int = 100_000) -> DataFrame:
+def probes(txns: DataFrame, round_unit_santim: int = PROBE_UNIT) -> DataFrame:
     """A small round outflow directly before one over 20 times as large to the same party, within 30 minutes.
 
     With the default unit only a zero amount is both small and round; pass 10_000 for round hundreds of birr.
     """
     pairs = with_previous(with_key(txns.where(F.col("type") == "out")), (), PROBE_MS, ("id", "party", "amountSantim"))
     small, large = F.col("prev_amountSantim"), F.col("amountSantim")
-    hits = pairs.where((F.col("__ms") - F.col("prev___ms") < PROBE_MS) & (F.col("prev_party") == F.col("party")) & (small <= 10_000) & (small % round_unit_santim == 0) & (large > small * 20))
-    why = F.concat(F.lit('A tiny round transfer to "'), "party", F.lit('" was followed by a much larger one within 30 minutes.'))
-    return hits.select(*_finding(F.concat(F.lit("test:"), "prev_id", F.lit(":"), "id"), "low", "test_before_large", "Small test transfer before a large one", why, F.array("prev_id", "id")))
+    hits = pairs.where((F.col("__ms") - F.col("prev___ms") < PROBE_MS) & (F.col("prev_party") == F.col("party")) & (small <= PROBE_MOST) & (small % round_unit_santim == 0) & (large > small * PROBE_TIMES))
+    return hits.select(*_finding(F.concat(F.lit("test:"), "prev_id", F.lit(":"), "id"), "low", "test_before_large", PROBE_TITLE, PROBE_REASON, F.array("prev_id", "id")))
 
 
 def all_findings(txns: DataFrame, as_of_ms: int) -> DataFrame:
