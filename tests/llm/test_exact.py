@@ -101,6 +101,34 @@ def test_sharding_law_rows(spark, docs):
     assert abs(np.corrcoef(order, np.arange(len(order)))[0, 1]) < 0.15
 
 
+def test_sharding_places_are_uniform(spark):
+    """Over 8 seeds rows of every eighth of the input meet every eighth of the places about equally often, and neighbours part."""
+    frame = spark.range(640).selectExpr("id doc_id", "cast(id as string) text").coalesce(1)
+    counts, apart = np.zeros((8, 8)), 0
+    for seed in range(8):
+        rows = sharding.shard(frame, 1, bucket_bytes=1500, seed=seed).toPandas().sort_values("doc_id")
+        np.add.at(counts, (rows.doc_id // 80, rows.slot // 80), 1)
+        apart += (np.abs(np.diff(rows.slot)) > 80).sum()
+    assert ((counts - 80) ** 2 / 80).sum() < 95  # chi-square with 49 degrees of freedom
+    assert abs(apart / (8 * 639) - 0.766) < 0.03
+
+
+def test_sharding_in_two_passes(spark):
+    """Pass 1 makes folders of coarse buckets, neighbouring buckets in one; pass 2 reads one folder and keeps its buckets' places."""
+    frame = spark.range(3000).selectExpr("id doc_id", "cast(id as string) text").repartition(3)
+    rows = sharding.scatter(frame, 40, 5, 4)
+    assert rows.count() == 3000 and len({f.split("__coarse=")[1][0] for f in rows.inputFiles()}) == 4
+    assert rows.where("__coarse <> __bucket div 10").isEmpty()
+    table = sharding.bucket_table(rows.select("__coarse", "__bucket"))
+    for c in range(4):
+        one = rows.where(rows["__coarse"] == c)
+        part = sharding.permuted(one, table.where(table["__coarse"] == c), 3, 9)
+        places = sorted(r["__place"] for r in part.collect())
+        first = table.where(table["__coarse"] == c).agg({"__offset": "min"}).first()[0]
+        assert places == list(range(first, first + len(places)))
+    assert sharding.coarse_buckets(1) == 1 and sharding.coarse_buckets(64) == 8 and sharding.coarse_buckets(65) == 9 and sharding.coarse_buckets(400_000) == 128
+
+
 def test_sharding_spreads_alike_rows_and_writes(spark, tmp_path):
     rows = [(1, "same", "a", 1)] * 600 + [(i, f"t{i}", None, i) for i in range(100)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, law string, slot long").repartition(4)
