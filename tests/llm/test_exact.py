@@ -371,6 +371,32 @@ def test_mixing_contract(spark, docs, sf_dir):
         assert copies.count() == out.copies.sum() and set(frame.columns) - {"size"} <= set(copies.columns)
 
 
+def test_mixing_cuts_bins_again(spark):
+    """However often the cutting bin is cut, the documents taken are those of one sort by key; any weights, null and not a number too."""
+    rng = random.Random(3)
+    weights = [0.01, 0.25, 1.0, None, float("nan"), 0.0, -2.0, 1e9]
+    rows = [(i, " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(0, 30))), rng.choice(["a", "b", None]), rng.choice(weights)) for i in range(1500)]
+    rows += [(7000, "same words here", "a", 0.5)] * 40
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, grade double").repartition(3)
+    weight = mixing.F.col("grade")
+    taken = lambda n: Counter((r.doc_id, r.text, r.copies) for r in mixing.mix(frame, weight=weight, cut_rows=n).collect())
+    whole, cut = taken(10**9), taken(2)
+    assert whole == cut and len({c for *_, c in whole}) > 1
+    draw = frame.select(mixing.F.col("source").alias("__from"), mixing.word_count().alias("size"), (mixing.F.rand(1) * 1e-4 + 8).alias("__step"))
+    held, level = mixing.cuts(draw, 20)
+    assert level == 2
+    for r in held.collect():
+        mine = draw.where(draw["__from"].eqNullSafe(mixing.F.lit(r.source)))
+        under = mine.where(mixing.bin_at(level) < r["__cut"]).agg({"size": "sum"}).first()[0] or 0
+        assert under == r["__paid"] <= r["__left"] and mine.where(mixing.bin_at(level) == r["__cut"]).count() <= 20
+
+
+def test_mixing_bins_hold_few(spark):
+    """A weight of any size leaves a bin no more than about a thousandth of the documents."""
+    keys = spark.range(200_000).select((mixing.F.log2(-mixing.F.log(mixing.F.rand(5)) / mixing.F.when(mixing.F.col("id") % 2 == 0, 0.003).otherwise(1.0)) * mixing.STEPS).alias("__step"))
+    assert keys.groupBy(mixing.bin_at(0)).count().agg({"count": "max"}).first()[0] < 1.4 * 200_000 * 0.001
+
+
 def plain_top(rows, k=10):
     """All scores of the valid rows; a query's own are all rows with its id."""
     ok = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
