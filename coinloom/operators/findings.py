@@ -62,11 +62,11 @@ def _finding(id_: Column, severity, kind: str, title, reason, ids: Column) -> li
     return [id_.alias("id"), text(severity).alias("severity"), F.lit(kind).alias("kind"), text(title).alias("title"), text(reason).alias("reason"), ids.alias("txnIds")]
 
 
-def duplicates(txns: DataFrame, within_ms: int = DUPLICATE_MS) -> DataFrame:
-    """Consecutive rows of one type, amount, party and channel at most within_ms apart."""
+def duplicates(txns: DataFrame, within_ms: int = DUPLICATE_MS, also: tuple[str, ...] = ()) -> DataFrame:
+    """Consecutive rows of one type, amount, party and channel at most within_ms apart; `also` names columns of the later row to keep."""
     pairs = with_previous(with_key(txns), KEY, within_ms, ("id",))
     ids = F.array("prev_id", "id")
-    return pairs.select(*_finding(F.concat(F.lit("dup:"), "prev_id", F.lit(":"), "id"), "medium", "duplicate", DUPLICATE_TITLE, DUPLICATE_REASON, ids))
+    return pairs.select(*_finding(F.concat(F.lit("dup:"), "prev_id", F.lit(":"), "id"), "medium", "duplicate", DUPLICATE_TITLE, DUPLICATE_REASON, ids), *also)
 
 
 def exact_median(values: DataFrame, column: str, width: int = 65_536) -> DataFrame:
@@ -97,12 +97,16 @@ def airtime_days(txns: DataFrame) -> DataFrame:
     return airtime.groupBy("day").agg(F.sum("amountSantim").alias("total"), F.count("*").alias("n"))
 
 
-def airtime_spikes(txns: DataFrame, times: int = AIRTIME_TIMES, floor_santim: int = AIRTIME_FLOOR, min_rows: int = AIRTIME_ROWS) -> DataFrame:
-    """Days whose airtime is above so many times the average over days with airtime."""
-    airtime = txns.where(F.col("type") == "airtime").withColumn("day", utc_day("date"))
-    days = airtime_days(txns)
+def spike_days(days: DataFrame, times: int = AIRTIME_TIMES, floor_santim: int = AIRTIME_FLOOR, min_rows: int = AIRTIME_ROWS) -> DataFrame:
+    """Of (day, total, n) the days above so many times the average."""
     overall = days.agg((F.sum("total") / F.count("*")).alias("average"), F.sum("n").alias("rows"))  # one row
-    spikes = days.join(F.broadcast(overall), (F.col("rows") >= min_rows) & (F.col("total") > F.col("average") * times) & (F.col("total") > floor_santim))
+    return days.join(F.broadcast(overall), (F.col("rows") >= min_rows) & (F.col("total") > F.col("average") * times) & (F.col("total") > floor_santim))
+
+
+def airtime_spikes(txns: DataFrame, times: int = AIRTIME_TIMES, floor_santim: int = AIRTIME_FLOOR, min_rows: int = AIRTIME_ROWS, days: DataFrame | None = None) -> DataFrame:
+    """Days whose airtime is above so many times the average over days with airtime. With spike_days' result as `days`, txns needs only the rows of these."""
+    airtime = txns.where(F.col("type") == "airtime").withColumn("day", utc_day("date"))
+    spikes = spike_days(airtime_days(txns), times, floor_santim, min_rows) if days is None else days
     members = airtime.join(spikes.select("day"), "day").groupBy("day").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     return members.select(*_finding(F.concat(F.lit("airspike:"), "day"), "medium", "airtime_spike", AIRTIME_TITLE, AIRTIME_REASON, F.col("ids")))
 
@@ -115,15 +119,15 @@ def aging_credits(txns: DataFrame, as_of_ms: int) -> DataFrame:
     return old.select(*_finding(F.concat(F.lit("aging:"), "id"), F.when(age > CREDIT_HIGH_DAYS * DAY_MS, "high").otherwise("medium"), "aging_credit", title, CREDIT_REASON, F.array("id")))
 
 
-def probes(txns: DataFrame, round_unit_santim: int = PROBE_UNIT) -> DataFrame:
-    """A small round outflow directly before one over 20 times as large to the same party, within 30 minutes.
+def probes(txns: DataFrame, round_unit_santim: int = PROBE_UNIT, also: tuple[str, ...] = ()) -> DataFrame:
+    """A small round outflow directly before one over 20 times as large to the same party, within 30 minutes; `also` as in duplicates.
 
     With the default unit only a zero amount is both small and round; pass 10_000 for round hundreds of birr.
     """
     pairs = with_previous(with_key(txns.where(F.col("type") == "out")), (), PROBE_MS, ("id", "party", "amountSantim"))
     small, large = F.col("prev_amountSantim"), F.col("amountSantim")
     hits = pairs.where((F.col("__ms") - F.col("prev___ms") < PROBE_MS) & (F.col("prev_party") == F.col("party")) & (small <= PROBE_MOST) & (small % round_unit_santim == 0) & (large > small * PROBE_TIMES))
-    return hits.select(*_finding(F.concat(F.lit("test:"), "prev_id", F.lit(":"), "id"), "low", "test_before_large", PROBE_TITLE, PROBE_REASON, F.array("prev_id", "id")))
+    return hits.select(*_finding(F.concat(F.lit("test:"), "prev_id", F.lit(":"), "id"), "low", "test_before_large", PROBE_TITLE, PROBE_REASON, F.array("prev_id", "id")), *also)
 
 
 def all_findings(txns: DataFrame, as_of_ms: int) -> DataFrame:

@@ -15,6 +15,7 @@ from ..sources import document, store
 from ..sources.adapters import form_entries as entries
 from ..sources.adapters import messages, pasted, screenshots, transactions
 from ..sources.scratch import scratch_path
+from ..streaming.findings import LedgerFindings
 from ..streaming.views import LedgerTotals
 
 #: 2024-01-31 and 2024-03-10, midnight UTC.
@@ -308,6 +309,28 @@ def _changed_totals(spark, sf_dir) -> LedgerTotals:
     return totals
 
 
+#: Outflows of even ids become tenfold, so that outflows, probes and duplicates change; every third credit goes.
+_REVISED = COARSE + ", revised AS (SELECT * REPLACE (CASE WHEN type = 'out' AND id[2:]::BIGINT % 2 = 0 THEN amount * 10 ELSE amount END AS amount) FROM txn WHERE type <> 'credit' OR id[2:]::BIGINT % 3 <> 0) "
+
+
+@query(_REVISED + _all("revised"))
+def findings_incremental(spark, sf_dir):
+    """Findings that followed two insertions, an update and a deletion."""
+    t = transactions(spark, sf_dir, coarse=True)
+    number = F.substring("id", 2, 20).cast("long")
+    ledger = store.Ledger(spark, scratch_path(spark, "ledger"))
+    found = LedgerFindings(ledger, scratch_path(spark, "findings"))
+    for change in (
+        lambda: ledger.add(t.where(number % 5 < 3), now=AS_OF_ISO),
+        lambda: ledger.add(t.where(number % 5 >= 3), now=AS_OF_ISO),
+        lambda: ledger.restore(t.where((F.col("type") == "out") & (number % 2 == 0)).withColumn("amountSantim", F.col("amountSantim") * 10).withColumn("seq", F.lit(0))),
+        lambda: ledger.delete(t.where((F.col("type") == "credit") & (number % 3 == 0)).select("id")),
+    ):
+        change()
+        found.refresh()
+    return found.findings(AS_OF)
+
+
 @query(_CHANGED + _ROLLUP.replace("FROM txn", "FROM changed"))
 def party_rollup_incremental(spark, sf_dir):
     return _changed_totals(spark, sf_dir).party_rollup()

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.store import Ledger
+from .findings import LedgerFindings
 from .views import LedgerTotals
 
 
-def ingest_stream(stream: DataFrame, ledger: Ledger, checkpoint: str, refreshed: Callable[[DataFrame], None] | None = None, order: str = "seq", totals: Iterable[LedgerTotals] = (), **trigger) -> StreamingQuery:
-    """Each micro-batch goes through the ledger's duplicate suppression; then `totals` follow it and `refreshed` gets the new snapshot.
+def ingest_stream(stream: DataFrame, ledger: Ledger, checkpoint: str, refreshed: Callable[[DataFrame], None] | None = None, order: str = "seq", totals: Iterable[LedgerTotals | LedgerFindings] = (), **trigger) -> StreamingQuery:
+    """Each micro-batch goes through the ledger's duplicate suppression; then `totals` (and findings) follow it and `refreshed` gets the new snapshot.
 
     The batch's number is part of its commit, under the name of the checkpoint, so a batch that
     is run again after a failure inserts nothing, whatever its rows. Only the ledger's files
