@@ -273,3 +273,5 @@ def test_language_stage_without_labels(spark, odd):
     out = p.language_id(spark, frame, "")
     want = [r.text for r in frame.collect() if any(c.isalpha() for c in r.text or "")]
     assert want and sorted(r.text for r in out.collect()) == sorted(want) and out.columns == frame.columns
+    empty = p.language_id(spark, frame.limit(0), "")
+    assert empty.isEmpty() and empty.columns == frame.columns
