@@ -196,8 +196,12 @@ def finding_members(spark, sf_dir):
     return rules.members(rules.all_findings(t, AS_OF), t).select("finding_id", "position", "id", "amountSantim")
 
 
+#: The order of the SQL: rows come as they happened, whatever their numbers.
+_AS_HAPPENED = ("ms", "id")
+
+
 def _numbered(spark, sf_dir):
-    return transactions(spark, sf_dir, coarse=True).withColumn("seq", F.substring("id", 2, 20).cast("long"))
+    return transactions(spark, sf_dir, coarse=True).withColumn("seq", F.substring("id", 2, 20).cast("long")).withColumn("ms", iso_millis("date"))
 
 
 _DEDUPE = """, k AS (SELECT *, dense_rank() OVER (ORDER BY type, amount, lower(party), channel) AS key FROM txn),
@@ -216,7 +220,7 @@ def ingest_dedupe(spark, sf_dir):
         UNION ALL SELECT r.key, r.id, r.next_ms FROM g JOIN r ON r.key = g.key AND r.ms = g.next_ms)
     SELECT (SELECT count(*) FROM g) AS inserted, count(*) - (SELECT count(*) FROM g) AS skipped FROM txn""")
 def ingest_counts(spark, sf_dir):
-    return ingest.ingest_counts(ingest.dedupe(_numbered(spark, sf_dir)))
+    return ingest.ingest_counts(ingest.dedupe(_numbered(spark, sf_dir), order=_AS_HAPPENED))
 
 
 _KNOWN = COARSE.replace("WITH txn AS (", "every AS (") + """, txn AS (SELECT * FROM every a WHERE id[2:]::BIGINT % 5 <> 0 AND NOT EXISTS (
