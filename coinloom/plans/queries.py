@@ -213,7 +213,7 @@ _DEDUPE = """, k AS (SELECT *, dense_rank() OVER (ORDER BY type, amount, lower(p
         UNION ALL SELECT r.key, r.id, r.next_ms FROM g JOIN r ON r.key = g.key AND r.ms = g.next_ms)
     SELECT id, id IN (SELECT id FROM g) AS kept FROM txn""")
 def ingest_dedupe(spark, sf_dir):
-    return ingest.dedupe(_numbered(spark, sf_dir)).select("id", "kept")
+    return ingest.dedupe(_numbered(spark, sf_dir), order=_AS_HAPPENED).select("id", "kept")
 
 
 @query("WITH RECURSIVE " + COARSE[5:] + _DEDUPE + """, g AS (SELECT key, id, next_ms FROM r WHERE pos = 1
@@ -233,7 +233,7 @@ _KNOWN = COARSE.replace("WITH txn AS (", "every AS (") + """, txn AS (SELECT * F
 def ingest_dedupe_known(spark, sf_dir):
     """Every fifth row is in the ledger already."""
     t = _numbered(spark, sf_dir)
-    return ingest.dedupe(t.where("seq % 5 <> 0"), t.where("seq % 5 = 0").drop("seq")).select("id", "kept")
+    return ingest.dedupe(t.where("seq % 5 <> 0"), t.where("seq % 5 = 0").drop("seq"), order=_AS_HAPPENED).select("id", "kept")
 
 
 @query(FINE + f"SELECT {ROW.replace('amount AS', 'CASE WHEN type = $$out$$ THEN 7 ELSE amount END AS')} FROM txn")
