@@ -268,7 +268,7 @@ def ledger_concurrent_insert(spark, sf_dir):
     """Two writers insert the same rows at once."""
     path = scratch_path(spark, "ledger")
     with ThreadPoolExecutor(2) as pool:
-        list(pool.map(lambda _: store.Ledger(spark, path).add_deduped(_numbered(spark, sf_dir)), range(2)))
+        list(pool.map(lambda _: store.Ledger(spark, path).add_deduped(_numbered(spark, sf_dir), _AS_HAPPENED), range(2)))
     return store.Ledger(spark, path).transactions().select("id")
 
 

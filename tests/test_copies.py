@@ -17,7 +17,7 @@ def turned(tmp_path_factory, sf_dir):
     return path
 
 
-@pytest.mark.parametrize("name", ["ingest_counts", "ingest_dedupe", "ingest_dedupe_known"])
+@pytest.mark.parametrize("name", ["ingest_counts", "ingest_dedupe", "ingest_dedupe_known", "ledger_concurrent_insert"])
 def test_order_is_that_of_time(spark, turned, name):
     found, expected = same(entry.queries()[name](spark, turned), connect(turned), entry.oracle_sql()[name])
     assert found == expected
