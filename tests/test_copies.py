@@ -1,9 +1,12 @@
 """Queries against their SQL where ids don't come in the order of time."""
 
+import time
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from coinloom.operators.ocr import match_lines
 
 from .oracle import connect, same
 
@@ -21,3 +24,16 @@ def turned(tmp_path_factory, sf_dir):
 def test_order_is_that_of_time(spark, turned, name):
     found, expected = same(entry.queries()[name](spark, turned), connect(turned), entry.oracle_sql()[name])
     assert found == expected
+
+
+def test_long_list_takes_linear_time():
+    """Four times the entries of one screenshot take about four times as long."""
+
+    def seconds(n):
+        text = "Refill History\n" + "".join(f"2024-01-01 1:05 PM\nAlmaz Abebe\n{i // 100},{i % 1000:03}.37 Birr\n" for i in range(1, n + 1))
+        begun = time.process_time()
+        assert match_lines(text, "Africa/Addis_Ababa")
+        return time.process_time() - begun
+
+    seconds(8_000)
+    assert seconds(8_000) < 9 * seconds(2_000)
