@@ -31,6 +31,8 @@ WHOLE, OPENED, GOES_ON = 0, 1, 2
 INVALID = "Invalid JSON backup"
 #: Places in one file; longer files would need wider numbers.
 PLACES = 1 << 44
+#: Records of one line of a written document.
+PIECE_ROWS = 1_000
 _BLOCK = ("file", "block")
 _SUMS = "file string, block long, parity int, deeper_out long, deeper_in long, first string, pieces long"
 _FOUND = "file string, block long, at long, kind int, text string"
@@ -191,33 +193,45 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
 def write_document(txns: DataFrame, path: str) -> None:
     """All transactions, newest first, as the one JSON document `path`.
 
-    Rows are sorted by many tasks; a single file has a single writer, which takes their ranges
-    one after another and holds a batch at a time. A failed write leaves no file.
+    Rows are sorted and written by many tasks, each its range as one line of the document. A
+    single file has a single writer, which sorts nothing: it copies these lines one after
+    another, PIECE_ROWS rows at a time. A failed write leaves no file.
     """
     fields = [n for n in TRANSACTION.names if n in txns.columns]
     order = [F.desc("date"), F.asc("id")]
     lines = txns.select("date", "id", F.to_json(F.struct(*fields)).alias("value")).orderBy(*order).select("value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = '{"version":1,"transactions":['
         for batch in batches:
-            out = []
-            for value in batch.column(0).to_pylist():
-                out.append(before + value)
-                before = ","
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(["]}" if before == "," else before + "]}"])], ["value"])
+            for at in range(0, batch.num_rows, PIECE_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([",".join(batch.column(0).slice(at, PIECE_ROWS).to_pylist())], pa.string())], ["value"])
 
     spark = txns.sparkSession
-    parts = scratch_path(spark, "document")
-    one = lines.coalesce(1) if lines.rdd.getNumPartitions() else spark.createDataFrame([("",)], "value string").where("value <> ''").coalesce(1)
-    one.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 0).text(parts)
+    ranges, parts = scratch_path(spark, "ranges"), scratch_path(spark, "document")
+    lines.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 0).text(ranges)
     at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = lambda fs, folder: sorted(str(s.getPath()) for s in fs.listStatus(at(folder)) if s.getPath().getName().startswith("part-") and s.getLen())
+    found = files(at(ranges).getFileSystem(spark._jsc.hadoopConfiguration()), ranges)
+    _write_one(spark, found, parts)
     fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    written = [s.getPath() for s in fs.listStatus(at(parts)) if s.getPath().getName().startswith("part-") and s.getLen()]
+    written = files(fs, parts)
     draft = at(f"{path}.{parts.rsplit('-', 1)[1]}")
-    if len(written) != 1 or not fs.rename(written[0], draft):
+    if len(written) != 1 or not fs.rename(at(written[0]), draft):
         raise OSError(f"{path} was not written")
     fs.delete(at(path), False)
     if not fs.rename(draft, at(path)):
         raise OSError(f"{path} was not written")
+
+
+def _write_one(spark: SparkSession, files: list[str], folder: str) -> None:
+    """One text file with the lines of these files, in their order, as a document's records."""
+
+    def document(lines: Iterator[str]) -> Iterator[str]:
+        yield '{"version":1,"transactions":['
+        for at, line in enumerate(lines):
+            yield "," + line if at else line
+        yield "]}"
+
+    sc = spark.sparkContext
+    lines = sc.textFile(",".join(files)) if files else sc.parallelize([], 1)
+    lines.coalesce(1).mapPartitions(document).saveAsTextFile(folder)

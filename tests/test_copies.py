@@ -1,5 +1,6 @@
 """Queries against their SQL where ids don't come in the order of time."""
 
+import json
 import time
 
 import duckdb
@@ -7,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from coinloom.operators.ocr import match_lines
+from coinloom.sources import document
 
 from .oracle import connect, same
 
@@ -37,3 +39,19 @@ def test_long_list_takes_linear_time():
 
     seconds(8_000)
     assert seconds(8_000) < 9 * seconds(2_000)
+
+
+def test_single_writer_of_a_document_sorts_nothing(spark, tmp_path, monkeypatch):
+    """The task that writes the one file gets the ranges as files that other tasks sorted."""
+    given = []
+    monkeypatch.setattr(document, "_write_one", lambda spark, files, folder, write=document._write_one: (given.extend(files), write(spark, files, folder)))
+    rows = spark.range(5_000, numPartitions=8).selectExpr("'n' || id AS id", "id AS amountSantim", "'2024-01-' || lpad(1 + id % 28, 2, '0') AS date")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        document.write_document(rows, f"file://{tmp_path}/a.json")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(given) == 4
+    found = [(r["date"], r["id"]) for r in json.loads((tmp_path / "a.json").read_text())["transactions"]]
+    assert found == sorted(sorted(found, key=lambda x: x[1]), key=lambda x: x[0], reverse=True)
+    assert len(set(found)) == len(found) == 5_000
