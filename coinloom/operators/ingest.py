@@ -3,10 +3,11 @@
 Rows of one type, amount, party (any case) and channel no more than a window apart refuse each
 other; the first in order is taken and refused rows refuse nothing. Two rows of one bucket of
 the window's width always refuse each other, so of the rows there already each bucket's first
-and last time says all. The rest falls into islands, runs without a longer gap. An island goes
-through one task in order; a long one whose order is that of time, forwards or backwards, is
-cut into segments, in which each row has at most one next row, and the segments' ways through
-are joined by doubling.
+and last time says all. The rest falls into islands, runs without a longer gap. Of an island
+no longer than the window the first row in order is taken. A longer one goes through one task
+in order; a very long one whose order is that of time, forwards or backwards, is cut into
+segments, in which each row has at most one next row, and the segments' ways through are
+joined by doubling.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .findings import KEY, with_key
 WINDOW_MS = 600_000
 #: Rows of an island that one task takes, if it can be cut.
 LONG_ISLAND = 100_000
+#: Parts that keys are hashed into, for each LONG_ISLAND rows.
+PARTS_A_LONG_ISLAND = 16
 #: Windows in a segment.
 SEGMENT_WINDOWS = 144
 
@@ -39,8 +42,8 @@ def _same(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> list[Column]:
     return [a[c].eqNullSafe(b[c]) for c in columns]
 
 
-def _free_of(rows: DataFrame, old: DataFrame, within_ms: int) -> DataFrame:
-    """The rows that none of `old` refuses. One row a key and bucket says whether the bucket, or an end of its neighbours, is taken."""
+def _refused(rows: DataFrame, old: DataFrame, within_ms: int) -> DataFrame:
+    """The rows with `__refused`, whether one of `old` does. One row a key and bucket says whether the bucket, or an end of its neighbours, is taken."""
     spans = old.where("__ms IS NOT NULL").groupBy(*KEY, _bucket(F.col("__ms"), within_ms).alias("__at")).agg(F.min("__ms").alias("lo"), F.max("__ms").alias("hi"))
     sides = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), (F.col("__at") + d).alias("b")) for d in (-1, 0, 1)])).alias("side")
     on = lambda d, c: F.max(F.when(F.col("side.d") == d, F.col(c)))
@@ -48,7 +51,7 @@ def _free_of(rows: DataFrame, old: DataFrame, within_ms: int) -> DataFrame:
     rows = rows.withColumn("__at", _bucket(F.col("__ms"), within_ms))
     joined = rows.join(near, [*_same(rows, near, KEY), rows["__at"] == near["__near"]], "left")
     clash = F.col("__own").isNotNull() | (F.col("__ms") - F.col("__before") <= within_ms) | (F.col("__after") - F.col("__ms") <= within_ms)
-    return joined.where(~F.coalesce(clash, F.lit(False))).select(rows["*"]).drop("__at")
+    return joined.select(rows["*"], F.coalesce(clash, F.lit(False)).alias("__refused")).drop("__at")
 
 
 def _islands(rows: DataFrame, within_ms: int) -> DataFrame:
@@ -203,23 +206,69 @@ def dedupe(inputs: DataFrame, existing: DataFrame | None = None, within_ms: int
     and channel lies at most within_ms away; refused rows refuse nothing. Rows without a
     valid date are accepted. Rows of one order value come in the order of their content, then
     of their place; those without a value come last. Every row comes back once.
+    """
+    return decide(numbered(inputs), existing, within_ms, order, long_island)
+
+
+def numbered(inputs: DataFrame) -> DataFrame:
+    """The inputs, written once, with their key, time and a number of their own."""
+    columns = [F.col(f"`{c}`") for c in inputs.columns if c != "kept"]
+    return scratch(with_key(inputs.select(*columns)).withColumn("__row", F.monotonically_increasing_id()), "inputs")
+
+
+def decide(rows: DataFrame, existing: DataFrame | None = None, within_ms: int = WINDOW_MS, order: str | Sequence[str] = "seq", long_island: int = LONG_ISLAND) -> DataFrame:
+    """dedupe for numbered() rows; written.
 
-    The inputs are written once, each with a number of its own. Of rows of one key and time
-    only the first can be accepted, so the others go no further.
+    Keys are hashed into parts. Rows of a part of at most long_island go by key through one
+    shuffle, and only islands longer than the window are read again. A fuller part, which may
+    hold one key of any number of rows, is cut by islands.
     """
-    names = [c for c in inputs.columns if c != "kept"]
+    names = [c for c in rows.columns if c not in ("__party", "__ms", "__row")]
     columns = [F.col(f"`{c}`") for c in names]
     orders = [order] if isinstance(order, str) else list(order)
-    rows = scratch(with_key(inputs.select(*columns)).withColumn("__row", F.monotonically_increasing_id()), "inputs")
     values = [x.alias(f"{k}{i}") for i, c in enumerate(orders) for k, x in (("null", F.col(f"`{c}`").isNull()), ("value", F.col(f"`{c}`")))]
     content = F.xxhash64(*[F.col(f"`{c}`") for c in names if c not in ("id", "createdAt", *orders)])
-    nodes = rows.where("__ms IS NOT NULL").withColumn("__seq", F.struct(*values, content.alias("content"), F.col("__row").alias("row")))
-    nodes = nodes.groupBy(*KEY, "__ms").agg(F.min("__seq").alias("__seq"))
-    if existing is not None:
-        nodes = _free_of(nodes, with_key(existing), within_ms)
-    taken = _taken(_islands(nodes, within_ms), rows.count(), within_ms, long_island).withColumn("__kept", F.lit(True))
-    kept = F.coalesce("__kept", F.lit(False)) | F.col("__ms").isNull()
-    return rows.join(taken, "__row", "left").select(*columns, kept.alias("kept"))
+    turn = [*values, content.alias("content"), F.col("__row").alias("row")]
+    number, part, full = rows.count(), None, None
+    if number > long_island:
+        part = F.pmod(F.xxhash64(*KEY), F.lit(PARTS_A_LONG_ISLAND * number // long_island))
+        full = scratch(rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).where(F.col("n") > long_island).select("__part"), "full")
+        full = None if full.isEmpty() else full
+    free = rows.withColumn("__refused", F.lit(False)) if existing is None else _refused(rows, with_key(existing), within_ms)
+    few = free if full is None else free.join(F.broadcast(full), part == full["__part"], "left_anti")
+    marked = scratch(_by_key(few, turn, within_ms), "marked")
+    open_ = marked.where("__kept IS NULL")
+    out = marked.where("__kept IS NOT NULL").select(*columns, F.col("__kept").alias("kept"))
+    if full is None and open_.isEmpty():
+        return out
+    taken = _in_order(open_.withColumn("__seq", F.struct(*turn)), within_ms)
+    out = out.unionByName(_with_taken(open_, taken, columns))
+    if full is not None:
+        many = scratch(free.join(F.broadcast(full), part == full["__part"], "left_semi"), "many")
+        # of rows of one key and time only the first can be accepted
+        nodes = many.where("__ms IS NOT NULL AND NOT __refused").withColumn("__seq", F.struct(*turn)).groupBy(*KEY, "__ms").agg(F.min("__seq").alias("__seq"))
+        out = out.unionByName(_with_taken(many, _taken(_islands(nodes, within_ms), many.count(), within_ms, long_island), columns))
+    return scratch(out, "decided")
+
+
+def _with_taken(rows: DataFrame, taken: DataFrame, columns: list[Column]) -> DataFrame:
+    found = rows.join(taken.withColumn("__taken", F.lit(True)), "__row", "left")
+    return found.select(*columns, (F.coalesce("__taken", F.lit(False)) | F.col("__ms").isNull()).alias("kept"))
+
+
+def _by_key(rows: DataFrame, turn: list[Column], within_ms: int) -> DataFrame:
+    """Rows with `__island` and `__kept`, which is null in islands longer than the window. A key's rows are one task's."""
+    apart = F.col("__ms").isNull() | F.col("__refused")
+    keys = [*KEY, "__apart"]
+    line = Window.partitionBy(*keys).orderBy("__ms")
+    start = F.when(F.coalesce(F.col("__ms") - F.lag("__ms").over(line) > within_ms, F.lit(True)), F.col("__ms"))
+    rows = rows.withColumn("__apart", apart).withColumn("__start", start)
+    rows = rows.withColumn("__island", F.max("__start").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("__start")
+    inside = Window.partitionBy(*keys, "__island").orderBy(*turn)
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("__first", F.row_number().over(inside) == 1).withColumn("__last", F.max("__ms").over(whole))
+    kept = F.when(F.col("__apart"), F.col("__ms").isNull()).when(F.col("__last") - F.col("__island") <= within_ms, F.col("__first"))
+    return rows.withColumn("__kept", kept).drop("__apart", "__first", "__last")
 
 
 def _taken(islands: DataFrame, most: int, within_ms: int, long_island: int) -> DataFrame:

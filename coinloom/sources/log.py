@@ -158,7 +158,8 @@ class TableLog:
         columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
         rows = rows.select(*columns)
         if ms is not None:
-            rows = rows.withColumn("__ms", ms).repartitionByRange("__ms").sortWithinPartitions("__ms").drop("__ms")
+            # rows of one time may be most of a table: their content deals them out
+            rows = rows.withColumn("__ms", ms).withColumn("__tie", F.xxhash64(*schema.names)).repartitionByRange("__ms", "__tie").sortWithinPartitions("__ms").drop("__ms", "__tie")
         rows.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.path}/{folder}")
         name = F.element_at(F.split("_metadata.file_path", "/"), -1)
         when = ms if ms is not None else F.lit(None).cast("long")

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import DAY_MS, csv_cell, entry_to_santim, iso_millis, santim_to_etb, trim_all
-from ..operators.findings import with_key
-from ..operators.ingest import WINDOW_MS, dedupe, ingest_counts, last_by_id
+from ..operators.ingest import WINDOW_MS, decide, ingest_counts, last_by_id, numbered
 from ..operators.sms import parse_text
 from ..schema import TRANSACTION
 from .log import Change, DataFile, TableLog
@@ -75,21 +74,18 @@ class Ledger:
 
     def add_deduped(self, rows: DataFrame, order: str | Sequence[str] = "seq", now: str | None = None, batch: tuple[str, int] | None = None) -> tuple[int, int]:
         """(inserted, skipped). Only files that may hold rows in reach are read. A micro-batch (stream, number) that is in the table already, or an older one, inserts nothing."""
-        new = scratch(with_ids(rows, now), "insertion")  # written: ids must stay what they are
-        ranges = _reach(with_key(new))
+        now, new = now or _now(), numbered(rows)
+        ranges = _reach(new)
         while True:
             snapshot = self._txns.snapshot()
             if batch and dict(snapshot.batches).get(batch[0], -1) >= batch[1]:
                 return 0, new.count()
             near = snapshot.within(ranges)
-            marked = dedupe(new, self._txns.read(near, TRANSACTION) if near.files else None, order=order).persist()
-            try:
-                counts = ingest_counts(marked).first()
-                files = self._files(marked.where("kept")) if counts.inserted else ()
-                if self._txns.put(snapshot.version + 1, Change(files, batch=batch)):
-                    return counts.inserted, counts.skipped
-            finally:
-                marked.unpersist()
+            marked = decide(new, self._txns.read(near, TRANSACTION) if near.files else None, order=order)
+            counts = ingest_counts(marked).first()
+            files = self._files(with_ids(marked.where("kept"), now)) if counts.inserted else ()
+            if self._txns.put(snapshot.version + 1, Change(files, batch=batch)):
+                return counts.inserted, counts.skipped
 
     def paste(self, texts: DataFrame, text_col: str, as_of: str, order: str | Sequence[str] = "seq", tz: str = "Africa/Addis_Ababa", now: str | None = None, **hooks) -> tuple[int, int]:
         """(inserted, skipped) of all messages and screenshots in pasted texts, in the order of the texts and of the places in them."""
@@ -140,9 +136,13 @@ def _reach(rows: DataFrame, within_ms: int = WINDOW_MS) -> list[tuple[int, int]]
     return [(r.day * DAY_MS - within_ms, (r.day + 1) * DAY_MS - 1 + within_ms) for r in days]
 
 
+def _now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+
+
 def with_ids(rows: DataFrame, now: str | None = None) -> DataFrame:
     """Rows with `id` and `createdAt`: given ones stay; a new id is of its own for every row, alike ones included."""
-    now = now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+    now = now or _now()
     made = F.substring(F.sha2(F.uuid(), 256), 1, 24)
     given = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     return rows.withColumn("id", F.coalesce(given("id"), made)).withColumn("createdAt", F.coalesce(given("createdAt"), F.lit(now)))

@@ -5,10 +5,15 @@ import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from coinloom.functions.scalar import iso_millis, millis_iso
+from coinloom.operators import ingest
 from coinloom.operators.ocr import match_lines
+from coinloom.schema import TRANSACTION
 from coinloom.sources import document
+from coinloom.sources.log import TableLog
 
 from .oracle import connect, same
 
@@ -55,3 +60,26 @@ def test_single_writer_of_a_document_sorts_nothing(spark, tmp_path, monkeypatch)
     found = [(r["date"], r["id"]) for r in json.loads((tmp_path / "a.json").read_text())["transactions"]]
     assert found == sorted(sorted(found, key=lambda x: x[1]), key=lambda x: x[0], reverse=True)
     assert len(set(found)) == len(found) == 5_000
+
+
+def test_rows_of_one_time_are_written_by_many_tasks(spark, tmp_path):
+    """Pasted messages all have the moment of the import."""
+    table = TableLog(spark, f"file://{tmp_path}/table")
+    rows = spark.range(20_000, numPartitions=4).selectExpr("'n' || id AS id", "1L AS amountSantim", "'2024-01-01' AS date")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        files = table.write(rows, TRANSACTION, iso_millis("date"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(files) == 4 and max(f.rows for f in files) < 10_000 and sum(f.rows for f in files) == 20_000
+
+
+def test_short_islands_are_decided_without_a_task_in_order(spark, monkeypatch):
+    """Only rows of islands longer than the window go one by one."""
+    rows = spark.range(400).selectExpr("'n' || id AS id", "'in' AS type", "id % 100 AS amountSantim", "'p' AS party", "'CBE' AS channel", "id AS seq", "timestamp_millis(1700000000000 + (id div 100) * if(id % 100 < 90, 150000, 400000)) AS at")
+    rows = rows.withColumn("date", millis_iso(F.unix_millis("at"))).drop("at")
+    given, plain = [], ingest._in_order
+    monkeypatch.setattr(ingest, "_in_order", lambda islands, within: given.append(islands.count()) or plain(islands, within))
+    kept = sorted(int(r.id[1:]) for r in ingest.dedupe(rows).where("kept").collect())
+    assert kept == [*range(100), *range(290, 300)]
+    assert given == [40]
