@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +40,8 @@ class NeighbourFindings(Follower):
         return found.withColumnRenamed("__ms", "laterMs")
 
     def _write(self, found: DataFrame):
-        return self._log.write(found, PAIR, F.col("laterMs"))
+        # written first: a write by ranges of time looks at its rows twice
+        return self._log.write(scratch(found, "pairs"), PAIR, F.col("laterMs"))
 
     def _change(self, seen: int, now: Snapshot) -> Change:
         batch = (SOURCE, now.version)
@@ -54,8 +57,12 @@ class NeighbourFindings(Follower):
         rows = self._source.read(self._holding(now, days), TRANSACTION).withColumn("__ms", iso_millis("date"))
         rows = rows.withColumn("__bucket", _bucket("__ms")).join(near, "__bucket", "left_semi").drop("__bucket", "__ms")
         in_touched = lambda found: found.withColumn("__bucket", _bucket("laterMs")).join(touched, "__bucket", "left_semi").drop("__bucket")
-        gone = in_touched(self._log.read(self._holding(self._log.snapshot(), days), PAIR))
-        return Change(self._write(in_touched(self._found(rows))), (self._log.write_ids(gone),), batch=batch)
+        mine, made = self._log.snapshot(), self._write(in_touched(self._found(rows)))
+        others = self._log.read(mine, PAIR).select(_bucket("laterMs").alias("__bucket")).join(touched, "__bucket", "left_anti")
+        if others.isEmpty():  # no finding stays: these take the place of all, without a list of ids for every reader to join
+            return Change(made, replaces=True, batch=batch)
+        gone = in_touched(self._log.read(self._holding(mine, days), PAIR))
+        return Change(made, (self._log.write_ids(gone),), batch=batch)
 
     def findings(self) -> DataFrame:
         return self._log.read(self._log.snapshot(), PAIR).drop("laterMs")
@@ -116,9 +123,20 @@ class LedgerFindings:
         return min(part.version() for part in (self._pairs, self._credits, self._airtime))
 
     def refresh(self) -> int:
-        now = self.ledger.log.snapshot()
-        for part in (self._pairs, self._credits, self._airtime):
-            part.refresh(now)
+        """The tables follow side by side; rows that went are looked up once for all."""
+        now, parts = self.ledger.log.snapshot(), (self._pairs, self._credits, self._airtime)
+        seen = self.version()
+        lists = self._pairs._lists(seen, now)
+        if lists and not self.ledger.log.replaced(seen, now.version):
+            lost = scratch(self._pairs._lost(seen, lists), "lost")
+            for part in parts:
+                part._known_lost = (seen, lists, lost)
+        try:
+            with ThreadPoolExecutor(len(parts)) as pool:
+                list(pool.map(lambda part: part.refresh(now), parts))
+        finally:
+            for part in parts:
+                part._known_lost = None
         return self.version()
 
     def _snapshot(self) -> Snapshot:

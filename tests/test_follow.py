@@ -99,3 +99,29 @@ def test_a_stream_keeps_findings_current(spark, tmp_path):
     got = found.findings(T0 + DAY)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
     assert got.where("kind = 'test_before_large'").count() > 0
+
+
+def test_rows_that_went_are_looked_up_once(spark, tmp_path, monkeypatch):
+    """Of all tables together one reads the ledger as it was."""
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    found = LedgerFindings(ledger, f"file://{tmp_path}/findings")
+    ledger.add(some(spark, 5, 60), now=AS_OF)
+    found.refresh()
+    ledger.delete(ledger.transactions().where("id LIKE '%1'").select("id"))
+    asked, plain = [], ledger.log.at
+    monkeypatch.setattr(ledger.log, "at", lambda version: asked.append(version) or plain(version))
+    found.refresh()
+    assert asked == [1]
+    agree(ledger, found, T0 + 31 * DAY)
+
+
+def test_findings_made_anew_as_a_whole_leave_no_lists(spark, tmp_path):
+    """A change in all buckets replaces the table; one in some of them lists the ids that went."""
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    found = LedgerFindings(ledger, f"file://{tmp_path}/findings")
+    early, late = ([(f"{name}{i}", "in", 5, "p", T0 + d * DAY + i * 4 * MIN) for i in range(3)] for name, d in (("a", 0), ("b", 5)))
+    for rows, lists in (([early[0], late[0], early[2], late[2]], 0), ([early[1], late[1]], 0), ([("c", "in", 5, "p", T0 + 9 * MIN)], 1)):
+        ledger.add(txns(spark, rows), now=AS_OF)
+        found.refresh()
+        assert len(found._pairs._log.snapshot().gone) == lists
+        agree(ledger, found, T0 + DAY)
