@@ -32,7 +32,7 @@ def round_half_up(x) -> Column:
 
 def text_to_santim(x) -> Column:
     """Commas out, trimmed, times 100 as a double, rounded; no text left is 0, no number is null."""
-    clean = trim_all(F.regexp_replace(as_column(x), ",", ""))
+    clean = trim_all(F.replace(as_column(x), F.lit(","), F.lit("")))
     number = F.when(clean == "", F.lit(0.0)).otherwise(clean.try_cast("double"))
     return round_half_up(number * 100)
 

@@ -259,16 +259,17 @@ def _with_taken(rows: DataFrame, taken: DataFrame, columns: list[Column]) -> Dat
 def _by_key(rows: DataFrame, turn: list[Column], within_ms: int) -> DataFrame:
     """Rows with `__island` and `__kept`, which is null in islands longer than the window. A key's rows are one task's."""
     apart = F.col("__ms").isNull() | F.col("__refused")
-    keys = [*KEY, "__apart"]
+    # sorting compares the hash, a number, where the key's first column is a word that many rows share
+    keys = ["__hash", *KEY, "__apart"]
     line = Window.partitionBy(*keys).orderBy("__ms")
     start = F.when(F.coalesce(F.col("__ms") - F.lag("__ms").over(line) > within_ms, F.lit(True)), F.col("__ms"))
-    rows = rows.withColumn("__apart", apart).withColumn("__start", start)
+    rows = rows.withColumn("__hash", F.xxhash64(*KEY)).withColumn("__apart", apart).withColumn("__start", start)
     rows = rows.withColumn("__island", F.max("__start").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("__start")
     inside = Window.partitionBy(*keys, "__island").orderBy(*turn)
     whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("__first", F.row_number().over(inside) == 1).withColumn("__last", F.max("__ms").over(whole))
     kept = F.when(F.col("__apart"), F.col("__ms").isNull()).when(F.col("__last") - F.col("__island") <= within_ms, F.col("__first"))
-    return rows.withColumn("__kept", kept).drop("__apart", "__first", "__last")
+    return rows.withColumn("__kept", kept).drop("__hash", "__apart", "__first", "__last")
 
 
 def _taken(islands: DataFrame, most: int, within_ms: int, long_island: int) -> DataFrame:

@@ -51,10 +51,10 @@ def _has(text: Column, pattern: str) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern, words of which a text has one if the pattern is found, and what it gives: texts, or numbers of its groups. Without a type or party the whole text decides."""
+    """A pattern, sets of words of each of which a text has one if the pattern is found, and what it gives: texts, or numbers of its groups. Without a type or party the whole text decides."""
 
     pattern: str
-    guard: tuple[str, ...]
+    guard: tuple[tuple[str, ...], ...]
     amount: int
     channel: str | int
     type_: str | int
@@ -66,15 +66,15 @@ _PREPOSITION = rf"{_ETB_BR}{BLANK}*(to|from){BLANK}+{_FREE_PARTY}" + _STOP % ""
 
 #: In order; the first that is found decides.
 RULES = (
-    Rule(_chain("telebirr", "(?:received|credited)", _ETB, "from" + _PARTY), ("telebirr",), 1, "Telebirr", "in", 2),
-    Rule(_chain("telebirr", "(?:paid|debited|sent)", _ETB, "to" + _PARTY), ("telebirr",), 1, "Telebirr", "out", 2),
-    Rule(_chain("telebirr", "airtime", _ETB), ("telebirr",), 1, "Telebirr", "airtime", "Airtime"),
-    Rule(_chain(f"{_L}CBE{_R}", "(?:credited|received)", _ETB, "from" + _PARTY), ("cbe",), 1, "CBE", "in", 2),
-    Rule(_chain(f"{_L}CBE{_R}", "(?:debited|withdrawn|paid)", _ETB) + f"(?>{_ANY}(?:to|for){_PARTY})?+", ("cbe",), 1, "CBE", "out", 2, True),
-    Rule(_chain(_BANKS, "(?:credited|received)", _ETB_BR, "from" + _PARTY), _BANK_WORDS, 2, 1, "in", 3),
-    Rule(_chain(_BANKS, "(?:debited|withdrawn|paid)", _ETB_BR) + f"(?>{_ANY}to{_PARTY})?+", _BANK_WORDS, 2, 1, "out", 3, True),
-    Rule(rf"\A{_ANY}" + _PREPOSITION, ("etb", "br"), 1, "Other", 2, 3),
-    Rule(rf"\A{_ANY}" + _ETB_BR, ("etb", "br"), 1, "Other", "", "", True),
+    Rule(_chain("telebirr", "(?:received|credited)", _ETB, "from" + _PARTY), (("telebirr",), ("received", "credited"), ("etb",), ("from",)), 1, "Telebirr", "in", 2),
+    Rule(_chain("telebirr", "(?:paid|debited|sent)", _ETB, "to" + _PARTY), (("telebirr",), ("paid", "debited", "sent"), ("etb",), ("to",)), 1, "Telebirr", "out", 2),
+    Rule(_chain("telebirr", "airtime", _ETB), (("telebirr",), ("airtime",), ("etb",)), 1, "Telebirr", "airtime", "Airtime"),
+    Rule(_chain(f"{_L}CBE{_R}", "(?:credited|received)", _ETB, "from" + _PARTY), (("cbe",), ("credited", "received"), ("etb",), ("from",)), 1, "CBE", "in", 2),
+    Rule(_chain(f"{_L}CBE{_R}", "(?:debited|withdrawn|paid)", _ETB) + f"(?>{_ANY}(?:to|for){_PARTY})?+", (("cbe",), ("debited", "withdrawn", "paid"), ("etb",)), 1, "CBE", "out", 2, True),
+    Rule(_chain(_BANKS, "(?:credited|received)", _ETB_BR, "from" + _PARTY), (_BANK_WORDS, ("credited", "received"), ("etb", "br"), ("from",)), 2, 1, "in", 3),
+    Rule(_chain(_BANKS, "(?:debited|withdrawn|paid)", _ETB_BR) + f"(?>{_ANY}to{_PARTY})?+", (_BANK_WORDS, ("debited", "withdrawn", "paid"), ("etb", "br")), 2, 1, "out", 3, True),
+    Rule(rf"\A{_ANY}" + _PREPOSITION, (("etb", "br"), ("to", "from")), 1, "Other", 2, 3),
+    Rule(rf"\A{_ANY}" + _ETB_BR, (("etb", "br"),), 1, "Other", "", "", True),
 )
 _LAST = str(len(RULES) - 1)
 #: Words one of which a reference needs.
@@ -96,15 +96,16 @@ def _findings(subject: Column, low: Column, rules: range) -> Column:
     """Number, amount, channel, type and party of the first of the rules that is found, as texts one after another; empty where none is.
 
     Each pattern is searched once: the text becomes what its groups found. Patterns whose
-    words the text lacks aren't searched.
+    words the text lacks aren't searched, nor those after the one that is found.
     """
     found = []
     for i in rules:
         rule = RULES[i]
         parts = [f"${x}" if isinstance(x, int) else x for x in (rule.amount, rule.channel, rule.type_, rule.party)]
         said = F.regexp_replace(subject, "(?is)" + rule.pattern + r".*\z", _FINDING + _PART.join([str(i), *parts]))
-        found.append(F.when(_any_of(low, rule.guard), F.regexp_extract(said, rf"(?s)\A{_FINDING}.*", 0)).otherwise(""))
-    return F.split_part(F.concat(*found), F.lit(_FINDING), F.lit(2))
+        has_words = reduce(Column.__and__, [_any_of(low, words) for words in rule.guard])
+        found.append(F.when(has_words, F.get(F.split(said, _FINDING), F.lit(1))))
+    return F.coalesce(*found, F.lit(""))
 
 
 def _named(subject: Column, low: Column) -> Column:
@@ -168,22 +169,22 @@ def parse_each(df: DataFrame, text: str, as_of: str | Column) -> DataFrame:
 
 def is_ocr(text: Column) -> Column:
     """Whether a text looks like a refill-history screenshot."""
-    dates = F.regexp_count(text, F.lit(r"\d{4}-\d{2}-\d{2}"))
+    date = r"\d{4}-\d{2}-\d{2}"
     low = F.lower(text)
-    return (F.length(text) > 80) & F.contains(low, F.lit("birr")) & _has(text, rf"{_L}Birr{_R}") & (dates >= 2) & ~(_any_of(low, _OCR_SMS_WORDS) & _has(text, _OCR_SMS))
+    return (F.length(text) > 80) & F.contains(low, F.lit("birr")) & _has(text, rf"{_L}Birr{_R}") & text.rlike(f"(?s){date}.*?{date}") & ~(_any_of(low, _OCR_SMS_WORDS) & _has(text, _OCR_SMS))
 
 
 def split_messages(df: DataFrame, text_col: str, boilerplate: Callable[[Column], Column] | None = None) -> DataFrame:
     """df with `__blocks` (texts cut at blank lines, or at line ends where there is one block only) and `__many`."""
-    drop = boilerplate or (lambda b: F.lit(False))
     full = lambda parts: F.filter(F.transform(parts, trim_all), lambda b: b != "")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    blocks = full(F.split(text, rf"\n{BLANK}*\n+"))
-    lines = full(F.split(text, r"\n+"))
     broken = F.contains(text, F.lit("\n"))
-    many = broken & (F.size(blocks) > 1)
-    one = F.filter(F.array(trim_all(text)), lambda b: b != "")
-    return df.withColumn("__many", many).withColumn("__blocks", F.filter(F.when(~broken, one).when(F.col("__many"), blocks).otherwise(lines), lambda b: ~drop(b)))
+    parts = F.when(broken, full(F.split(text, rf"\n{BLANK}*\n+"))).otherwise(F.array(trim_all(text)))
+    df = df.withColumn("__parts", parts).withColumn("__many", F.size("__parts") > 1)
+    none = F.array().cast("array<string>")
+    single = F.when(F.get("__parts", F.lit(0)) == "", none).otherwise(F.col("__parts"))
+    blocks = F.when(F.col("__many"), F.col("__parts")).when(broken, full(F.split(text, r"\n+"))).otherwise(single)
+    return df.withColumn("__blocks", F.filter(blocks, lambda b: ~boilerplate(b)) if boilerplate else blocks).drop("__parts")
 
 
 def no_transfer_list(text: Column) -> Column:
@@ -217,23 +218,26 @@ def _parse(df: DataFrame, text_col: str, as_of: str, shots: Column | None, boile
         df = df.withColumn("__shots", shots)
         split = split_messages(df.withColumn("__split", F.when(F.coalesce(F.size("__shots") > 0, F.lit(False)), "").otherwise(text)), "__split", boilerplate)
     # every pattern holds an amount, and the last asks for no more: a text is good if it has one
+    several = F.col("__many") & (F.size("__blocks") > 1)
     good = F.size(F.filter("__blocks", lambda b: _has(b, _ETB_BR)))
-    split = split.withColumn("__good", good)
+    split = split.withColumn("__good", good if transfer_rows else F.when(several, good))
     good = F.col("__good")
-    mixed = F.col("__many") & (F.size("__blocks") > 1) & (good <= 1) & (good < F.size("__blocks")) & _has(F.coalesce(text, F.lit("")), _ETB_BR)
+    mixed = F.coalesce(several & (good <= 1) & (good < F.size("__blocks")), F.lit(False)) & _has(F.coalesce(text, F.lit("")), _ETB_BR)
     split = split.withColumn("__mixed", mixed)
-    nothing = F.lit(None).cast(PARSED)
-    items = F.transform(F.when(F.col("__mixed"), F.array(text)).otherwise(F.col("__blocks")), lambda b: F.struct(b.alias("block"), nothing.alias("row")))
-    given = lambda rows: F.transform(rows, lambda r: F.struct(F.lit(None).cast("string").alias("block"), r.alias("row")))
+    split = split.withColumn("__texts", F.when(F.col("__mixed"), F.array(text)).otherwise(F.col("__blocks"))).withColumn("__given", F.lit(None).cast(T.ArrayType(PARSED)))
     if transfer_rows:
         alone = F.col("__many") & (F.size("__blocks") == 1)
         listed = (good == 0) & ~F.col("__mixed") & ~alone & F.coalesce(is_transfer_list(text), F.lit(False))
-        items = F.when(listed, given(transfer_rows(text).cast(T.ArrayType(PARSED)))).otherwise(items)
+        rows = F.coalesce(transfer_rows(text).cast(T.ArrayType(PARSED)), F.array().cast(T.ArrayType(PARSED)))
+        split = split.withColumn("__given", F.when(listed, rows))
     if shots is not None:
-        items = F.when(F.size("__shots") > 0, given(F.col("__shots"))).otherwise(items)
-    # the outer form: Spark would push the plain one's "items isn't empty" below, and split every text again for it
-    each = split.select(*kept, F.posexplode_outer(items).alias("pos", "__item")).where("pos IS NOT NULL")
-    each = each.select(*kept, "pos", F.col("__item.block").alias("__block"), F.col("__item.row").alias("__given"))
+        split = split.withColumn("__given", F.when(F.size("__shots") > 0, F.col("__shots")).otherwise(F.col("__given")))
+    split = split.withColumn("__number", F.when(F.col("__given").isNotNull(), F.size("__given")).otherwise(F.size("__texts")))
+    places = F.when(F.col("__number") > 0, F.sequence(F.lit(0), F.col("__number") - 1))
+    # the outer form: Spark would push the plain one's "there are places" below, and split every text again for it
+    each = split.select(*kept, "__texts", "__given", F.explode_outer(places).alias("pos")).where("pos IS NOT NULL")
+    block = F.when(F.col("__given").isNull(), F.get("__texts", F.col("pos")))
+    each = each.select(*kept, "pos", block.alias("__block"), F.get("__given", F.col("pos")).alias("__given"))
     rows = parse_each(each, "__block", as_of)
     return rows.select(*kept, "pos", *[F.when(F.col("__given").isNotNull(), F.col("__given")[n]).otherwise(F.col("__row")[n]).alias(n) for n in PARSED.names])
 

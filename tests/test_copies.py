@@ -1,6 +1,7 @@
 """Queries against their SQL where ids don't come in the order of time."""
 
 import json
+import re
 import time
 
 import duckdb
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from coinloom.functions.scalar import iso_millis, millis_iso
-from coinloom.operators import ingest
+from coinloom.operators import ingest, ocr, sms
 from coinloom.operators.ocr import match_lines
 from coinloom.schema import TRANSACTION
 from coinloom.sources import document
@@ -83,3 +84,28 @@ def test_short_islands_are_decided_without_a_task_in_order(spark, monkeypatch):
     kept = sorted(int(r.id[1:]) for r in ingest.dedupe(rows).where("kept").collect())
     assert kept == [*range(100), *range(290, 300)]
     assert given == [40]
+
+
+def test_screenshots_of_one_layout_are_laid_out_once():
+    """Lists of other names, days and amounts, but of the same kinds of lines, share the search for what belongs together."""
+    shot = lambda i: "Refill History\n" + "".join(f"2024-01-0{h} {h}:05 PM\n{n} Abebe\n{i}1,000.{h}7 Birr\n" for h, n in ((1, "Almaz"), (2, "Sara")))
+    before = ocr._known_places.cache_info().misses
+    found = [[(r["party"], r["amountSantim"], r["date"]) for r in match_lines(shot(i), "UTC")] for i in range(1, 10)]
+    assert found == [[("Almaz Abebe", i * 1_000_000 + 100_017, "2024-01-01T13:05:00.000Z"), ("Sara Abebe", i * 1_000_000 + 100_027, "2024-01-02T14:05:00.000Z")] for i in range(1, 10)]
+    assert ocr._known_places.cache_info().misses <= before + 1
+
+
+def test_patterns_are_searched_only_in_texts_with_all_their_words(spark):
+    """Every rule's words: a text without one of them can't have the rule's finding, whatever else it says."""
+    for rule in sms.RULES:
+        for words in rule.guard:
+            assert len(min(words, key=len)) > 1 and all(re.search(word, rule.pattern, re.I) for word in words)
+    texts = ["TELEBIRR you SENT etb 5 To Abel. Ref: AB12", "cbe PAID birr 7", "Dashen withdrawn Br. 9 to A B, ok", "telebirr airtime received", "br 3 FROM Zed"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", sms.parse_one(F.col("text"), "2024").alias("r")).orderBy("i").collect()
+    assert [(r.r.ok, r.r.type, r.r.amountSantim, r.r.party, r.r.channel) for r in rows] == [
+        (True, "out", 500, "Abel", "Telebirr"),
+        (False, None, None, None, None),
+        (True, "out", 900, "A B", "Dashen"),
+        (False, None, None, None, None),
+        (True, "in", 300, "Zed", "Other"),
+    ]
